@@ -55,3 +55,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.pieces import encode_documents
 
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.language import identify, train_profiles
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    profiles = train_profiles(docs.where(~held_out).select("text", "lang"))
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )

@@ -40,3 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet in the shared folder and read them from there: a compact cut()."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/inkspan/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -67,3 +67,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).select(
         "doc_id", "held_out", "lang_pred", "score"
     )
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.substrings import drop_repeats
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -104,7 +104,7 @@ def train_profiles(docs: DataFrame, k: int = PROFILE) -> DataFrame:
 
         def out() -> Iterator[pd.DataFrame]:
             for lang, (codes, n) in sums.items():
-                yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
+                yield pd.DataFrame({"lang": pd.Series([lang] * len(codes), dtype=object), "code": codes, "n": n})
             sums.clear()
 
         for batch in batches:
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, profiles: DataFrame, k: int = PROFILE) -> DataFram
                     score = 1.0 - distance / (k * len(own))
                 langs.append(lang)
                 scores.append(score)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": scores})
 
     judge = F.pandas_udf(predict, "lang_pred string, score double")
     return (

@@ -75,3 +75,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.toxicity import score, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = train(docs.where(~held_out), labels)
+    return score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")

@@ -86,3 +86,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
     model = train(docs.where(~held_out), labels)
     return score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.warc import round_trip
+
+    return round_trip(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT) >> {s}) & 31)::INT + 1, 1)"
+    for i in range(8)
+    for s in (15, 10, 5, 0)
+)
+ORACLES["op8_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM p JOIN f USING (h)
+"""

@@ -110,3 +110,11 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_B32} AS p
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM p JOIN f USING (h)
 """
+
+
+@query
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.neighbours import search
+
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, F.col("vec_id") % 100 == 0, k=10)

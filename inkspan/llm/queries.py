@@ -118,3 +118,10 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.darts import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -103,17 +103,20 @@ def plan_mix(
     shards: int = 16,
     blocks: int = BLOCKS,
     seed: int = 17,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row for each input row: doc_id, source, size, source_size, target, draws, _at.
+    """One row for each input row: doc_id, source, size, source_size, target, draws.
 
-    draws: array of (pass, shard), one entry for each time the document is taken.
+    draws: array of (pass, shard), one entry for each time the document is taken. Columns of docs named
+    in ``keep`` ride along; then the documents are read a second time instead of the lean table of sizes.
     """
-    sized = cut(
-        docs.select(
-            "doc_id", "source", word_count("text").alias("size"),
-            _unit(F.col("doc_id"), F.lit(seed)).alias("_at"), F.xxhash64("text", F.lit(seed)).alias("_tie"),
-        ).withColumn("_block", F.floor(F.col("_at") * blocks).cast("int"))
-    )
+    own = [c for c in keep if c not in ("doc_id", "source")]
+    sized = docs.select(
+        "doc_id", "source", *own, word_count("text").alias("size"),
+        _unit(F.col("doc_id"), F.lit(seed)).alias("_at"), F.xxhash64("text", F.lit(seed)).alias("_tie"),
+    ).withColumn("_block", F.floor(F.col("_at") * blocks).cast("int"))
+    if not own:
+        sized = cut(sized)
     by_block = cut(sized.groupBy("source", "_block").agg(F.sum("size").alias("_words")))
     targets = source_targets(by_block.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, cap)
 
@@ -173,7 +176,7 @@ def plan_mix(
         .withColumn("_in", sofar - F.col("size") / 2 <= F.col("_room"))
         .withColumn("draws", F.when(F.col("_in"), F.col("draws")).otherwise(F.slice("draws", F.lit(1), F.col("_passes"))))
     )
-    columns = ["doc_id", "source", "size", "source_size", "target", "draws", "_at"]
+    columns = ["doc_id", "source", *own, "size", "source_size", "target", "draws"]
     return planned.where("_room is null").select(columns).unionByName(partly.select(columns))
 
 

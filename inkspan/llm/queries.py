@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import corpus_pipeline
+
+QUERIES: dict = {"pipeline": corpus_pipeline.run}
+ORACLES: dict = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -127,3 +127,10 @@ def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.darts import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.bm25 import search
+
+    return search(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 50 == 0, k=10)

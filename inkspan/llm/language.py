@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 400
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 UNKNOWN = "und"
 _BITS = 21
 _letters: list[np.ndarray] = []

@@ -5,7 +5,7 @@ only windows that still may repeat are looked at. At a level of length l, a wind
 anchor: of the l-word runs inside it, the one with the least hash. Equal windows have equal anchors, so a
 window whose anchor is in no other document cannot repeat, and one row an anchor (about 2 in window - l
 words) settles all windows around it. Windows that survive are extended to the next length; at the last
-one the window is its own anchor and the test is exact: by a 64-bit and a 32-bit hash of all its words.
+one the window is its own anchor, and its words are compared by a 64-bit hash.
 
 A word goes if a window that covers it also starts in a document with a smaller doc_id. All levels look
 at the input, not at what is left.
@@ -33,7 +33,7 @@ from inkspan.llm.common import shared_table
 from inkspan.llm.rolling import lowest, window_hashes, word_hashes
 
 WINDOW = 50
-START = 13
+START = 25
 LAST = (1 << 63) - 1
 
 
@@ -81,7 +81,7 @@ def _level(rows: DataFrame, length: int, before: int | None, window: int) -> Dat
 
 
 def _last(rows: DataFrame, before: int, window: int) -> DataFrame:
-    """(_k, _raw, _held) -> _k, _h, _g, _p: surviving windows by both hashes, and where they start."""
+    """(_k, _raw, _held) -> _k, _h, _p: surviving windows and where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,12 +91,11 @@ def _last(rows: DataFrame, before: int, window: int) -> DataFrame:
                 own = held[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.flatnonzero(_alive(words, own, before, window))
                 h = window_hashes(words, window)[at].view(np.int64)
-                g = (window_hashes(words, window, base=2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                parts.append((np.full(len(at), k), h, g, at.astype(np.int32)))
+                parts.append((np.full(len(at), k), h, at.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["_k", "_h", "_g", "_p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["_k", "_h", "_p"])
 
-    return rows.mapInArrow(run, "_k long, _h long, _g int, _p int")
+    return rows.mapInArrow(run, "_k long, _h long, _p int")
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
@@ -116,9 +115,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> D
         held = anchors.join(shared.select("_h"), "_h", "left_semi").groupBy("_k").agg(F.collect_list("_h").alias("_held"))
         before = length
     windows = _last(rows.join(held, "_k"), before, window)
-    first = windows.groupBy("_h", "_g").agg(F.min("_k").alias("_lo"))
+    first = windows.groupBy("_h").agg(F.min("_k").alias("_lo"))
     return (
-        windows.join(first, ["_h", "_g"])
+        windows.join(first, "_h")
         .where("_lo < _k")
         .groupBy("_k")
         .agg(F.array_sort(F.collect_set("_p")).alias("_starts"))

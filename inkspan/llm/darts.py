@@ -11,11 +11,12 @@ Classes are found in rounds, each of links that are checked exactly on the whole
 2. Signatures are banded. Texts that share a band are linked to the least id of it - first to the least
    over all their bands, then, where that left them in another class, to the least of each band.
 3. In bands that still hold several classes, every text outside the largest class is compared with all
-   texts of the band, in blocks of bounded size, by signature; pairs near the threshold are checked.
+   texts of the band, in blocks of bounded size, by signature and then exactly; a block returns only the
+   links that join classes.
 So a band of thousands of copies makes one link a copy, and no band is cut short or skipped.
 
 A band's least id comes from a partial aggregate that is joined back. Memory of a task: an Arrow batch,
-two blocks of BLOCK signatures, or the two shingle sets of a pair.
+two blocks of BLOCK signatures and sets, or the two shingle sets of a pair.
 
 Texts of under SHINGLE words are one shingle of all their words. Null and wordless texts link to nothing
 but, if not null, to equal texts. Rows that share a doc_id are one document; a null doc_id is kept, in a
@@ -27,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,17 +67,25 @@ def throw(elements: np.ndarray, weights: np.ndarray, reach: float) -> tuple[np.n
     level = np.arange(len(cell)) - np.repeat(np.cumsum(cells) - cells, cells)
     height = np.repeat(weights, cells) - level
     seed = mix(cell + level.astype(np.uint64) * BASES[2])
-    rank, number = np.zeros(len(cell)), 0
+    # The first few arrivals of all cells at once, then cell by cell what is still in reach.
+    most = int(reach + 6 * np.sqrt(reach) + 4)
     ranks, ids = [], []
+    rank, number = np.zeros(len(cell)), 0
     while len(seed):
-        dart = mix(seed + np.uint64((2 * number + 1) * int(BASES[0]) % (1 << 64)))
-        rank = rank - np.log(_uniform(dart))
-        on = rank <= reach
-        seed, rank, height, dart = seed[on], rank[on], height[on], dart[on]
-        hit = (height >= 1) | (_uniform(mix(dart ^ BASES[1])) <= height)
-        ranks.append(rank[hit])
+        numbers = np.arange(number, number + most, dtype=np.uint64)
+        dart = mix(seed[:, None] + (numbers * np.uint64(2) + np.uint64(1))[None, :] * BASES[0])
+        gaps = -np.log(_uniform(dart))
+        gaps[:, 0] += rank
+        at = np.cumsum(gaps, 1)
+        hit = at <= reach
+        broken = height < 1
+        if broken.any():
+            hit[broken] &= _uniform(mix(dart[broken] ^ BASES[1])) <= height[broken, None]
+        ranks.append(at[hit])
         ids.append(dart[hit])
-        number += 1
+        on = at[:, -1] <= reach
+        seed, rank, height = seed[on], at[on, -1], height[on]
+        number, most = number + most, max(1, most // 2)
     return np.concatenate(ranks), np.concatenate(ids)
 
 
@@ -161,11 +169,11 @@ def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("id", "_k"), "_k", "left").select("_k", F.coalesce("root", "_k").alias("_class"))
 
 
-def stragglers(bands: DataFrame, classes: DataFrame, sketches: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs of different classes in one band whose signatures come near the threshold.
+def stragglers(bands: DataFrame, classes: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links that join different classes in one band.
 
     Bands of one class drop out by an aggregate. In the others, members outside the largest class meet
-    all members, BLOCK against BLOCK.
+    all members, BLOCK against BLOCK, first by signature, then by their shingle sets.
     """
     placed = bands.join(classes, "_k")
     sizes = placed.groupBy("_band", "_class").agg(F.count(F.lit(1)).alias("_n"))
@@ -175,32 +183,33 @@ def stragglers(bands: DataFrame, classes: DataFrame, sketches: DataFrame, k: int
     ).where("_kinds > 1")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     members = placed.join(mixed, "_band").withColumns({"_left": blocks("_others"), "_right": blocks("_all"), "_outside": F.col("_class") != F.col("_major")})
-    members = members.join(sketches.select("_k", "_sketch"), "_k")
+    members = members.join(sketches.select("_k", "_sketch"), "_k").join(sets, "_k")
     spot = lambda n: F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
-    left = members.where("_outside").select(
-        "_band", spot("_left").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_right") - 1)).alias("_j"), "_k", "_class", "_sketch", F.lit(True).alias("_out")
-    )
-    right = members.select(
-        "_band", F.explode(F.sequence(F.lit(0), F.col("_left") - 1)).alias("_i"), spot("_right").alias("_j"), "_k", "_class", "_sketch", F.lit(False).alias("_out")
-    )
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        sides = [frame[frame["_out"] == x] for x in (True, False)]
-        if not len(sides[0]) or not len(sides[1]):
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        (ka, ca, sa), (kb, cb, sb) = (
-            (s["_k"].to_numpy(np.int64), s["_class"].to_numpy(np.int64), np.frombuffer(b"".join(s["_sketch"]), np.uint8).reshape(len(s), -1))
-            for s in sides
-        )
-        out = []
-        for x, c, s in zip(ka, ca, sa):
-            near = ((sb == s).mean(1) >= threshold - SLACK) & (cb != c)
-            y = kb[near]
-            out.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
-        a, b = np.concatenate(out, 1)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return left.unionByName(right).groupBy("_band", "_i", "_j").applyInPandas(compare, "a long, b long").distinct()
+    side = lambda df, out, i, j: df.select("_band", i.alias("_i"), j.alias("_j"), "_k", "_class", "_sketch", "_set", F.lit(out).alias("_out"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = side(members.where("_outside"), True, spot("_left"), every("_right"))
+    right = side(members, False, every("_left"), spot("_right"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        """Links between classes, as a forest: classes that one link has joined are not compared again."""
+        keys, classes = block.column("_k").to_numpy(), block.column("_class").to_numpy()
+        out = block.column("_out").to_numpy()
+        mine, theirs = np.flatnonzero(out), np.flatnonzero(~out)
+        found: list[tuple[int, int]] = []
+        if len(mine) and len(theirs):
+            sketch = np.frombuffer(b"".join(block.column("_sketch").to_pylist()), np.uint8).reshape(len(keys), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in block.column("_set").to_pylist()]
+            distinct, root = np.unique(classes, return_inverse=True)
+            other = sketch[theirs]
+            for x in mine:
+                close = (other == sketch[x]).mean(1) >= threshold - SLACK
+                for y in theirs[close]:
+                    if root[x] != root[y] and similarity(sets[x], sets[y]) >= threshold:
+                        found.append((max(keys[x], keys[y]), min(keys[x], keys[y])))
+                        root[root == root[y]] = root[x]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return left.unionByName(right).groupBy("_band", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
@@ -224,15 +233,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     first = banded.where("_hub <> _k").groupBy(F.col("_k").alias("a")).agg(F.min("_hub").alias("b"))
     links = cut(verify(first, sets, threshold))
     classes = cut(_classes(nodes, links))
-    for more in ("hubs", "blocks"):
-        if more == "hubs":
-            pairs = banded.where("_hub <> _k").select(F.col("_k").alias("a"), F.col("_hub").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-            ca, cb = (classes.select(F.col("_k").alias(c), F.col("_class").alias("_c" + c)) for c in "ab")
-            pairs = pairs.join(ca, "a").join(cb, "b").where("_ca <> _cb").select("a", "b")
-        else:
-            pairs = stragglers(banded.select("_k", "_band"), classes, sketches, bands * rows, threshold)
-        links = cut(links.unionByName(verify(cut(pairs), sets, threshold)))
-        classes = cut(_classes(nodes, links))
+    hubs = banded.where("_hub <> _k").select(F.col("_k").alias("a"), F.col("_hub").alias("b")).distinct()
+    ca, cb = (classes.select(F.col("_k").alias(c), F.col("_class").alias("_c" + c)) for c in "ab")
+    apart = hubs.join(first, ["a", "b"], "left_anti").join(ca, "a").join(cb, "b").where("_ca <> _cb").select("a", "b")
+    links = cut(links.unionByName(verify(cut(apart), sets, threshold)))
+    classes = cut(_classes(nodes, links))
+    links = links.unionByName(cut(stragglers(banded.select("_k", "_band"), classes, sketches, sets, threshold)))
 
     # Copies follow their text; rows that share a doc_id join what they belong to.
     joined = copies.where("_k <> _rep").select(F.col("_k").alias("a"), F.col("_rep").alias("b"))

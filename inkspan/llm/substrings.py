@@ -15,7 +15,8 @@ partial aggregate (least doc_id), which is joined back, so a passage that a thir
 is summed before it moves. Memory: an Arrow batch of texts.
 
 Null and wordless texts have no words and keep none. Documents under ``window`` words lose nothing. Rows
-that share a doc_id do not count as others. A null doc_id sorts after all others. Extra columns are
+that share a doc_id do not count as others, and each loses what its own text repeats. A null doc_id sorts
+after all others. Extra columns are
 dropped by ``find_repeats`` and kept by ``drop_repeats``; its outputs replace columns of the same names.
 """
 
@@ -81,27 +82,28 @@ def _level(rows: DataFrame, length: int, before: int | None, window: int) -> Dat
 
 
 def _last(rows: DataFrame, before: int, window: int) -> DataFrame:
-    """(_k, _raw, _held) -> _k, _h, _p: surviving windows and where they start."""
+    """(_k, _raw, _held, _t) -> _k, _t, _h, _p: surviving windows and where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, parts = batch.column(2), []
-            for i, (k, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for i, (k, raw, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
                 words = word_hashes(raw or b"")
                 own = held[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.flatnonzero(_alive(words, own, before, window))
                 h = window_hashes(words, window)[at].view(np.int64)
-                parts.append((np.full(len(at), k), h, at.astype(np.int32)))
+                parts.append((np.full(len(at), k), np.full(len(at), t), h, at.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["_k", "_h", "_p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["_k", "_t", "_h", "_p"])
 
-    return rows.mapInArrow(run, "_k long, _h long, _p int")
+    return rows.mapInArrow(run, "_k long, _t long, _h long, _p int")
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
-    """_k, _starts: where in a document windows start that also start in one with a smaller doc_id.
+    """_k, _t, _starts: where in a document windows start that also start in one with a smaller doc_id.
 
-    _k is doc_id, or the largest long for null; documents without such windows have no row.
+    _k is doc_id, or the largest long for null, and _t a hash of the text, which tells rows apart that
+    share a doc_id; documents without such windows have no row.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_k"), F.col("text").cast("binary").alias("_raw"))
     if not 0 < start < window:
@@ -114,12 +116,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> D
         shared = anchors.groupBy("_h").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi")).where("_lo < _hi")
         held = anchors.join(shared.select("_h"), "_h", "left_semi").groupBy("_k").agg(F.collect_list("_h").alias("_held"))
         before = length
-    windows = _last(rows.join(held, "_k"), before, window)
+    windows = _last(rows.join(held, "_k").select("_k", "_raw", "_held", F.xxhash64("_raw").alias("_t")), before, window)
     first = windows.groupBy("_h").agg(F.min("_k").alias("_lo"))
     return (
         windows.join(first, "_h")
         .where("_lo < _k")
-        .groupBy("_k")
+        .groupBy("_k", "_t")
         .agg(F.array_sort(F.collect_set("_p")).alias("_starts"))
     )
 
@@ -138,7 +140,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> D
     out = ["n_words", "n_removed", "kept_sha256", "kept"]
     keep = [c for c in docs.columns if c not in out]
     rows = docs.select(*keep, F.coalesce("doc_id", F.lit(LAST)).alias("_k"), F.col("text").cast("binary").alias("_raw"))
-    joined = rows.join(starts, "_k", "left").select(*keep, "_raw", "_starts")
+    rows = rows.withColumn("_t", F.xxhash64("_raw"))
+    joined = rows.join(starts, ["_k", "_t"], "left").select(*keep, "_raw", "_starts")
     # The columns that are kept ride through the task as they are.
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 

@@ -10,7 +10,8 @@ one the window is its own anchor, and its words are compared by a 64-bit hash.
 A word goes if a window that covers it also starts in a document with a smaller doc_id. All levels look
 at the input, not at what is left.
 
-Shuffled are anchors and surviving windows, never all pairs: an anchor's or window's documents meet in a
+Texts that are equal as a whole are settled first, by digest: all but the least doc_id go, and only that
+one looks for windows. Shuffled are anchors and surviving windows, never all pairs: an anchor's or window's documents meet in a
 partial aggregate (least doc_id), which is joined back, so a passage that a third of the documents hold
 is summed before it moves. Memory: an Arrow batch of texts.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import shared_table
+from inkspan.llm.common import cut, shared_table
 from inkspan.llm.rolling import lowest, window_hashes, word_hashes
 
 WINDOW = 50
@@ -56,13 +57,13 @@ def _alive(words: np.ndarray, held: np.ndarray, length: int, window: int) -> np.
 
 
 def _level(rows: DataFrame, length: int, before: int | None, window: int) -> DataFrame:
-    """(_k, _raw [, _held]) -> _k, _h: the anchors of surviving windows."""
+    """(_k, _t, _raw [, _held]) -> _k, _t, _h: the anchors of surviving windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
-            held = batch.column(2) if before else None
-            for i, (k, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            parts = []
+            held = batch.column(3) if before else None
+            for i, (k, t, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 words = word_hashes(raw or b"")
                 if len(words) < window:
                     continue
@@ -70,24 +71,23 @@ def _level(rows: DataFrame, length: int, before: int | None, window: int) -> Dat
                 if before:
                     own = held[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     anchors = anchors[_alive(words, own, before, window)]
-                anchors = np.unique(anchors)
-                keys.append(np.full(len(anchors), k))
-                found.append(anchors)
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(found).view(np.int64))], ["_k", "_h"]
-                )
+                anchors = np.unique(anchors).view(np.int64)
+                parts.append((np.full(len(anchors), k), np.full(len(anchors), t), anchors))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["_k", "_t", "_h"])
 
-    return rows.mapInArrow(run, "_k long, _h long")
+    return rows.mapInArrow(run, "_k long, _t long, _h long")
 
 
-def _last(rows: DataFrame, before: int, window: int) -> DataFrame:
-    """(_k, _raw, _held, _t) -> _k, _t, _h, _p: surviving windows and where they start."""
+def _last(rows: DataFrame, text: int, before: int, window: int) -> DataFrame:
+    """(..., _k, _t, _held) with the text at column ``text`` -> _k, _t, _h, _p: surviving windows and where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, parts = batch.column(2), []
-            for i, (k, raw, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
+            held, parts = batch.column(batch.num_columns - 1), []
+            raws = batch.column(text).cast(pa.binary()).to_pylist()
+            keys, ties = (batch.column(batch.num_columns - c).to_pylist() for c in (3, 2))
+            for i, (k, t, raw) in enumerate(zip(keys, ties, raws)):
                 words = word_hashes(raw or b"")
                 own = held[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.flatnonzero(_alive(words, own, before, window))
@@ -99,31 +99,47 @@ def _last(rows: DataFrame, before: int, window: int) -> DataFrame:
     return rows.mapInArrow(run, "_k long, _t long, _h long, _p int")
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
-    """_k, _t, _starts: where in a document windows start that also start in one with a smaller doc_id.
+def _keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """_c0, _c1, ...: the columns, under names that clash with none; _k and _t."""
+    return docs.select(
+        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)],
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_k"), F.xxhash64("text").alias("_t"),
+    )
+
+
+def find_repeats(docs: DataFrame, window: int = WINDOW, start: int = START, columns: list[str] | None = None) -> DataFrame:
+    """_k, _t, _copy, _starts: what repeats a document with a smaller doc_id.
 
     _k is doc_id, or the largest long for null, and _t a hash of the text, which tells rows apart that
-    share a doc_id; documents without such windows have no row.
+    share a doc_id. _copy: the whole text does. _starts: where such windows start. Documents with neither
+    have no row. ``columns`` ride along to the last level, so that a caller who joins the same columns by
+    (_k, _t) shares its exchange.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_k"), F.col("text").cast("binary").alias("_raw"))
     if not 0 < start < window:
         raise ValueError(f"start must lie between 0 and window: {start}, {window}")
-    steps = levels(window, start)
+    columns = columns or ["text"]
+    rows = _keyed(docs, columns)
+    texts = _keyed(docs, ["text"]).select("_k", "_t", F.col("_c0").cast("binary").alias("_raw"))
+    known = shared_table(texts.where("_raw is not null").select("_k", "_t", F.unhex(F.md5("_raw")).alias("_d")), "digests")
+    least = known.groupBy("_d").agg(F.min("_k").alias("_lo"))
+    roles = cut(known.join(least, "_d").groupBy("_k", "_t").agg(F.max(F.col("_lo") < F.col("_k")).alias("_copy")))
+    alone = roles.where("not _copy").select("_k", "_t")
+
     held, before = None, None
+    steps = levels(window, start)
     for length in steps[:-1]:
-        source = rows if held is None else rows.join(held, "_k")
+        source = texts if held is None else texts.join(held, ["_k", "_t"]).select("_k", "_t", "_raw", "_held")
         anchors = shared_table(_level(source, length, before, window), f"anchors{length}")
-        shared = anchors.groupBy("_h").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi")).where("_lo < _hi")
-        held = anchors.join(shared.select("_h"), "_h", "left_semi").groupBy("_k").agg(F.collect_list("_h").alias("_held"))
+        shared = anchors.groupBy("_h").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where("_lo < _hi")
+        alive = anchors.join(shared.select("_h"), "_h", "left_semi").join(alone, ["_k", "_t"], "left_semi")
+        held = alive.groupBy("_k", "_t").agg(F.collect_list("_h").alias("_held"))
         before = length
-    windows = _last(rows.join(held, "_k").select("_k", "_raw", "_held", F.xxhash64("_raw").alias("_t")), before, window)
+    joined = rows.join(held, ["_k", "_t"]).select(*(c for c in rows.columns if c[:2] == "_c"), "_k", "_t", "_held")
+    windows = _last(joined, columns.index("text"), before, window)
     first = windows.groupBy("_h").agg(F.min("_k").alias("_lo"))
-    return (
-        windows.join(first, "_h")
-        .where("_lo < _k")
-        .groupBy("_k", "_t")
-        .agg(F.array_sort(F.collect_set("_p")).alias("_starts"))
-    )
+    repeats = windows.join(first, "_h").where("_lo < _k").groupBy("_k", "_t").agg(F.array_sort(F.collect_set("_p")).alias("_starts"))
+    copies = roles.where("_copy").select("_k", "_t", "_copy", F.lit(None).cast("array<int>").alias("_starts"))
+    return copies.unionByName(repeats.select("_k", "_t", F.lit(False).alias("_copy"), "_starts"))
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -136,37 +152,39 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
     """docs' columns and n_words, n_removed, kept_sha256, kept (the words left, joined by one space)."""
-    starts = find_repeats(docs, window, start)
     out = ["n_words", "n_removed", "kept_sha256", "kept"]
     keep = [c for c in docs.columns if c not in out]
-    rows = docs.select(*keep, F.coalesce("doc_id", F.lit(LAST)).alias("_k"), F.col("text").cast("binary").alias("_raw"))
-    rows = rows.withColumn("_t", F.xxhash64("_raw"))
-    joined = rows.join(starts, ["_k", "_t"], "left").select(*keep, "_raw", "_starts")
+    rows = _keyed(docs, keep)
+    found = find_repeats(docs, window, start, keep)
+    inner = [f"_c{i}" for i in range(len(keep))]
+    joined = rows.join(found, ["_k", "_t"], "left").select(*inner, "_copy", "_starts")
+    text, n = keep.index("text"), len(keep)
     # The columns that are kept ride through the task as they are.
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(keep)
-            raws, at = batch.column(n).to_pylist(), batch.column(n + 1)
+            raws, copy, at = batch.column(text).cast(pa.binary()).to_pylist(), batch.column(n), batch.column(n + 1)
             words_n, removed, digests, kept = [], [], [], []
             for i, raw in enumerate(raws):
                 words = (raw or b"").split()
-                gone = 0
-                if at[i].is_valid:
+                gone, left = 0, words
+                if copy[i].as_py():
+                    if len(words) >= window:
+                        gone, left = len(words), []
+                elif at[i].is_valid:
                     cover = covered(len(words), at[i].values.to_numpy(zero_copy_only=False).astype(np.int64), window)
                     gone = int(cover.sum())
-                    words_left = [words[j] for j in np.flatnonzero(~cover)]
-                else:
-                    words_left = words
-                text = b" ".join(words_left)
+                    left = [words[j] for j in np.flatnonzero(~cover)]
+                joined_left = b" ".join(left)
                 words_n.append(len(words)), removed.append(gone)
-                digests.append(hashlib.sha256(text).hexdigest()), kept.append(text)
+                digests.append(hashlib.sha256(joined_left).hexdigest()), kept.append(joined_left)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
-                [*keep, *out],
+                [*inner, *out],
             )
 
-    return joined.mapInArrow(
-        run, f"{types}, n_words long, n_removed long, kept_sha256 string, kept binary"
-    ).withColumn("kept", F.col("kept").cast("string"))
+    made = joined.mapInArrow(run, f"{types}, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return made.select(
+        *[F.col(c).alias(k) for c, k in zip(inner, keep)], "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept")
+    )

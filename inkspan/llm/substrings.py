@@ -99,6 +99,16 @@ def _last(rows: DataFrame, text: int, before: int, window: int) -> DataFrame:
     return rows.mapInArrow(run, "_k long, _t long, _h long, _p int")
 
 
+def _back(rows: DataFrame, sums: DataFrame, how: str = "inner") -> DataFrame:
+    """Join sums by _h back to the rows they were made of.
+
+    By a key that is not the one of the aggregate, both sides are dealt out for the join alone, and Spark
+    splits the rows of a passage that many documents hold over several tasks.
+    """
+    turned = sums.withColumn("_g", F.bitwise_not("_h")).drop("_h")
+    return rows.withColumn("_g", F.bitwise_not("_h")).join(turned, "_g", how).drop("_g")
+
+
 def _keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """_c0, _c1, ...: the columns, under names that clash with none; _k and _t."""
     return docs.select(
@@ -131,13 +141,13 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, start: int = START, colu
         source = texts if held is None else texts.join(held, ["_k", "_t"]).select("_k", "_t", "_raw", "_held")
         anchors = shared_table(_level(source, length, before, window), f"anchors{length}")
         shared = anchors.groupBy("_h").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where("_lo < _hi")
-        alive = anchors.join(shared.select("_h"), "_h", "left_semi").join(alone, ["_k", "_t"], "left_semi")
+        alive = _back(anchors, shared.select("_h"), "left_semi").join(alone, ["_k", "_t"], "left_semi")
         held = alive.groupBy("_k", "_t").agg(F.collect_list("_h").alias("_held"))
         before = length
     joined = rows.join(held, ["_k", "_t"]).select(*(c for c in rows.columns if c[:2] == "_c"), "_k", "_t", "_held")
     windows = _last(joined, columns.index("text"), before, window)
-    first = windows.groupBy("_h").agg(F.min("_k").alias("_lo"))
-    repeats = windows.join(first, "_h").where("_lo < _k").groupBy("_k", "_t").agg(F.array_sort(F.collect_set("_p")).alias("_starts"))
+    first = windows.groupBy("_h").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi")).where("_lo < _hi")
+    repeats = _back(windows, first.select("_h", "_lo")).where("_lo < _k").groupBy("_k", "_t").agg(F.array_sort(F.collect_set("_p")).alias("_starts"))
     copies = roles.where("_copy").select("_k", "_t", "_copy", F.lit(None).cast("array<int>").alias("_starts"))
     return copies.unionByName(repeats.select("_k", "_t", F.lit(False).alias("_copy"), "_starts"))
 

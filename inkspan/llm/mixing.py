@@ -4,7 +4,8 @@
    and the excess is shared again by weight until none is above.
 2. Blocks. Each source is permuted by a seeded hash and cut into BLOCKS blocks of that order. A source
    whose target is r times its size is read floor(r) times whole, and once more up to the fraction
-   that is left: whole blocks of a fresh permutation, then documents of one more block.
+   that is left: blocks of a fresh permutation while they fit, the smallest of the others while they fit,
+   and the same again with the BLOCKS parts of one more block, then with the documents of one more part.
 3. Tree. Every source brings as many exchangeable tokens as blocks are to be read. At each node of a
    binary tree over the output shards the tokens are ranked by a hash and split in proportion to the
    shards on each side: the counts by source follow the multivariate hypergeometric law and add up
@@ -95,6 +96,18 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return tokens.groupBy("source", F.col("_lo").alias("shard")).agg(F.count(F.lit(1)).alias("blocks"))
 
 
+def _smallest_first(pieces: DataFrame, of: list[str], name: str) -> DataFrame:
+    """Of the pieces not read whole, the smallest while they fit in _rest (_whole), and the _room left for one more."""
+    order = Window.partitionBy(*of).orderBy("_words", name).rowsBetween(Window.unboundedPreceding, 0)
+    open_, before = ~F.col("_whole") & (F.col("_rest") > 0), F.col("_upto") - F.col("_words")
+    return (
+        pieces.withColumn("_upto", F.sum("_words").over(order))
+        .withColumn("_room", F.when(open_ & (F.col("_upto") > F.col("_rest")) & (before < F.col("_rest")), F.col("_rest") - before))
+        .withColumn("_whole", F.col("_whole") | (open_ & (F.col("_upto") <= F.col("_rest"))))
+        .drop("_upto")
+    )
+
+
 def plan_mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -113,31 +126,36 @@ def plan_mix(
     own = [c for c in keep if c not in ("doc_id", "source")]
     sized = docs.select(
         "doc_id", "source", *own, word_count("text").alias("size"),
-        _unit(F.col("doc_id"), F.lit(seed)).alias("_at"), F.xxhash64("text", F.lit(seed)).alias("_tie"),
-    ).withColumn("_block", F.floor(F.col("_at") * blocks).cast("int"))
+        _unit(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")), F.lit(seed)).alias("_at"),
+        F.xxhash64("text", F.lit(seed)).alias("_tie"),
+    )
+    inner = F.col("_at") * blocks
+    sized = sized.withColumn("_block", F.floor(inner).cast("int")).withColumn("_part", F.floor((inner - F.floor(inner)) * blocks).cast("int"))
     if not own:
         sized = cut(sized)
-    by_block = cut(sized.groupBy("source", "_block").agg(F.sum("size").alias("_words")))
+    by_part = cut(sized.groupBy("source", "_block", "_part").agg(F.sum("size").alias("_words")))
+    by_block = cut(by_part.groupBy("source", "_block").agg(F.sum("_words").alias("_words")))
     targets = source_targets(by_block.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, cap)
 
-    # The order in which a source's blocks are drawn, and how far the broken pass gets in it.
+    # Which blocks the broken pass reads, and in which order blocks are drawn: those that it reads first.
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "_block", F.lit(seed + 1)), "_block")
+    by_hash = [F.xxhash64("source", "_block", F.lit(seed + 1)), F.col("_block")]
+    so_far = Window.partitionBy("source").orderBy(*by_hash).rowsBetween(Window.unboundedPreceding, 0)
     t = targets.withColumnRenamed("source", "_s")
-    ordered = cut(
+    fitted = (
         by_block.join(t, F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
         .withColumn("_passes", F.floor(rate).cast("int"))
         .withColumn("_rest", F.col("target") - F.col("_passes") * F.col("source_size"))
-        .withColumn("_pos", F.row_number().over(order))
         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("source")))
-        .withColumn("_upto", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_before", F.col("_upto") - F.col("_words"))
-        .withColumn("_whole", (F.col("_rest") > 0) & (F.col("_upto") <= F.col("_rest")))
-        .withColumn("_broken", (F.col("_upto") > F.col("_rest")) & (F.col("_before") < F.col("_rest")))
+        .withColumn("_whole", (F.col("_rest") > 0) & (F.sum("_words").over(so_far) <= F.col("_rest")))
+        .withColumn("_rest", F.col("_rest") - F.sum(F.when(F.col("_whole"), F.col("_words")).otherwise(0)).over(Window.partitionBy("source")))
     )
+    partly_read = F.col("_whole") | F.col("_room").isNotNull()
+    order = Window.partitionBy("source").orderBy(~partly_read, *by_hash)
+    ordered = cut(_smallest_first(fitted, ["source", "_whole"], "_block").withColumn("_pos", F.row_number().over(order)))
     quotas = ordered.groupBy("source").agg(
-        (F.max("_passes") * F.max("_n") + F.count_if(F.col("_whole") | F.col("_broken"))).cast("int").alias("quota")
+        (F.max("_passes") * F.max("_n") + F.count_if(partly_read)).cast("int").alias("quota")
     )
     upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     runs = (
@@ -149,7 +167,7 @@ def plan_mix(
         )
     )
     # Pass p of a source of n blocks makes draws (p - 1) * n + 1 to p * n, in block order.
-    reads = F.col("_passes") + F.when(F.col("_whole") | F.col("_broken"), 1).otherwise(0)
+    reads = F.col("_passes") + F.when(partly_read, 1).otherwise(0)
     drawn = (
         ordered.where(reads > 0)
         .select("source", "_block", "_n", "_pos", "_passes", F.explode(F.sequence(F.lit(1), reads)).alias("pass"))
@@ -162,22 +180,30 @@ def plan_mix(
         ordered.join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left").select(
             F.col("source").alias("_source"), F.col("_block").alias("_of"), "source_size", "target",
             F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>")).alias("draws"),
-            F.when(F.col("_broken"), F.col("_rest") - F.col("_before")).alias("_room"), "_passes",
+            "_room", "_passes",
         )
     )
     planned = sized.join(
         block_plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_of"))
     )
-    # Documents of a broken block are taken, smallest first, while they bring the sum nearer its room.
-    inside = Window.partitionBy("source", "_block").orderBy("size", "_at", "doc_id", "_tie")
+    # The same in a broken block's parts, and in a broken part's documents, which are taken, smallest first,
+    # while they bring the sum nearer its room.
+    broken = block_plan.where("_room is not null").select("_source", "_of", F.col("_room").alias("_rest"))
+    parts = by_part.join(broken, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_of")))
+    parts = _smallest_first(parts.select("source", "_block", "_part", "_words", "_rest", F.lit(False).alias("_whole")), ["source", "_block"], "_part")
+    parts = cut(parts.select(F.col("source").alias("_ps"), F.col("_part").alias("_pp"), F.col("_whole").alias("_all"), F.col("_room").alias("_left")))
+    inside = Window.partitionBy("source", "_block", "_part").orderBy("size", "_at", "doc_id", "_tie")
     sofar = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    fewer = F.slice("draws", F.lit(1), F.col("_passes"))
+    opened = planned.where("_room is not null").join(parts, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("_part") == F.col("_pp")))
+    settled = opened.where("_left is null").withColumn("draws", F.when(F.col("_all"), F.col("draws")).otherwise(fewer))
     partly = (
-        planned.where("_room is not null")
-        .withColumn("_in", sofar - F.col("size") / 2 <= F.col("_room"))
-        .withColumn("draws", F.when(F.col("_in"), F.col("draws")).otherwise(F.slice("draws", F.lit(1), F.col("_passes"))))
+        opened.where("_left is not null")
+        .withColumn("_in", sofar - F.col("size") / 2 <= F.col("_left"))
+        .withColumn("draws", F.when(F.col("_in"), F.col("draws")).otherwise(fewer))
     )
     columns = ["doc_id", "source", *own, "size", "source_size", "target", "draws"]
-    return planned.where("_room is null").select(columns).unionByName(partly.select(columns))
+    return planned.where("_room is null").select(columns).unionByName(settled.select(columns)).unionByName(partly.select(columns))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

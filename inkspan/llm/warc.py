@@ -1,17 +1,17 @@
 """WARC archives: writing with revisit records, and reading by boundary-chain verification.
 
 Writing. A record is text with CRLF lines, so archives are written by Spark's own text writer with the
-record terminator (two CRLFs) as line separator; they go wherever Spark can write. Of records whose
+record terminator (two CRLFs) as line separator, compressed with gzip; they go wherever Spark can write. Of records whose
 payloads are equal and of at least ``min_bytes`` bytes, the one with the smallest page_id is a response
 and the others are revisits that refer to it and carry no payload.
 
 Reading. A payload may hold anything, a WARC header included. Tasks emit, for every place where a record
-could start, its offset and the offset its length says comes next. Per archive, pointer jumping from
+could start, its offset (in the archive's own bytes, gzip undone) and the offset its length says comes next. Per archive, pointer jumping from
 offset 0 (each round doubles the steps every pointer takes) finds what is reachable; only that is kept.
 A chain that does not end at the end of the archive is an error unless ``strict`` is off.
 
-The smallest page_id of a digest is found with a partial aggregate and joined back, so a payload that a
-third of the pages share is summed before it moves. Memory of a reading task: one archive, whose size
+The smallest page_id of a digest is found with a partial aggregate over ids and digests; payloads are dealt
+out once, by page, so a payload that a third of the pages share makes no task larger. Memory of a reading task: one archive, whose size
 writing bounds by ``pages_per_archive``; the chain of an archive is a list of offsets.
 
 Nulls: a null html is an empty payload, a null url becomes urn:page:<id>, a null page_id is written as
@@ -22,6 +22,7 @@ those with the smallest page_id of their payload are all responses. Empty input
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -50,13 +51,24 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*groups)
 
 
+def revisits(ids: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, _bytes, _sha1) -> _id, _of, _first: rows that revisit _first. No payload moves here."""
+    large = ids.where(F.col("_bytes") >= min_bytes)
+    first = large.groupBy("_sha1").agg(F.min("page_id").alias("_first")).where("_first is not null")
+    # Not by the key of the aggregate, so that Spark can split the rows of a payload that many pages share.
+    first = first.select(F.reverse("_sha1").alias("_turned"), "_first")
+    found = large.withColumn("_turned", F.reverse("_sha1")).join(first, "_turned")
+    return found.where(~F.col("page_id").eqNullSafe(F.col("_first"))).select(F.col("page_id").alias("_id"), F.col("_sha1").alias("_of"), "_first").distinct()
+
+
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, value: each page's record without its terminator."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("_html"))
-    rows = rows.withColumn("_bytes", F.octet_length("_html")).withColumn("_sha1", F.sha1(F.col("_html").cast("binary")))
-    first = rows.where(F.col("_bytes") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"))
-    rows = rows.join(first, "_sha1", "left")
-    revisit = (F.col("_bytes") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", html.alias("_html"), F.octet_length(html).alias("_bytes"), F.sha1(html.cast("binary")).alias("_sha1"))
+    again = revisits(rows.select("page_id", "_bytes", "_sha1"), min_bytes)
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_sha1") == F.col("_of"))
+    rows = rows.join(again, same, "left")
+    revisit = F.col("_first").isNotNull()
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     url = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), name)), r"[\x00-\x20\x7F]", "%20")
     http = F.concat(
@@ -76,11 +88,9 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, pages_per_archive: int = 2000) -> None:
-    """Archives of about ``pages_per_archive`` records each under ``path``."""
-    parts = max(1, -(-pages.count() // pages_per_archive))
-    # By record, so that a retried task writes the same archive.
-    spread = F.xxhash64("page_id", "value")
-    records(pages, min_bytes).repartition(parts, spread).select("value").write.option("lineSep", END).mode("errorifexists").text(path)
+    """Archives of at most ``pages_per_archive`` records each under ``path``."""
+    out = records(pages, min_bytes).select("value").write.option("lineSep", END).option("maxRecordsPerFile", pages_per_archive).option("compression", "gzip")
+    out.mode("errorifexists").text(path)
 
 
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.I)
@@ -133,7 +143,7 @@ CANDIDATE = (
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"]):
-            rows = []
+            data, rows = gzip.decompress(data) if path.endswith(".gz") else data, []
             for at, block, to in candidates(data):
                 h = _header(data[at : block - 4])
                 http = data[block : to - len(END)]
@@ -165,7 +175,7 @@ def _keep(strict: bool):
 
 def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The records of the archives under ``path``: record_id, url, record_type, refers, payload_bytes, payload_digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,txt.gz}").load(path).select("path", "content")
     found = files.where("length(content) > 0").mapInPandas(_emit, CANDIDATE)
     # Only offsets meet by archive; payloads stay where they were read.
     chain = found.select("archive", "size", "start", "successor")

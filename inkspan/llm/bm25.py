@@ -16,7 +16,7 @@ BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf * (K1 + 1) / (tf + K1 * (1 -
 each distinct term of a query counted once. Terms are lower-cased runs of letters and digits (beyond ASCII,
 any character but white space).
 
-Queries are packed QUERIES a row and meet every shard: one row of each in a task. Hits are lists of k a
+Queries are packed QUERIES a row and go to every shard; a task holds one shard and one such row. Hits are lists of k a
 (query, shard), merged in two levels. Ranks: best score first, ties to the smaller doc_id; a query's own
 row is no hit; only documents that share a term are hits. Null and wordless texts are never found and
 find nothing. Rows without doc_id are left out; rows that repeat a doc_id are hits of their own.
@@ -228,24 +228,28 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, q
         .applyInPandas(pack, "q_ids binary, q_bounds binary, q_terms binary, q_df binary")
     )
     queries = shared_table(packed, "queries")
-    # Every block of queries meets every shard: blocks * shards rows, each within a fixed size.
+    # Every block of queries goes to every shard, whose own row comes first there: a shard is never copied.
     parts = max(1, int(stats["shards"]))
+    at = F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("int")
     to = queries.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = to.join(index.withColumn("_to", F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("int")), "_to")
+    asks = to.join(index.select("shard", at.alias("_to")), "_to").drop("_to").withColumn("_second", F.lit(True))
+    dealt = index.withColumn("_second", F.lit(False)).unionByName(asks, allowMissingColumns=True)
+    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "_second")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple = (None, None)
+        held = None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if held[0] != row.shard:
-                    held = (row.shard, Shard(row, mean))
+                if row.ids is not None:
+                    held = Shard(row, mean)
+                    continue
                 ids, bounds = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_bounds, np.int64)
                 words, dfs = np.frombuffer(row.q_terms, np.int64), np.frombuffer(row.q_df, np.int64)
                 idf = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
-                out = [held[1].search(words[a:b], idf[a:b], int(q), k) for q, a, b in zip(ids, bounds[:-1], bounds[1:])]
+                out = [held.search(words[a:b], idf[a:b], int(q), k) for q, a, b in zip(ids, bounds[:-1], bounds[1:])]
                 yield pd.DataFrame({"query_id": ids, "part": row.shard, "ids": [o[0] for o in out], "scores": [o[1] for o in out]})
 
-    hits = pairs.mapInPandas(run, "query_id long, part long, ids array<long>, scores array<double>")
+    hits = dealt.mapInPandas(run, "query_id long, part long, ids array<long>, scores array<double>")
     listed = hits.select(
         "query_id", F.pmod(F.xxhash64("part"), F.lit(256)).alias("part"),
         F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("hits"),

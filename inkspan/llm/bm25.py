@@ -36,7 +36,7 @@ from inkspan.llm.common import shared_table
 from inkspan.llm.rolling import word_hashes
 
 K1, B = 1.2, 0.75
-SHARD, QUERIES, BLOCK = 16384, 256, 64
+SHARD, QUERIES, BLOCK = 4096, 256, 64
 #: Lists over this share of a shard's documents are looked up for survivors instead of being scanned.
 STEPS = (0.02, 0.1, 0.3)
 
@@ -97,15 +97,11 @@ def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 class Shard:
     """One row of the index, with impacts by global statistics (but for the idf factor)."""
 
-    def __init__(self, row, mean: float):
-        self.n = int(row.docs)
-        self.ids = np.frombuffer(row.ids, np.int64)
-        self.terms = np.frombuffer(row.terms, np.int64)
-        self.bounds = np.frombuffer(row.bounds, np.int64)
-        self.posted = np.frombuffer(row.posted, np.int32)
-        tf = np.frombuffer(row.freqs, np.int32).astype(np.float64)
-        norm = K1 * (1 - B + B * np.frombuffer(row.lengths, np.int64) / mean)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.posted])
+    def __init__(self, ids, lengths, terms, bounds, posted, freqs, mean: float):
+        self.n = len(ids)
+        self.ids, self.terms, self.bounds, self.posted = ids, terms, bounds, posted
+        self.impact = freqs * (K1 + 1)
+        self.impact /= freqs + (K1 * (1 - B + B * lengths / mean))[posted]
         self.most = np.maximum.reduceat(self.impact, self.bounds[:-1])
         self.blocks: dict[int, np.ndarray] = {}
 
@@ -236,20 +232,26 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, q
     dealt = index.withColumn("_second", F.lit(False)).unionByName(asks, allowMissingColumns=True)
     dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "_second")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = number = None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.ids is not None:
-                    held = Shard(row, mean)
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            # Views of the batch, no copies.
+            view = lambda name, kind: np.frombuffer(columns[name][i].as_buffer(), kind)  # noqa: E731, B023
+            for i in range(batch.num_rows):
+                if columns["ids"][i].is_valid:
+                    number = columns["shard"][i].as_py()
+                    held = Shard(*(view(c, np.int64).copy() for c in ("ids", "lengths", "terms", "bounds")), *(view(c, np.int32).copy() for c in ("posted", "freqs")), mean)
                     continue
-                ids, bounds = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_bounds, np.int64)
-                words, dfs = np.frombuffer(row.q_terms, np.int64), np.frombuffer(row.q_df, np.int64)
+                ids, bounds, words, dfs = (view(c, np.int64) for c in ("q_ids", "q_bounds", "q_terms", "q_df"))
                 idf = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
                 out = [held.search(words[a:b], idf[a:b], int(q), k) for q, a, b in zip(ids, bounds[:-1], bounds[1:])]
-                yield pd.DataFrame({"query_id": ids, "part": row.shard, "ids": [o[0] for o in out], "scores": [o[1] for o in out]})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), pa.array(np.full(len(ids), number)), pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.list_(pa.float64()))],
+                    ["query_id", "part", "ids", "scores"],
+                )
 
-    hits = dealt.mapInPandas(run, "query_id long, part long, ids array<long>, scores array<double>")
+    hits = dealt.mapInArrow(run, "query_id long, part long, ids array<long>, scores array<double>")
     listed = hits.select(
         "query_id", F.pmod(F.xxhash64("part"), F.lit(256)).alias("part"),
         F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("hits"),

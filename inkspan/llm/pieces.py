@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ SPACE = "▁"
 CACHE = 400_000
 WIDE = 24
 NEVER = np.float32(-np.inf)
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are packed as little-endian 32-bit integers")
 
 
 class Agenda:
@@ -177,9 +181,10 @@ class Agenda:
             rows = np.arange(len(ids))
             busy = gain[rows, best] > NEVER
             if not busy.all():
-                for r in np.flatnonzero(~busy):
-                    s = sym[r]
-                    done[ids[r]] = s[s > -9].tolist()
+                over = sym[~busy]
+                left = (over > -9).sum(1).tolist()
+                for i, row, n in zip(ids[~busy].tolist(), over.tolist(), left):
+                    done[i] = row[:n]
                 sym, piece, gain, ids, best = sym[busy], piece[busy], gain[busy], ids[busy], best[busy]
                 if not len(ids):
                     break
@@ -283,27 +288,43 @@ def segments_of(text: str, newline_cuts: bool = True) -> list[str]:
 
 
 class Codec:
-    """An agenda with its cache; text to (ids as bytes, decoded text, whether the library agrees)."""
+    """An agenda with its cache of segments.
+
+    ids: a segment's ids as bytes. odd: decoded text of segments with ids that do not spell them (bytes,
+    unknown); all others decode to themselves. The cache has two generations: when the young one is full it
+    becomes the old one, and what is used again comes back without being encoded again.
+    """
 
     def __init__(self, model_file: str, cache: int = CACHE):
-        self.agenda, self.size = Agenda(model_file), cache
+        self.agenda, self.size = Agenda(model_file), cache // 2
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
+        self.old: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
         self.differ: set[str] = set()
 
     def learn(self, segments: set[str]) -> None:
-        new = [s for s in segments if s not in self.ids]
-        if len(self.ids) + len(new) > self.size:
-            self.ids.clear(), self.text.clear(), self.differ.clear()
-            new = list(segments)
+        missing = segments.difference(self.ids)
+        if len(self.ids) + len(missing) > self.size:
+            self.old, self.ids, self.odd, missing = (self.ids, self.odd), {}, {}, segments
+        ids, (old, old_odd) = self.ids, self.old
+        new = []
+        for s in missing:
+            held = old.get(s)
+            if held is None:
+                new.append(s)
+            else:
+                ids[s] = held
+                if s in old_odd:
+                    self.odd[s] = old_odd[s]
+        special = self.agenda.special
         for lo in range(0, len(new), 65536):
             part = new[lo : lo + 65536]
             for s, own, lib in zip(part, self.agenda.encode_segments(part), self.agenda.library_segments(part)):
+                ids[s] = array("I", lib).tobytes()
                 if own != lib:
                     self.differ.add(s)
-                self.ids[s] = np.array(lib, "<u4").tobytes()
-                back = self.agenda.decode([self.agenda.bos, *lib]) if s[0] != SPACE else " " + self.agenda.decode(lib)
-                self.text[s] = back.encode("utf-8")
+                if own != lib or not special.isdisjoint(lib):
+                    self.odd[s] = self.agenda.decode([self.agenda.bos, *lib]) if s[0] != SPACE else " " + self.agenda.decode(lib)
 
 
 _codecs: dict[str, Codec] = {}
@@ -324,11 +345,14 @@ def encode_texts(texts: list[str], model_file: str) -> Iterator[tuple[bytes, byt
     head, tail = (np.array([x], "<u4").tobytes() for x in (c.agenda.bos, c.agenda.eos))
     cut = [segments_of(t or "", c.agenda.newline_cuts) for t in texts]
     c.learn(set().union(*cut))
-    ids, text = c.ids, c.text
+    ids, odd = c.ids, c.odd
     for segs in cut:
-        back = b"".join([text[s] for s in segs])
+        if odd.keys().isdisjoint(segs):
+            back = "".join(segs).replace(SPACE, " ")
+        else:
+            back = "".join([odd[s] if s in odd else s.replace(SPACE, " ") for s in segs])
         agrees = not c.differ or c.differ.isdisjoint(segs)
-        yield head + b"".join([ids[s] for s in segs]) + tail, back[1:] if back[:1] == b" " else back, agrees
+        yield head + b"".join(map(ids.__getitem__, segs)) + tail, back.removeprefix(" ").encode("utf-8"), agrees
 
 
 def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, batch_chars: int = 4_000_000) -> DataFrame:

@@ -76,11 +76,11 @@ def test_small_cache_gives_the_same(library):
 
 
 def test_documents_with_nulls_repeats_and_a_long_text(spark, library):
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "x"), (7, None), (8, "same"), (8, "same"), (9, "long word " * 30_000)]
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "x"), (7, None), (1008, "same"), (1008, "same"), (1009, "long word " * 30_000)]
     docs = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, n_tokens string, ids int")
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_documents(docs, MODEL).collect())
     assert got == sorted((str(i), *expected(library, t)) for i, t in rows)
-    full = encode_documents(docs.where("doc_id = 8"), MODEL, with_ids=True).collect()
+    full = encode_documents(docs.where("doc_id = 1008"), MODEL, with_ids=True).collect()
     assert [r.ids for r in full] == [library.encode("same", add_bos=True, add_eos=True)] * 2 and full[0].decoded == "same"
     assert encode_documents(docs.limit(0), MODEL).collect() == []
 

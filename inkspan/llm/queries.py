@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from inkspan.llm import oracles
 
 QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLES: dict = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES |= {
+    "op3_rendezvous_sharding": oracles.OP3,
+    "op6_bm25_search": oracles.OP6,
+    "op7_dart_minhash": oracles.OP7,
+    "op9_substring_dedup": oracles.OP9,
+}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +53,6 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: DuckDB has no CRC-32, so the oracle leaves it to the tests; see tests/llm/test_sharding.py.
-_ARRIVALS = ", ".join(f"[-ln({{h}}), {i}]".replace("{h}", f"(('0x' || substr(md5(concat_ws(':', k, '{i}')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0") for i in range(41))
-
-
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -133,4 +136,5 @@ def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.bm25 import search
 
-    return search(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 50 == 0, k=10)
+    found = search(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 50 == 0, k=10)
+    return found.withColumn("score", F.round("score", 6))

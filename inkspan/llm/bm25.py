@@ -36,7 +36,7 @@ from inkspan.llm.common import shared_table
 from inkspan.llm.rolling import word_hashes
 
 K1, B = 1.2, 0.75
-SHARD, QUERIES, BLOCK = 4096, 256, 64
+SHARD, QUERIES, BLOCK = 8192, 256, 64
 #: Lists over this share of a shard's documents are looked up for survivors instead of being scanned.
 STEPS = (0.02, 0.1, 0.3)
 

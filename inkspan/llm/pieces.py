@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Segments kept by a worker, and characters up to which segments share a score matrix.
-CACHE = 400_000
+CACHE = 100_000
 WIDE = 24
 NEVER = np.float32(-np.inf)
 if sys.byteorder != "little" or array("I").itemsize != 4:

@@ -18,7 +18,7 @@ def asset_names(images: DataFrame, keys, order) -> DataFrame:
     """Adds asset_name: the safe base name, else image_<no>_<hash>.<ext>; a name's later uses get a number before it."""
     w = Window.partitionBy(*keys).orderBy(*order)
     numbered = images.withColumn("image_no", F.row_number().over(w))
-    four = lambda n: F.lpad(n.cast("string"), 4, "0")
+    four = lambda n: F.when(n > 9999, n.cast("string")).otherwise(F.lpad(n.cast("string"), 4, "0"))
     own = base_name(F.coalesce("filename", F.lit("")))
     made = F.concat(F.lit("image_"), four(F.col("image_no")), F.lit("_"), F.substring(F.regexp_replace("image_id", "^sha256:", ""), 1, 12), F.lit("."), type_extension("content_type"))
     named = numbered.withColumn("_name", F.when(own == "", made).otherwise(safe_file_name(own)))

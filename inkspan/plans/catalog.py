@@ -496,7 +496,7 @@ def image_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT doc_id, lang, source || '.png' AS f, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS no FROM documents)
-SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang, f ORDER BY no) = 1 THEN f ELSE lpad(no::VARCHAR, greatest(4, len(no::VARCHAR)), '0') || '_' || f END AS asset_name FROM n""")
+SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang, f ORDER BY no) = 1 THEN f ELSE lpad(no::VARCHAR, greatest(4, len(no::VARCHAR))::INT, '0') || '_' || f END AS asset_name FROM n""")
 def asset_names(spark: SparkSession, sf: str) -> DataFrame:
     images = table(spark, sf, "documents").select("doc_id", "lang", F.concat("source", F.lit(".png")).alias("filename"), F.lit("image/png").alias("content_type"), F.lit("sha256:00").alias("image_id"))
     return assets.asset_names(images, ["lang"], ["doc_id"]).select("doc_id", "lang", "asset_name")

@@ -169,6 +169,12 @@ def clean_pdf_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.substring(T.clean_pdf_text(glued), 1, 60).alias("head"))
 
 
+@query()
+def clean_pdf_text_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole cleaned text; RE2 has no lookaround, so no SQL: tests/test_whole_queries.py has the rules in Python."""
+    return table(spark, sf, "documents").select("doc_id", T.clean_pdf_text("text").alias("text"))
+
+
 # --- spreadsheet operators -----------------------------------------------------------------------
 
 
@@ -462,6 +468,17 @@ def heading_like(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.looks_like_heading(F.split("text", "\n")[0]).alias("is_heading"))
 
 
+@query(rf"""
+WITH l AS (SELECT doc_id, line_no, trim(line) AS t FROM ({_LINES})),
+ w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '\p{{L}}')) AS words FROM l),
+ c AS (SELECT *, list_filter(words, lambda x: lower(x) NOT IN ('a','an','and','as','at','but','by','for','from','in','into','nor','of','on','or','over','per','the','to','up','via','with')) AS sig FROM w)
+SELECT doc_id, line_no, length(t) <= 180 AND NOT suffix(t, '.') AND len(sig) >= 2 AND (len(list_filter(sig, lambda x: regexp_matches(x, '^\P{{L}}*\p{{Lu}}'))) * 100 >= len(sig) * 70
+ OR length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) * 100 >= length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) * 85) AS is_heading FROM c""")
+def heading_like_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of each document, not only the first."""
+    return document_text.lines(table(spark, sf, "documents")).select("doc_id", "line_no", T.looks_like_heading("line").alias("is_heading"))
+
+
 _TURNS = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '- ' || text WHEN 1 THEN turn || '. ' || text ELSE text END AS line FROM conversations"
 
 
@@ -476,6 +493,16 @@ def list_items(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.list_item("line").alias("item"), (T.list_item("line").isNotNull() & T.is_ordered_item("line")).alias("ordered"))
 
 
+@query(r"""
+WITH l AS (SELECT conv_id, turn, i - 1 AS line_no, list_extract(string_split(text, chr(10)), i) AS line FROM (SELECT conv_id, turn, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations)),
+ i AS (SELECT *, coalesce(nullif(regexp_extract(line, '^\s*[•*–—-]\s+(\S.*)$', 1), ''), nullif(regexp_extract(line, '^\s*[0-9]{1,8}[.)]\s*(\S.*)$', 1), '')) AS item FROM l)
+SELECT conv_id, turn, line_no, item, (item IS NOT NULL AND regexp_matches(line, '^\s*[0-9]{1,8}[.)]')) AS ordered FROM i""")
+def list_item_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of each turn as it stands, without a marker put before it."""
+    lines = document_text.lines(table(spark, sf, "conversations"), ["conv_id", "turn"])
+    return lines.select("conv_id", "turn", "line_no", T.list_item("line").alias("item"), (T.list_item("line").isNotNull() & T.is_ordered_item("line")).alias("ordered"))
+
+
 @query(f"""
 WITH p AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(trim(replace(line, ' | ', chr(9))), '\\t| {{2,}}'), lambda x: trim(x) <> '') AS parts FROM ({_LINES}))
 SELECT doc_id, line_no, len(parts) AS columns_n FROM p WHERE len(parts) >= 2""")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from inkspan.functions.text import list_item, looks_like_heading, trim_ws
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+def lines(docs: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """keys, line_no (from 0), line."""
+    return docs.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def paragraph_blocks(docs: DataFrame, prefix: str | None = None) -> DataFrame:

@@ -17,11 +17,12 @@ REASON_WEIGHTS = {"connectors": 0.95, "chart": 0.9, "smartart": 0.9, "groups": 0
 OTHER_WEIGHT = 0.7
 
 
-def snap(points: DataFrame, nodes: DataFrame, keys: Sequence[str], point: str, radius: float = RADIUS) -> DataFrame:
+def snap(points: DataFrame, nodes: DataFrame, keys: Sequence[str], point: str, radius: float = RADIUS, others: bool = False) -> DataFrame:
     """Each point's nearest node within ``radius`` (inclusive), the first in order on ties.
 
     points: keys, point id, x, y. nodes: keys, ord, node_id, cx, cy. An equi-join on keys and grid cell, so no
-    point meets all nodes: a node within the radius lies in one of nine cells.
+    point meets all nodes: a node within the radius lies in one of nine cells. With ``others``, points are
+    nodes themselves and do not snap to their own id.
     """
     cell = lambda v: F.floor(F.col(v) / F.lit(float(radius)))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -29,6 +30,7 @@ def snap(points: DataFrame, nodes: DataFrame, keys: Sequence[str], point: str, r
     p = p.withColumns({"_gx": cell("x") + F.col("_dx"), "_gy": cell("y") + F.col("_dy")}).drop("_dx", "_dy")
     n = nodes.withColumns({"_gx": cell("cx"), "_gy": cell("cy")})
     met = p.join(n, [*keys, "_gx", "_gy"]).withColumn("distance", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
+    met = met.where(F.col(point) != F.col("node_id")) if others else met
     best = F.min(F.struct("distance", "ord", "node_id")).alias("_b")
     return met.where(F.col("distance") <= radius).groupBy(*keys, point).agg(best).select(*keys, point, "_b.node_id", "_b.distance")
 

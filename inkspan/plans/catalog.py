@@ -337,6 +337,15 @@ def relationship_join(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", F.coalesce("n_name", F.lit("?")).alias("nation"), F.coalesce("r_name", F.lit("?")).alias("region"))
 
 
+@query("""
+SELECT c_custkey, coalesce(n_name, '?') AS nation, coalesce(r_name, '?') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def relationship_join_all(spark: SparkSession, sf: str) -> DataFrame:
+    """With all nations."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    c = c.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return c.select("c_custkey", F.coalesce("n_name", F.lit("?")).alias("nation"), F.coalesce("r_name", F.lit("?")).alias("region"))
+
+
 _BOXES = "SELECT s_suppkey, s_nationkey, (s_suppkey % 37)::INT AS r0, (s_suppkey % 37 + s_suppkey % 5)::INT AS r1, (s_suppkey % 11)::INT AS c0, (s_suppkey % 11 + s_suppkey % 3)::INT AS c1 FROM supplier"
 
 
@@ -364,6 +373,17 @@ def nearest_snap(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("vec_id", "node_id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"""
+WITH p AS ({_POINTS}), d AS (SELECT a.vec_id, b.vec_id AS node_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.label = b.label WHERE a.vec_id <> b.vec_id)
+SELECT vec_id, arg_min(node_id, (d, node_id)) AS node_id, round(min(d), 6) AS distance FROM d WHERE d <= 120 GROUP BY 1""")
+def nearest_snap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector against all the others."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", *[(F.col("embedding")[i].cast("double") * 1000).alias(n) for i, n in enumerate("xy")])
+    nodes = e.select("label", F.col("vec_id").alias("ord"), F.col("vec_id").alias("node_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    found = graph.snap(e, nodes, ["label"], "vec_id", others=True)
+    return found.select("vec_id", "node_id", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
 def unattached_nodes(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id"), "c_nationkey", F.lit(1).alias("k"))
@@ -371,6 +391,14 @@ def unattached_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return graph.unattached(nodes, edges, ["k"]).select(F.col("node_id").alias("c_custkey"), "c_nationkey")
 
 
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def unattached_nodes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers without any order."""
+    nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id"), "c_nationkey", F.lit(1).alias("k"))
+    edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("from_id"), F.col("o_custkey").alias("to_id"), F.lit(1).alias("k"))
+    return graph.unattached(nodes, edges, ["k"]).select(F.col("node_id").alias("c_custkey"), "c_nationkey")
+
+
 @query("""
 WITH n AS (SELECT r_regionkey AS id, r_name AS label FROM region UNION ALL SELECT 100 + n_nationkey, n_name FROM nation),
  l AS (SELECT 0 AS k, id AS a, 0 AS b, '  n' || id || '@{ shape: rect, label: "' || label || '" }' AS line FROM n

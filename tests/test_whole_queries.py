@@ -2,8 +2,6 @@
 
 import re
 
-import pytest
-
 from inkspan.plans import catalog
 
 
@@ -62,3 +60,33 @@ def test_later_list_items_count(spark, tmp_path):
     sf = small_tables(spark, tmp_path, conversations=(rows, "conv_id long, turn int, text string"))
     got = sorted((r.turn, r.line_no, r.item, r.ordered) for r in catalog.QUERIES["list_item_lines"](spark, sf).collect() if r.item)
     assert got == [(0, 1, "one", False), (0, 2, "two", True), (0, 3, "three", False)]
+
+
+def test_every_nation_and_missing_ones(spark, tmp_path):
+    customers = [(1, 0), (2, 5), (3, 6), (4, 77), (5, 8)]
+    sf = small_tables(
+        spark, tmp_path, customer=(customers, "c_custkey long, c_nationkey int"), region=([(1, "R")], "r_regionkey int, r_name string"),
+        nation=([(0, "A", 1), (5, "B", 1), (6, "C", 1), (8, "D", 9)], "n_nationkey int, n_name string, n_regionkey int"),
+    )
+    got = sorted(map(tuple, catalog.QUERIES["relationship_join_all"](spark, sf).collect()))
+    assert got == [(1, "A", "R"), (2, "B", "R"), (3, "C", "R"), (4, "?", "?"), (5, "D", "?")]
+
+
+def test_any_order_attaches_a_customer(spark, tmp_path):
+    sf = small_tables(
+        spark, tmp_path, customer=([(i, 0) for i in range(1, 6)], "c_custkey long, c_nationkey int"),
+        orders=([(1, 1), (2, 2), (3, 3), (4, 1), (5, None)], "o_orderkey long, o_custkey long"),
+    )
+    assert sorted(r.c_custkey for r in catalog.QUERIES["unattached_nodes_all"](spark, sf).collect()) == [4, 5]
+
+
+def test_every_vector_snaps_to_the_nearest_other(spark, tmp_path):
+    points = [(0, 1, 0, 0), (1, 1, 0, 0), (2, 1, 100, 0), (3, 1, 219, 0), (4, 1, 900, 900), (5, 2, 0, 0), (6, 1, -60, -60), (7, 1, -10, 5), (8, 3, 0, 0), (9, 3, 0, 120.5)]
+    sf = small_tables(spark, tmp_path, embeddings=([(i, k, [x / 1000, y / 1000]) for i, k, x, y in points], "vec_id long, label int, embedding array<double>"))
+    expected = {}
+    for i, k, x, y in points:
+        near = [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, m, u, v in points if m == k and j != i]
+        if near and min(near)[0] <= 120:
+            expected[i] = (min(near)[1], round(min(near)[0], 4))
+    got = {r.vec_id: (r.node_id, round(r.distance, 4)) for r in catalog.QUERIES["nearest_snap_all"](spark, sf).collect()}
+    assert got == expected and len(got) == 6

@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 documents. It works on all rows its predecessor kept, and what it decides takes effect.
 
 1. language: documents without a language (no letters, or null text) go; lang becomes the prediction.
-2. near_duplicates: of each class of near copies the document with the least doc_id stays.
+2. near_duplicates: of each class of near copies one row of the text with the least doc_id stays (null ids
+   come last); other texts of a doc_id are judged by their own class.
 3. substrings: words of passages of 50 words that a document with a smaller doc_id holds too are cut out;
    a document that loses a word holds its other words joined by one space; one that loses all its words goes.
 4. mixing: each document appears as often as the mixture of the sources takes it (0, 1 or 2 times).
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import shared_dir
-from inkspan.llm.darts import near_duplicates
+from inkspan.llm.darts import digest, least_texts, text_classes
 from inkspan.llm.language import UNKNOWN, identify, train_profiles
 from inkspan.llm.mixing import plan_mix
 from inkspan.llm.pieces import encode_documents
@@ -41,10 +42,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    # A null doc_id is in no class with others and stays.
-    gone = classes.where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    known = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_none"), digest().alias("_d"), *COLUMNS)
+    kept = least_texts(text_classes(docs.select("doc_id", "text")))
+    kept = kept.select(F.coalesce("_id", F.lit(0)).alias("_i"), F.col("_id").isNull().alias("_none"), "_d")
+    # One row of each (doc_id, text); repeats are folded before they move.
+    rest = [c for c in COLUMNS if c != "text"]
+    once = known.groupBy("_i", "_none", "_d").agg(F.min(F.struct(*rest)).alias("_r"), F.first("text").alias("text"))
+    stay = once.join(kept, ["_i", "_none", "_d"], "left_semi").select("_r.*", "text")
+    # A null text is in no class with others and stays.
+    return docs.where("text is null").select(COLUMNS).unionByName(stay.select(COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

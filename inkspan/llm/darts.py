@@ -7,20 +7,22 @@ of k coordinates; the earliest on each is the document's signature, and two docu
 coordinate with the probability of their (weighted) Jaccard similarity.
 
 Classes are found in rounds, each of links that are checked exactly on the whole shingle sets:
-1. Equal texts are one text, by digest.
-2. Signatures are banded. Texts that share a band are linked to the least id of it - first to the least
+1. Equal texts are one text, by digest; signatures, sets and links are those of texts, and doc_ids come in
+   at the end.
+2. Signatures are banded. Texts that share a band are linked to the least of it - first to the least
    over all their bands, then, where that left them in another class, to the least of each band.
 3. In bands that still hold several classes, every text outside the largest class is compared with all
    texts of the band, in blocks of bounded size, by signature and then exactly; a block returns only the
    links that join classes.
 So a band of thousands of copies makes one link a copy, and no band is cut short or skipped.
 
-A band's least id comes from a partial aggregate that is joined back. Memory of a task: an Arrow batch,
+A band's least text comes from a partial aggregate that is joined back. Memory of a task: an Arrow batch,
 two blocks of BLOCK signatures and sets, or the two shingle sets of a pair.
 
 Texts of under SHINGLE words are one shingle of all their words. Null and wordless texts link to nothing
-but, if not null, to equal texts. Rows that share a doc_id are one document; a null doc_id is kept, in a
-class of its own. Extra columns are ignored.
+but, if not null, to equal texts. near_duplicates() takes rows that share a doc_id as one document, which
+joins the classes of all its texts; a null doc_id is kept there, in a class of its own. text_classes() tells
+the texts apart, whatever their doc_ids. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import cut, shared_table
@@ -104,7 +106,8 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int = BANDS * ROWS)
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """(_k, text) -> _k, _bands array<long>, _sketch binary (one byte a coordinate)."""
+    """(_k, text) -> _k, _bands array<long>, _sketch binary (one byte a coordinate); texts without words are left out."""
+    kind = docs.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -122,11 +125,11 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool =
                 keyed.append(band.view(np.int64))
                 sketches.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(keyed, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                [pa.array(keys, batch.column(0).type), pa.array(keyed, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 ["_k", "_bands", "_sketch"],
             )
 
-    return docs.select("_k", F.col("text").cast("binary")).mapInArrow(run, "_k long, _bands array<long>, _sketch binary")
+    return docs.select("_k", F.col("text").cast("binary")).mapInArrow(run, f"_k {kind}, _bands array<long>, _sketch binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -212,23 +215,29 @@ def stragglers(bands: DataFrame, classes: DataFrame, sketches: DataFrame, sets:
     return left.unionByName(right).groupBy("_band", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """(doc_id, text) -> doc_id, class_id: the least doc_id of each document's class."""
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_k"), "text")
-    digests = shared_table(
-        known.select("_k", F.when(F.col("text").isNotNull(), F.concat_ws(":", F.md5(F.col("text").cast("binary")), F.octet_length("text"))).alias("_d")),
-        "digests",
-    )
-    least = digests.where("_d is not null").groupBy("_d").agg(F.min("_k").alias("_rep"))
-    copies = digests.join(least, "_d").select("_k", "_rep").distinct()
-    signed = shared_table(sign(known, bands, rows, weighted), "signatures")
-    reps = least.select(F.col("_rep").alias("_k")).distinct()
-    sketches = signed.join(reps, "_k", "left_semi").dropDuplicates(["_k"])
+def digest(text: str = "text") -> Column:
+    """What tells texts apart; null for null."""
+    return F.when(F.col(text).isNotNull(), F.concat_ws(":", F.md5(F.col(text).cast("binary")), F.octet_length(text)))
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """(doc_id, text) -> _d, _id, _root: a row for each distinct text, by digest; null texts are left out.
+
+    _id is the least doc_id that holds the text (null if only null ids do), _root names the class.
+    """
+    known = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("_d"), "text")
+    least = known.groupBy("_d").agg(F.min("doc_id").alias("_id"))
+    # Numbered by digest, so that hubs do not change between runs.
+    texts = shared_table(least.sortWithinPartitions("_d").withColumn("_k", F.monotonically_increasing_id()), "texts")
+    signed = sign(known.select(F.col("_d").alias("_k"), "text"), bands, rows, weighted).withColumnRenamed("_k", "_d").dropDuplicates(["_d"])
+    sketches = shared_table(signed.join(texts.select("_d", "_k"), "_d").select("_k", "_bands", "_sketch"), "signatures")
     banded = sketches.select("_k", F.explode("_bands").alias("_band"))
     shared = banded.groupBy("_band").agg(F.min("_k").alias("_hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     banded = shared_table(banded.join(shared.select("_band", "_hub"), "_band"), "bands")
     nodes = cut(banded.select("_k").distinct())
-    sets = shared_table(shingle_sets(known.join(nodes, "_k", "left_semi")), "sets").dropDuplicates(["_k"])
+    # One row a text, whatever ids hold it; copies are folded before they move.
+    once = known.groupBy("_d").agg(F.first("text").alias("text")).join(texts.select("_d", "_k").join(nodes, "_k", "left_semi"), "_d")
+    sets = shared_table(shingle_sets(once), "sets")
 
     first = banded.where("_hub <> _k").groupBy(F.col("_k").alias("a")).agg(F.min("_hub").alias("b"))
     links = cut(verify(first, sets, threshold))
@@ -239,9 +248,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     links = cut(links.unionByName(verify(cut(apart), sets, threshold)))
     classes = cut(_classes(nodes, links))
     links = links.unionByName(cut(stragglers(banded.select("_k", "_band"), classes, sketches, sets, threshold)))
+    roots = components(links.select("a", "b")).withColumnRenamed("id", "_k")
+    return texts.join(roots, "_k", "left").select("_d", "_id", F.coalesce("root", "_k").alias("_root"))
 
-    # Copies follow their text; rows that share a doc_id join what they belong to.
-    joined = copies.where("_k <> _rep").select(F.col("_k").alias("a"), F.col("_rep").alias("b"))
-    final = components(links.select("a", "b").unionByName(joined))
+
+def least_texts(classes: DataFrame) -> DataFrame:
+    """_root, _id, _d: of each class the text with the least doc_id, null last, then the least digest."""
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_d")
+    return classes.groupBy("_root").agg(F.min(order).alias("_b")).select("_root", "_b._id", "_b._d")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """(doc_id, text) -> doc_id, class_id: the least doc_id of each document's class."""
+    known = docs.where("doc_id is not null")
+    classes = cut(text_classes(known, threshold, bands, rows, weighted))
+    # By another key than the aggregate's, so that Spark deals both sides out anew and can split a hot class.
+    hubs = least_texts(classes).select((-F.col("_root")).alias("_key"), F.col("_id").alias("_hub"))
+    hubs = cut(classes.withColumn("_key", -F.col("_root")).join(hubs, "_key").where("_hub <> _id").select("_d", "_hub"))
+    texts = classes.select("_d", "_id").join(hubs, "_d", "left").select("_d", F.coalesce("_hub", "_id").alias("_hub"))
+    held = known.where("text is not null").select(F.col("doc_id").cast("long").alias("a"), digest().alias("_d"))
+    pairs = held.join(texts, "_d").select("a", F.col("_hub").alias("b"))
+    spans = cut(pairs.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("_last")))
+    # A document with several texts joins the classes of all of them; where no id is in two, nothing is left to join.
+    final = spans.select(F.col("a").alias("id"), F.col("b").alias("root")) if spans.where("b <> _last").isEmpty() else components(pairs)
     ids = docs.select("doc_id").distinct()
     return ids.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from inkspan.llm.darts import near_duplicates, shingles, signature, throw
+from inkspan.llm.darts import near_duplicates, shingles, signature, text_classes, throw
 from inkspan.llm.components import components
 
 
@@ -122,3 +122,25 @@ def test_components(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     expected = {2: 1, 3: 1, 7: 5, 6: 5, 20: 10, 15: 10, 12: 10, 31: 30} | {i: 100 for i in range(101, 181)}
     assert got == expected
+
+
+def test_texts_that_share_an_id_are_all_compared(spark):
+    """Every text of an id is signed, so each brings in its near copies."""
+    rng = random.Random(5)
+    texts = [prose(rng, 100) for _ in range(20)]
+    rows = [(7, " ".join(t)) for t in texts] + [(100 + i, " ".join(t[:-1] + ["other"])) for i, t in enumerate(texts)]
+    rows += [(200, "lone text of its own"), (200, " ".join(prose(rng, 50))), (None, " ".join(texts[0]))]
+    got = run(spark, rows)
+    assert got == brute(rows) | {None: None}
+    assert set(got.values()) == {7, 200, None}
+
+
+def test_classes_of_texts_that_share_an_id_stay_apart(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 100) for _ in range(3))
+    near = " ".join(a[:-1] + ["other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (None, near), (None, " ".join(c)), (None, " ".join(c)), (9, near), (1, None)]
+    found = text_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids = sorted((r._id is None, r._id or 0) for r in found)
+    assert ids == [(False, 5), (False, 5), (False, 9), (True, 0)]
+    assert len({r._root for r in found}) == 3

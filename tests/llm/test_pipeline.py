@@ -61,6 +61,15 @@ def test_one_document_of_each_class_stays(spark, docs):
     assert len(expected) < len(documents())
 
 
+def test_ids_that_repeat_keep_their_own_texts(spark):
+    rng = random.Random(8)
+    one, two, three = (" ".join(f"w{rng.randrange(3000)}" for _ in range(80)) for _ in range(3))
+    row = lambda i, text, source="web": (i, text, "en", source, len(text))
+    rows = [row(1, one), row(2, one + " end"), row(2, two), row(2, two), row(2, two, "book"), row(None, three), row(None, three), row(None, one), row(None, two + " end")]
+    out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert rows_of(out) == sorted([row(1, one), row(2, two, "book"), row(None, three)], key=str)
+
+
 def test_repeated_passages_are_cut(spark, docs):
     least = {}
     key = lambda i: (i is None, i or 0)

@@ -187,7 +187,7 @@ def ods_cells(entries: DataFrame) -> DataFrame:
 
 
 def workbook_blocks(cells: DataFrame, **options) -> DataFrame:
-    """Sheets split into regions and side-by-side tables; each is then a table of its own."""
+    """Each sheet as one table; it is not yet split into regions or side-by-side tables."""
     return sheet_blocks(cells.select("doc_id", "sheet", "r", "c", "text"), **options)
 
 

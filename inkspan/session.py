@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -25,3 +29,29 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "inkspa
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it.
+
+    Only where spark.checkpoint.dir is unset, as in tests, a temporary folder is used, and that only by a
+    local master: executors of a cluster would not see it, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="inkspan-shared-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet in the shared folder and go on from there.
+
+    What is read several times is made once, lineage is cut, and lost executors are survived.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/inkspan/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import shared_dir
 from inkspan.llm.darts import digest, least_texts, text_classes
 from inkspan.llm.language import UNKNOWN, identify, train_profiles
-from inkspan.llm.mixing import plan_mix
+from inkspan.llm.mixing import mix
 from inkspan.llm.pieces import encode_documents
 from inkspan.llm.substrings import drop_repeats
 
@@ -65,7 +65,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return plan_mix(docs, keep=COLUMNS).withColumn("_d", F.explode("draws")).select(COLUMNS)
+    return mix(docs, keep=COLUMNS).select(COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.session import shared_dir
+from inkspan.session import stored as shared_table
+
+__all__ = ["byte_words", "cut", "shared_dir", "shared_table", "small_batches", "word_count"]
+
 #: A word is a maximal run of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def word_count(text: str | Column) -> Column:
     """Words of a text, 0 for null; stays in the JVM."""
@@ -22,30 +27,17 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, where the session leaves them as they are by default (64 MB).
 
-    Only where spark.checkpoint.dir is unset, as in tests, a temporary folder is used.
+    A batch of texts is held by the JVM and, several times over, by the Python worker; BATCH_BYTES of text
+    are plenty to pay for the exchange. A setting that the session makes itself is kept.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext.getCheckpointDir()
-        named = current or "file://" + tempfile.mkdtemp(prefix="inkspan-shared-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows as Parquet in the shared folder and read them from there: a compact cut()."""
-    import uuid
-
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/inkspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

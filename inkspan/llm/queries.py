@@ -32,7 +32,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkspan.llm.mixing import plan_mix
 
     return plan_mix(read(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), "draws"
     )
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkspan.llm.mixing import mix, plan_mix, source_targets, splitting_tree
 from inkspan.llm.queries import QUERIES
@@ -48,6 +49,19 @@ def test_tree_splits_exactly(spark):
     assert set(by_shard) == set(range(7)) and max(by_shard.values()) - min(by_shard.values()) <= 3
 
 
+def test_counts_by_shard_are_hypergeometric(spark):
+    """64 shards draw 30 tokens each of 640 a and 1280 b: mean and spread of the counts of a."""
+    quotas = spark.createDataFrame([("a", 640), ("b", 1280)], "source string, quota int")
+    for seed in (1, 2):
+        got = {r.shard: r.blocks for r in splitting_tree(quotas, 64, seed).where("source = 'a'").collect()}
+        counts = [got.get(i, 0) for i in range(64)]
+        both = splitting_tree(quotas, 64, seed).groupBy("shard").sum("blocks").collect()
+        assert {r[1] for r in both} == {30} and sum(counts) == 640
+        spread = sum((x - 10) ** 2 for x in counts) / 64
+        assert 30 * (1 / 3) * (2 / 3) * (1890 / 1919) == pytest.approx(6.57, abs=0.01)
+        assert 3.5 < spread < 10.5  # 6.57, give or take 3.3 standard errors
+
+
 def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
@@ -89,10 +103,39 @@ def test_one_hot_block(spark):
     assert abs(sum(r["size"] * len(r.draws) for r in out) - 1.5 * total) <= 5
 
 
-def test_mix_has_a_row_for_each_draw(spark):
+def test_the_draw_prefers_no_size(spark):
+    """Half of a source is read once more: the long documents' share of it is their share of the source."""
+    rows = [(i, " ".join(["w"] * (40 if i % 2 else 4)), "s") for i in range(4000)]
+    out = plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    twice = [r["size"] for r in out if len(r.draws) == 2]
+    assert abs(sum(x == 40 for x in twice) / len(twice) - 0.5) < 0.04  # 4.5 % are three deviations
+
+
+def test_repeated_rows_may_be_drawn_in_part(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "s")] * 30 + [(None, "x y", "t")] * 31, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in plan_mix(docs).collect():
+        taken[r.source] += r["size"] * len(r.draws)
+    targets = filled({"s": 120, "t": 62})
+    assert all(abs(taken[s] - targets[s]) <= 2 for s in taken) and len(taken) == 2
+
+
+def test_mix_deals_out_and_shuffles_shards(spark):
     docs = spark.createDataFrame(documents(), "doc_id long, text string, source string")
-    planned = sum(len(r.draws) for r in plan_mix(docs).collect())
-    assert mix(docs).count() == planned
+    planned = {(r.doc_id, d["pass"]): d for r in plan_mix(docs).collect() for d in r.draws if r.doc_id not in (None, 3)}
+    out = mix(docs).withColumn("_at", F.spark_partition_id()).collect()
+    assert len(out) == sum(len(r.draws) for r in plan_mix(docs).collect())
+    at = defaultdict(set)
+    for r in out:
+        at[r.shard].add(r._at)
+        if r.doc_id not in (None, 3):
+            assert planned[r.doc_id, r["pass"]].shard == r.shard
+    assert all(len(x) == 1 for x in at.values())
+    for shard in at:
+        positions = [r.position for r in out if r.shard == shard]
+        assert positions == sorted(positions)
+        ids = [r.doc_id for r in out if r.shard == shard and r.doc_id is not None]
+        assert len(ids) < 5 or ids != sorted(ids)
 
 
 def test_kept_and_clashing_columns(spark):

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 # The white space that Unicode trimming removes.
 WS = r"[\x09-\x0D\x20\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_CHARS = "".join(chr(x) for x in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 # Characters that end a word broken over two lines.
 HYPHENS = r"[-\x{2010}\x{2011}\x{2012}\x{2013}\x{AD}]"
 VIDEO_HOSTS = ("youtube.com", "youtu.be", "vimeo.com")
 AUDIO_ENDINGS = (".mp3", ".wav", ".m4a", ".flac")
 IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff"}
 # Words that do not count in a heading.
-SMALL_WORDS = "a an and as at but by for from in into nor of on or over per the to up via with".split()
+SMALL_WORDS = "and or of the a an to in on for with at by from vs via as is are into over under".split()
 CURRENCIES = ("$", "€", "£", "¥", "₩", "₹")
 
 
@@ -22,7 +23,7 @@ def c(x: str | Column) -> Column:
 
 
 def trim_ws(x: str | Column) -> Column:
-    return F.regexp_replace(c(x), f"^{WS}+|{WS}+$", "")
+    return F.btrim(c(x), F.lit(WS_CHARS))
 
 
 def ascii_lower(x: str | Column) -> Column:
@@ -45,7 +46,7 @@ def markdown_cell(x: str | Column) -> Column:
 
 def collapse(x: str | Column) -> Column:
     """Every run of white space is one space; ends trimmed."""
-    return trim_ws(F.regexp_replace(c(x), f"{WS}+", " "))
+    return F.btrim(F.regexp_replace(c(x), f"{WS}+", " "))
 
 
 def collapse_keep_lines(x: str | Column) -> Column:
@@ -145,6 +146,22 @@ def cell_reference(row: Column, column: Column) -> Column:
     return F.concat(column_name(column), (c(row) + 1).cast("string"))
 
 
+def a1_cell(x: str | Column) -> Column:
+    """B3 -> struct(r 2, c 1); null for anything else."""
+    t = trim_ws(x)
+    row = F.regexp_extract(t, "^[A-Za-z]+([0-9]+)$", 1).try_cast("bigint")
+    col = column_index(F.regexp_extract(t, "^([A-Za-z]+)[0-9]+$", 1))
+    return F.when((row > 0) & col.isNotNull(), F.struct((row - 1).alias("r"), col.cast("int").alias("c")))
+
+
+def a1_range(x: str | Column) -> Column:
+    """A2:B3 -> struct(r0 1, r1 3, c0 0, c1 2), ends exclusive, in whichever order the corners come; one cell is a range."""
+    at = F.split(c(x), ":", 2)
+    a, b = a1_cell(at[0]), a1_cell(F.coalesce(F.get(at, 1), at[0]))
+    least, most = (lambda f: F.least(a[f], b[f])), (lambda f: F.greatest(a[f], b[f]) + 1)
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(least("r").alias("r0"), most("r").alias("r1"), least("c").alias("c0"), most("c").alias("c1")))
+
+
 def unit_of_format(code: str | Column) -> Column:
     """The unit that a number format shows: percent, a currency, a [$...] symbol or a quoted text."""
     x = c(code)
@@ -194,14 +211,22 @@ def table_columns(x: str | Column) -> Column:
 
 
 def looks_like_heading(x: str | Column) -> Column:
-    """Short, no final full stop, at least two words that count, and most of them capitalised."""
-    text = F.trim(c(x))
-    words = F.filter(F.split(text, r"\s+"), lambda w: F.rlike(w, F.lit(r"\p{L}")))
-    count = F.filter(words, lambda w: ~F.lower(w).isin(*SMALL_WORDS))
-    title = F.filter(count, lambda w: F.rlike(w, F.lit(r"^\P{L}*\p{Lu}")))
-    letters, capitals = (F.length(F.regexp_replace(text, f"[^{x}]", "")) for x in (r"\p{L}", r"\p{Lu}"))
-    mostly = (F.size(title) * 100 >= F.size(count) * 70) | (capitals * 100 >= letters * 85)
-    return (F.length(text) <= 180) & ~F.endswith(text, F.lit(".")) & (F.size(count) >= 2) & mostly
+    """Short, no final full stop, at least two words that count, and capitals: seven of ten words in title case
+    or all capitals, or 85 % of the letters.
+
+    A word is what white space parts, without what is no ASCII letter or digit at its ends; small words and
+    words without an ASCII letter do not count.
+    """
+    text = trim_ws(x)
+    bare = F.transform(F.split(text, f"{WS}+"), lambda w: F.regexp_replace(w, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+    letters = F.transform(F.filter(bare, lambda w: ~ascii_lower(w).isin(*SMALL_WORDS)), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
+    count = F.filter(letters, lambda w: w != "")
+    cased = F.filter(count, lambda w: F.rlike(w, F.lit("^([A-Z]+|[A-Z][a-z]*)$")))
+    joined = F.array_join(count, "")
+    capitals = F.length(F.regexp_replace(joined, "[^A-Z]", ""))
+    mostly = (F.size(cased) * 100 >= F.size(count) * 70) | (capitals * 100 >= F.length(joined) * 85)
+    short = (F.length(text) <= 180) & ~F.endswith(text, F.lit("."))
+    return F.when(short, (F.size(count) >= 2) & mostly).otherwise(F.when(text.isNotNull(), False))
 
 
 def heading_level(ratio: Column) -> Column:

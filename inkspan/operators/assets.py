@@ -9,7 +9,7 @@ from inkspan.functions.text import base_name, image_id, safe_file_name, type_ext
 
 
 def first_copies(images: DataFrame, keys, order, data: str = "bytes") -> DataFrame:
-    """The first image of each content; adds image_id. Only hashes are shuffled to find it."""
+    """The first image of each content; adds image_id. Spark keeps one of each content in a task before it moves."""
     w = Window.partitionBy(*keys, "image_id").orderBy(*order)
     return images.withColumn("image_id", image_id(data)).withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
 

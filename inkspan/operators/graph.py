@@ -86,13 +86,20 @@ def chart_table(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 def first_match_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, low: str, high: str, ident: str, width: int = 64) -> DataFrame:
     """Left join of each point with the least range that holds it; bounds are inclusive.
 
-    Ranges are spread over the buckets of ``width`` that they touch, so this is an equi-join on keys and
-    bucket and no key's ranges all meet one point.
+    Ranges are posted in buckets as wide as they are: of ``width`` times the power of two that reaches their
+    length, so each touches at most two, and points look once at each width in use (a few dozen at most, asked
+    for first). So this is an equi-join on keys, width and bucket. Equal points stay rows of their own.
     """
-    r = ranges.select(*keys, low, high, ident).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    p = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    met = p.join(r, [*keys, "_bucket"], "left").withColumn(ident, F.when(F.col(at).between(F.col(low), F.col(high)), F.col(ident)))
-    return met.groupBy(*points.columns).agg(F.min(ident).alias(ident))
+    span = F.greatest(F.col(high) - F.col(low) + 1, F.lit(1))
+    level = F.greatest(F.ceil(F.log2(span / F.lit(float(width)))), F.lit(0)).cast("int")
+    r = ranges.where(F.col(low) <= F.col(high)).select(*keys, low, high, ident).withColumn("_level", level)
+    levels = sorted(x["_level"] for x in r.select("_level").distinct().collect()) or [0]
+    bucket = lambda v: F.floor(F.col(v) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))))
+    r = r.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(low), bucket(high)))))
+    p = points.withColumn("_row", F.monotonically_increasing_id()).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    met = p.withColumn("_bucket", bucket(at)).join(r, [*keys, "_level", "_bucket"], "left")
+    met = met.withColumn(ident, F.when(F.col(at).between(F.col(low), F.col(high)), F.col(ident)))
+    return met.groupBy("_row", *points.columns).agg(F.min(ident).alias(ident)).drop("_row")
 
 
 def rectangles_free_of(boxes: DataFrame, taken: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -112,27 +112,28 @@ def block_pieces(most: int) -> Column:
 
 
 def pack(pieces: Column, most: int) -> Column:
-    """Greedy packing of array<struct<pos, text>> into array<struct<content, block_first, block_last>>."""
-    most = max(most, 1)
-    chunk = "struct<content:string,block_first:bigint,block_last:bigint>"
-    start = F.struct(
-        F.array().cast(f"array<{chunk}>").alias("out"), F.lit("").alias("cur"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")
-    )
-    flush = lambda out, cur, a, b: F.when(cur != "", F.array_append(out, F.struct(cur.alias("content"), a.alias("block_first"), b.alias("block_last")))).otherwise(out)
-
-    def step(acc, x):
-        over = (acc["cur"] != "") & (F.length(acc["cur"]) + F.length(x["text"]) > most)
-        pos = x["pos"].cast("bigint")
-        cur = F.when(over, x["text"]).otherwise(F.concat(acc["cur"], x["text"]))
-        out = F.when(over, flush(acc["out"], acc["cur"], acc["a"], acc["b"])).otherwise(acc["out"])
-        a = F.when(over | acc["a"].isNull(), pos).otherwise(acc["a"])
-        full = F.length(cur) >= most
-        return F.struct(
-            F.when(full, flush(out, cur, a, pos)).otherwise(out).alias("out"), F.when(full, "").otherwise(cur).alias("cur"),
-            F.when(~full, a).alias("a"), F.when(~full, pos).alias("b"),
-        )
+    """Greedy packing of array<struct<pos, text>>, no text empty, into array<struct<content, block_first, block_last>>.
 
-    return F.aggregate(pieces, start, step, lambda acc: flush(acc["out"], acc["cur"], acc["a"], acc["b"]))
+    Only lengths are folded, to the places (from 1) where chunks begin; every chunk is then one slice, joined once.
+    """
+    most = max(most, 1)
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("cur"), F.lit(0).alias("i"))
+
+    def step(acc, n):
+        i = acc["i"] + 1
+        opens = (acc["cur"] == 0) | (acc["cur"] + n > most)
+        cur = F.when(opens, n).otherwise(acc["cur"] + n)
+        # A full chunk is closed: the next piece opens one.
+        return F.struct(F.when(opens, F.array_append(acc["at"], i)).otherwise(acc["at"]).alias("at"), F.when(cur >= most, 0).otherwise(cur).alias("cur"), i.alias("i"))
+
+    begins = F.aggregate(F.transform(pieces, lambda p: F.length(p["text"])), start, step, lambda acc: F.array_append(acc["at"], acc["i"] + 1))
+    runs = F.transform(F.slice(begins, 1, F.size(begins) - 1), lambda a, j: F.slice(pieces, a, F.get(begins, j + 1) - a))
+    return F.transform(
+        runs, lambda run: F.struct(
+            F.array_join(F.transform(run, lambda p: p["text"]), "").alias("content"),
+            F.element_at(run, 1)["pos"].cast("bigint").alias("block_first"), F.element_at(run, -1)["pos"].cast("bigint").alias("block_last"),
+        ),
+    )
 
 
 def to_chunks(blocks: DataFrame, most: int) -> DataFrame:
@@ -140,7 +141,10 @@ def to_chunks(blocks: DataFrame, most: int) -> DataFrame:
     listed = blocks.select("doc_id", "block_index", F.posexplode(block_pieces(most)).alias("_i", "text"))
     item = F.struct("block_index", "_i", "text")
     ordered = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    pieces = F.transform("_p", lambda p: F.struct(p["block_index"].alias("pos"), p["text"].alias("text")))
+    filled = F.filter("_p", lambda p: p["text"] != "")
+    pieces = F.transform(filled, lambda p: F.struct(p["block_index"].alias("pos"), p["text"].alias("text")))
+    ordered = ordered.select("doc_id", pieces.alias("_p"))
+    pieces = F.col("_p")
     return ordered.select("doc_id", F.posexplode(pack(pieces, most)).alias("chunk_no", "_c")).select("doc_id", "chunk_no", "_c.*")
 
 

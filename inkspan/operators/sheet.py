@@ -77,6 +77,28 @@ def column_blocks(cells: DataFrame, keys: Sequence[str], rows: int, width: int)
     )
 
 
+def region_tables(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tables side by side in each region (keys): block (from 1), first_column, end_column.
+
+    As column_blocks, with each region's own rows and columns; a region without dense columns is one table.
+    """
+    filled = cells.where(~is_empty(cells))
+    extents = filled.groupBy(*keys).agg(F.min("c").alias("_cs"), (F.max("c") + 1).alias("_ce"), (F.max("r") - F.min("r") + 1).alias("_n"))
+    counts = filled.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("_cells"))
+    dense = counts.join(extents, list(keys)).where(F.col("_cells") > F.greatest(F.floor(F.col("_n") / 50), F.lit(1)))
+    w = Window.partitionBy(*keys).orderBy("c")
+    new = F.coalesce((F.col("c") - F.lag("c").over(w) > 1).cast("int"), F.lit(0))
+    islands = dense.withColumn("_new", new).withColumn("block", F.sum("_new").over(w) + 1)
+    runs = islands.groupBy(*keys, "block").agg(F.min("c").alias("_lo"), (F.max("c") + 1).alias("_hi"))
+    last = F.max("block").over(Window.partitionBy(*keys))
+    joined = extents.join(runs, list(keys), "left").withColumn("block", F.coalesce("block", F.lit(1)))
+    return joined.select(
+        *keys, "block",
+        F.when(F.col("block") == 1, F.col("_cs")).otherwise(F.col("_lo")).cast("int").alias("first_column"),
+        F.when(F.col("block") == last, F.col("_ce")).otherwise(F.col("_hi")).cast("int").alias("end_column"),
+    )
+
+
 def drop_empty_columns(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells of columns that hold something; the others leave by a semi-join."""
     kept = cells.where(~is_empty(cells)).select(*keys, "c").distinct()

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.session import stored
+
 
 def flatten(nodes: DataFrame, most: int = 255) -> DataFrame:
-    """Adds depth (root 0) and path, whose order is the tree's pre-order. One join a level, deepest ``most``."""
+    """Adds depth (root 0, ``most`` for all that lie deeper) and path, whose order is the tree's pre-order.
+
+    One join a level; each level is stored, so none is computed twice.
+    """
     root = nodes.where(F.col("parent_id").isNull()).select("*", F.lit(0).alias("depth"), F.array(F.col("ord").cast("int")).alias("path"))
-    found, level = root, root
-    for depth in range(1, most + 1):
+    found = level = stored(root, "level")
+    depth = 0
+    while True:
+        depth += 1
         up = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up"))
         level = nodes.join(up, ["doc_id", "parent_id"]).select(
-            *nodes.columns, F.lit(depth).alias("depth"), F.array_append("_up", F.col("ord").cast("int")).alias("path")
+            *nodes.columns, F.lit(min(depth, most)).alias("depth"), F.array_append("_up", F.col("ord").cast("int")).alias("path")
         )
+        level = stored(level, "level")
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
 
 
 def tree_stats(flat: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from inkspan.functions import numbers as N
 from inkspan.functions import text as T
 from inkspan.operators import assets, graph, layout, render, sheet, trees
-from inkspan.plans import document_text
+from inkspan.plans import document_text, reader_queries
 from inkspan.session import table
 from inkspan.sources.formats import MIME_TYPES, format_of
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = dict(reader_queries.QUERIES)
+ORACLES: dict = dict(reader_queries.ORACLES)
 
 #: Characters that the SQL side must trim and collapse like WS in inkspan.functions.text.
 SQL_WS = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -486,22 +486,26 @@ def cover_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return layout.prefix_while(lines, ["doc_id"], ["line_no"], F.length("line") >= 20).groupBy("doc_id").agg(F.count(F.lit(1)).alias("prefix"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS t FROM documents),
- w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '\p{L}')) AS words FROM l),
- c AS (SELECT *, list_filter(words, lambda x: lower(x) NOT IN ('a','an','and','as','at','but','by','for','from','in','into','nor','of','on','or','over','per','the','to','up','via','with')) AS sig FROM w)
-SELECT doc_id, length(t) <= 180 AND NOT suffix(t, '.') AND len(sig) >= 2 AND (len(list_filter(sig, lambda x: regexp_matches(x, '^\P{L}*\p{Lu}'))) * 100 >= len(sig) * 70
- OR length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) * 100 >= length(regexp_replace(t, '[^\p{L}]', '', 'g')) * 85) AS is_heading FROM c""")
+_SMALL = ", ".join(f"'{w}'" for w in T.SMALL_WORDS)
+
+
+def _sql_heading(rows: str, keys: str) -> str:
+    """Which lines (column t, trimmed) look like headings, word by word."""
+    return rf"""
+WITH l AS ({rows}),
+ w AS (SELECT *, list_transform(list_filter(list_transform(regexp_split_to_array(t, '{SQL_WS}+'), lambda x: regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')),
+   lambda x: lower(x) NOT IN ({_SMALL})), lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')) AS bare FROM l),
+ c AS (SELECT *, list_filter(bare, lambda x: x <> '') AS sig FROM w)
+SELECT {keys}, length(t) <= 180 AND NOT suffix(t, '.') AND len(sig) >= 2 AND (len(list_filter(sig, lambda x: regexp_full_match(x, '[A-Z]+|[A-Z][a-z]*'))) * 100 >= len(sig) * 70
+ OR length(regexp_replace(array_to_string(sig, ''), '[^A-Z]', '', 'g')) * 100 >= length(array_to_string(sig, '')) * 85) AS is_heading FROM c"""
+
+
+@query(_sql_heading(f"SELECT doc_id, {sql_trim('split_part(text, chr(10), 1)')} AS t FROM documents", "doc_id"))
 def heading_like(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.looks_like_heading(F.split("text", "\n")[0]).alias("is_heading"))
 
 
-@query(rf"""
-WITH l AS (SELECT doc_id, line_no, trim(line) AS t FROM ({_LINES})),
- w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '\p{{L}}')) AS words FROM l),
- c AS (SELECT *, list_filter(words, lambda x: lower(x) NOT IN ('a','an','and','as','at','but','by','for','from','in','into','nor','of','on','or','over','per','the','to','up','via','with')) AS sig FROM w)
-SELECT doc_id, line_no, length(t) <= 180 AND NOT suffix(t, '.') AND len(sig) >= 2 AND (len(list_filter(sig, lambda x: regexp_matches(x, '^\P{{L}}*\p{{Lu}}'))) * 100 >= len(sig) * 70
- OR length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) * 100 >= length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) * 85) AS is_heading FROM c""")
+@query(_sql_heading(f"SELECT doc_id, line_no, {sql_trim('line')} AS t FROM ({_LINES})", "doc_id, line_no"))
 def heading_like_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of each document, not only the first."""
     return document_text.lines(table(spark, sf, "documents")).select("doc_id", "line_no", T.looks_like_heading("line").alias("is_heading"))

@@ -1,8 +1,8 @@
 """Office archives as blocks: relational steps over XML nodes (see inkspan.sources.files).
 
-Every function takes archive entries (doc_id, doc_format, entry, data) and returns block rows or cells.
-Numbering of nodes within an entry (pre) gives order; joins on (doc_id, entry, pre) resolve styles, lists,
-relationships and shared strings.
+Every function takes the nodes of all XML entries (see parts) and, where the format holds images, those
+(see media), and returns block rows or cells. Numbering of nodes within an entry (pre) gives order; joins on
+(doc_id, entry, pre) resolve styles, lists, relationships and shared strings.
 """
 
 from __future__ import annotations
@@ -11,11 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.numbers import format_kind, serial_to_iso
-from inkspan.functions.text import collapse, column_index, image_id, image_type, trim_ws
+from inkspan.functions.text import a1_range, collapse, column_index, image_id, image_type, trim_ws
 from inkspan.sources.delimited import complete, sheet_blocks
-from inkspan.sources.files import ancestor, attr, under, xml_nodes
+from inkspan.session import stored
+from inkspan.sources.files import ancestor, attr, under, xml_nodes, zip_entries
 
 KEY = ["doc_id", "entry"]
+#: Entries that are parsed, and entries that are images.
+XML_ENTRY = r"(?i)\.(xml|rels|opf|x?html?)$"
+IMAGE_ENTRY = r"(?i)((^|/)(media|Pictures|img|images)/|\.(png|jpe?g|webp|bmp|tiff?)$)"
+
+
+def parts(files: DataFrame) -> DataFrame:
+    """The nodes of all XML entries: every file is unzipped and parsed once, and the nodes are stored."""
+    return stored(xml_nodes(zip_entries(files, XML_ENTRY)), "nodes")
+
+
+def media(files: DataFrame) -> DataFrame:
+    """The images of the archives."""
+    return images(zip_entries(files, IMAGE_ENTRY))
 
 
 def _ordered_text(rows: DataFrame, keys, order="pre", piece="text", sep="") -> DataFrame:
@@ -24,9 +38,9 @@ def _ordered_text(rows: DataFrame, keys, order="pre", piece="text", sep="") -> D
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["t"]), sep).alias("text"))
 
 
-def relationships(entries: DataFrame) -> DataFrame:
+def relationships(nodes: DataFrame) -> DataFrame:
     """doc_id, part, rid, kind, target (path in the archive); of a repeated id the last counts."""
-    nodes = xml_nodes(entries.where(F.endswith("entry", F.lit(".rels")))).where("tag = 'Relationship'")
+    nodes = nodes.where(F.endswith("entry", F.lit(".rels")) & (F.col("tag") == "Relationship"))
     folder = F.regexp_replace("entry", r"_rels/[^/]*$", "")
     part = F.concat(folder, F.regexp_extract("entry", r"_rels/([^/]*)\.rels$", 1))
     target = attr("Target")
@@ -39,11 +53,11 @@ def relationships(entries: DataFrame) -> DataFrame:
     return last.select("doc_id", "part", "rid", "_l.kind", "_l.target")
 
 
-def images(entries: DataFrame, folder: str = r"(^|/)(media|Pictures|img|images)/") -> DataFrame:
+def images(entries: DataFrame) -> DataFrame:
     """doc_id, entry, image_id, content_type, filename, bytes."""
     name = F.element_at(F.split("entry", "/"), -1)
-    media = entries.where(F.rlike("entry", F.lit(folder)) | (F.rlike("entry", F.lit(r"(?i)\.(png|jpe?g|webp|bmp|tiff?)$"))))
-    return media.select("doc_id", "entry", image_id("data").alias("image_id"), image_type(name).alias("content_type"), name.alias("filename"), F.col("data").alias("bytes"))
+    found = entries.where(F.rlike("entry", F.lit(IMAGE_ENTRY)))
+    return found.select("doc_id", "entry", image_id("data").alias("image_id"), image_type(name).alias("content_type"), name.alias("filename"), F.col("data").alias("bytes"))
 
 
 def _table_cells(nodes: DataFrame, table: str, row: str, cell: str, para: str, text: tuple[str, ...]) -> DataFrame:
@@ -84,11 +98,9 @@ def _gather_lists(items: DataFrame, order: str = "pre", same: Column | None = No
     return out.withColumns({"items": F.when(one, F.col("items")), "text": F.when(~one, F.col("text")), "level": F.when(~one, F.col("level"))}).drop("_g")
 
 
-def docx_blocks(entries: DataFrame) -> DataFrame:
-    part = entries.where("entry in ('word/document.xml', 'word/styles.xml', 'word/numbering.xml')")
-    nodes = xml_nodes(part)
+def docx_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
     doc = nodes.where("entry = 'word/document.xml'")
-    parent = F.element_at("path", -1)["tag"]
+    parent = F.try_element_at("path", F.lit(-1))["tag"]
     # Style id -> level: its outline level, else an id or name of the form heading N.
     styles = nodes.where("entry = 'word/styles.xml'")
     style = styles.where("tag = 'style'").select("doc_id", F.col("pre").alias("_s"), attr("styleId").alias("style"))
@@ -121,25 +133,42 @@ def docx_blocks(entries: DataFrame) -> DataFrame:
         F.when(in_list, F.col("ilvl").cast("int")).otherwise(level).cast("smallint").alias("level"), "text", F.coalesce("_ord", F.lit(False)).alias("ordered"), F.col("numId").alias("group"),
     )
     flow = _gather_lists(flow).withColumn("_k", F.lit(0))
-    rels = relationships(entries).where("part = 'word/document.xml'").select("doc_id", "rid", "target")
+    rels = relationships(nodes).where("part = 'word/document.xml'").select("doc_id", "rid", "target")
     links = of_p(F.col("tag") == "hyperlink", rid=F.coalesce(attr("rid"), attr("id")), _at=F.col("pre"))
     linked = _ordered_text(doc.where((F.col("tag") == "#text") & under("hyperlink")).select(*KEY, ancestor("hyperlink").alias("_at"), "pre", "text"), [*KEY, "_at"])
     links = links.join(rels, ["doc_id", "rid"]).join(linked, [*KEY, "_at"], "left").select(*KEY, "pre", F.lit(1).alias("_k"), F.lit("link").alias("block_type"), F.col("target").alias("url"), F.col("text").alias("link_text"))
     blips = of_p(F.col("tag") == "blip", rid=attr("embed"))
-    pics = blips.join(rels, ["doc_id", "rid"]).join(images(entries).select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
+    pics = blips.join(rels, ["doc_id", "rid"]).join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
     pics = pics.select(*KEY, "pre", F.lit(2).alias("_k"), F.lit("image").alias("block_type"), "image_id", "content_type", "filename")
     tables = _table_cells(doc, "tbl", "tr", "tc", "p", ("t",)).select(*KEY, "pre", F.lit(0).alias("_k"), F.lit("table").alias("block_type"), "rows")
     out = flow.unionByName(links, allowMissingColumns=True).unionByName(pics, allowMissingColumns=True).unionByName(tables, allowMissingColumns=True)
     return _numbered(out, ["pre", "_k"])
 
 
-def xlsx_cells(entries: DataFrame) -> DataFrame:
-    """doc_id, sheet, r, c, text, formula, is_error: typed cells as text; dates by their style."""
-    rels = relationships(entries).where("part = 'xl/workbook.xml'").select("doc_id", "rid", "target")
-    book = xml_nodes(entries.where("entry = 'xl/workbook.xml'")).where("tag = 'sheet'")
+def _sheets(nodes: DataFrame) -> DataFrame:
+    """doc_id, entry, sheet, sheet_no: worksheets in the workbook's order."""
+    rels = relationships(nodes).where("part = 'xl/workbook.xml'").select("doc_id", "rid", F.col("target").alias("entry"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
-    sheets = book.select("doc_id", attr("name").alias("sheet"), F.coalesce(attr("rid"), attr("id")).alias("rid"), order.alias("sheet_no")).join(rels, ["doc_id", "rid"])
-    nodes = xml_nodes(entries.where(F.rlike("entry", F.lit(r"^xl/(worksheets/[^/]+|sharedStrings|styles)\.xml$"))))
+    book = nodes.where("entry = 'xl/workbook.xml' and tag = 'sheet'")
+    book = book.select("doc_id", attr("name").alias("sheet"), F.coalesce(attr("rid"), attr("id")).alias("rid"), order.alias("sheet_no"))
+    return book.join(rels, ["doc_id", "rid"]).select(*KEY, "sheet", "sheet_no")
+
+
+def named_tables(nodes: DataFrame) -> DataFrame:
+    """doc_id, sheet, table_no, name, r0, r1, c0, c1 (ends exclusive), header_rows: tables that worksheets name."""
+    parts_ = nodes.where("tag = 'tablePart'").select(*KEY, F.coalesce(attr("rid"), attr("id")).alias("rid"), "pre").join(_sheets(nodes), KEY)
+    rels = relationships(nodes).select("doc_id", F.col("part").alias("entry"), "rid", "target")
+    told = nodes.where("tag = 'table' and entry like 'xl/tables/%'").select(
+        "doc_id", F.col("entry").alias("target"), F.coalesce(attr("displayName"), attr("name")).alias("name"), a1_range(attr("ref")).alias("_at"), F.coalesce(attr("headerRowCount").try_cast("int"), F.lit(1)).alias("header_rows")
+    )
+    found = parts_.join(rels, [*KEY, "rid"]).join(told.where("_at is not null and name is not null"), ["doc_id", "target"])
+    number = F.row_number().over(Window.partitionBy("doc_id", "sheet").orderBy("pre"))
+    return found.select("doc_id", "sheet", number.alias("table_no"), "name", "_at.*", "header_rows")
+
+
+def xlsx_cells(nodes: DataFrame) -> DataFrame:
+    """doc_id, sheet, sheet_no, r, c, text, formula, is_error: typed cells as text; dates by their style."""
+    sheets = _sheets(nodes)
     si = nodes.where("entry = 'xl/sharedStrings.xml'")
     strings = si.where("tag = 'si'").select("doc_id", F.col("pre").alias("_si"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1).alias("idx"))
     words = _ordered_text(si.where((F.col("tag") == "#text") & under("t")).select("doc_id", ancestor("si").alias("_si"), "pre", "text"), ["doc_id", "_si"])
@@ -148,11 +177,12 @@ def xlsx_cells(entries: DataFrame) -> DataFrame:
     codes = st.where("tag = 'numFmt'").select("doc_id", attr("numFmtId").alias("_f"), attr("formatCode").alias("_code"))
     xfs = st.where((F.col("tag") == "xf") & under("cellXfs")).select("doc_id", attr("numFmtId").alias("_f"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1).alias("style"))
     xfs = xfs.join(codes, ["doc_id", "_f"], "left").select("doc_id", "style", format_kind(F.col("_f").cast("int"), F.coalesce("_code", F.lit(""))).alias("kind"))
-    ws = nodes.where(F.startswith("entry", F.lit("xl/worksheets/"))).join(sheets.select("doc_id", F.col("target").alias("entry"), "sheet", "sheet_no"), KEY)
-    cells = ws.where("tag = 'c'").select(*KEY, "sheet", F.col("pre").alias("_c"), attr("r").alias("ref"), F.coalesce(attr("t"), F.lit("n")).alias("t"), F.coalesce(attr("s").cast("int"), F.lit(0)).alias("style"))
+    ws = nodes.where(F.startswith("entry", F.lit("xl/worksheets/"))).join(sheets, KEY)
+    cells = ws.where("tag = 'c'").select(*KEY, "sheet", "sheet_no", F.col("pre").alias("_c"), attr("r").alias("ref"), F.coalesce(attr("t"), F.lit("n")).alias("t"), F.coalesce(attr("s").cast("int"), F.lit(0)).alias("style"))
     inner = ws.where((F.col("tag") == "#text") & under("v", "t", "f")).select(*KEY, ancestor("c").alias("_c"), F.when(under("f"), "f").otherwise("v").alias("part"), "pre", "text")
     values = _ordered_text(inner, [*KEY, "_c", "part"]).groupBy(*KEY, "_c").pivot("part", ["v", "f"]).agg(F.first("text"))
-    c = cells.join(values, [*KEY, "_c"], "left").join(strings, (cells["doc_id"] == strings["doc_id"]) & (cells["t"] == "s") & (F.col("v").try_cast("int") == strings["idx"]), "left").drop(strings["doc_id"])
+    c = cells.join(values, [*KEY, "_c"], "left").withColumn("idx", F.when(F.col("t") == "s", F.col("v").try_cast("int")))
+    c = c.join(strings, ["doc_id", "idx"], "left")
     c = c.join(xfs, ["doc_id", "style"], "left")
     number = F.col("v").try_cast("double")
     from inkspan.functions.text import number_text
@@ -164,15 +194,20 @@ def xlsx_cells(entries: DataFrame) -> DataFrame:
     )
     value = F.when(F.col("f").isNull(), shown).when(shown.isNull(), F.concat(F.lit("="), "f")).otherwise(F.concat(shown, F.lit(" ("), "f", F.lit(")")))
     return c.select(
-        "doc_id", "sheet", (F.regexp_extract("ref", r"([0-9]+)$", 1).cast("bigint") - 1).alias("r"), column_index(F.regexp_extract("ref", "^([A-Za-z]+)", 1)).cast("int").alias("c"),
+        "doc_id", "sheet", "sheet_no", (F.regexp_extract("ref", r"([0-9]+)$", 1).cast("bigint") - 1).alias("r"), column_index(F.regexp_extract("ref", "^([A-Za-z]+)", 1)).cast("int").alias("c"),
         F.coalesce(value, F.lit("")).alias("text"), F.col("f").alias("formula"), (F.col("t") == "e").alias("is_error"),
     )
 
 
-def ods_cells(entries: DataFrame) -> DataFrame:
-    """Cells of an OpenDocument sheet; repeated rows and columns are expanded (empty ones are not)."""
-    nodes = xml_nodes(entries.where("entry = 'content.xml'"))
-    tables = nodes.where("tag = 'table'").select(*KEY, F.col("pre").alias("_t"), attr("name").alias("sheet"))
+def ods_cells(nodes: DataFrame, most_repeats: int = 20_000) -> DataFrame:
+    """Cells of an OpenDocument sheet; repeated rows and columns that hold text are expanded, empty ones are not.
+
+    A file may declare a million repeats in a few bytes, so one cell is spelled out ``most_repeats`` times at
+    most: the rows that a sheet shows by default.
+    """
+    nodes = nodes.where("entry = 'content.xml'")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
+    tables = nodes.where("tag = 'table'").select(*KEY, F.col("pre").alias("_t"), attr("name").alias("sheet"), number.alias("sheet_no"))
     rep = lambda n: F.coalesce(attr(n).try_cast("int"), F.lit(1))
     before = lambda keys, n: F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = nodes.where("tag = 'table-row'").select(*KEY, ancestor("table").alias("_t"), "pre", rep("number-rows-repeated").alias("_n"))
@@ -181,24 +216,29 @@ def ods_cells(entries: DataFrame) -> DataFrame:
     cells = cells.withColumn("c", before([*KEY, "_r"], "_n")).withColumnRenamed("pre", "_c")
     text = _ordered_text(_ordered_text(nodes.where((F.col("tag") == "#text") & under("p")).select(*KEY, ancestor("table-cell").alias("_c"), ancestor("p").alias("_p"), "pre", "text"), [*KEY, "_c", "_p"]), [*KEY, "_c"], "_p", "text", "\n")
     full = cells.join(text, [*KEY, "_c"]).join(rows, [*KEY, "_r"]).join(tables, [*KEY, "_t"])
-    return full.select(
-        "doc_id", "sheet", F.explode(F.sequence(F.col("r"), F.col("r") + F.col("_rn") - 1)).alias("r"), "c", "_n", "text", F.regexp_replace("formula", "^of:=?", "").alias("formula"), F.lit(False).alias("is_error")
-    ).select("doc_id", "sheet", F.col("r").cast("bigint").alias("r"), F.explode(F.sequence(F.col("c"), F.col("c") + F.col("_n") - 1)).cast("int").alias("c"), "text", "formula", "is_error")
+    times = lambda start, n: F.explode(F.sequence(F.col(start), F.col(start) + F.least(F.col(n), F.lit(most_repeats)) - 1))
+    told = full.select("doc_id", "sheet", "sheet_no", times("r", "_rn").alias("r"), "c", "_n", "text", F.regexp_replace("formula", "^of:=?", "").alias("formula"))
+    told = told.select("doc_id", "sheet", "sheet_no", "r", times("c", "_n").alias("c"), "text", "formula")
+    return told.withColumns({"r": F.col("r").cast("bigint"), "c": F.col("c").cast("int"), "is_error": F.lit(False)})
+
 
+def xlsx_blocks(nodes: DataFrame, **options) -> DataFrame:
+    """Each sheet's named tables, then its regions, split into tables side by side."""
+    return sheet_blocks(xlsx_cells(nodes), named=named_tables(nodes), **options)
 
-def workbook_blocks(cells: DataFrame, **options) -> DataFrame:
-    """Each sheet as one table; it is not yet split into regions or side-by-side tables."""
-    return sheet_blocks(cells.select("doc_id", "sheet", "r", "c", "text"), **options)
 
+def ods_blocks(nodes: DataFrame, **options) -> DataFrame:
+    """Each sheet's regions, split into tables side by side."""
+    return sheet_blocks(ods_cells(nodes), **options)
 
-def pptx_blocks(entries: DataFrame) -> DataFrame:
+
+def pptx_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
     """Slides in presentation order: title heading, paragraphs and lists, tables, images, speaker notes."""
-    rels = relationships(entries)
-    pres = xml_nodes(entries.where("entry = 'ppt/presentation.xml'")).where("tag = 'sldId'")
+    rels = relationships(nodes)
+    pres = nodes.where("entry = 'ppt/presentation.xml' and tag = 'sldId'")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
     slides = pres.select("doc_id", F.coalesce(attr("rid"), attr("id")).alias("rid"), order.alias("slide"))
     slides = slides.join(rels.where("part = 'ppt/presentation.xml'").select("doc_id", "rid", "target"), ["doc_id", "rid"]).select("doc_id", F.col("target").alias("entry"), "slide")
-    nodes = xml_nodes(entries.where(F.rlike("entry", F.lit(r"^ppt/(slides|notesSlides)/[^/]+\.xml$"))))
     s = nodes.join(slides, KEY)
     shape = ancestor("sp")
     kind = s.where("tag = 'ph'").select(*KEY, shape.alias("_sp"), F.coalesce(attr("type"), F.lit("body")).alias("ph"))
@@ -215,7 +255,7 @@ def pptx_blocks(entries: DataFrame) -> DataFrame:
     tables = _table_cells(s, "tbl", "tr", "tc", "p", ("t",)).join(slides, KEY).select(*KEY, "slide", "pre", F.lit(1).alias("_k"), F.lit("table").alias("block_type"), "rows")
     alt = s.where("tag = 'cNvPr'").select(*KEY, ancestor("pic").alias("_pic"), attr("descr").alias("alt"))
     pics = s.where("tag = 'blip'").select(*KEY, "slide", "pre", ancestor("pic").alias("_pic"), attr("embed").alias("rid"))
-    pics = pics.join(rels.select("doc_id", F.col("part").alias("entry"), "rid", "target"), [*KEY, "rid"]).join(images(entries).select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
+    pics = pics.join(rels.select("doc_id", F.col("part").alias("entry"), "rid", "target"), [*KEY, "rid"]).join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
     pics = pics.join(alt.where("_pic is not null"), [*KEY, "_pic"], "left").select(*KEY, "slide", "pre", F.lit(1).alias("_k"), F.lit("image").alias("block_type"), "image_id", "content_type", "filename", "alt")
     to_notes = rels.where("kind = 'notesSlide'").groupBy("doc_id", F.col("part").alias("_slide")).agg(F.min_by("target", "rid").alias("entry"))
     notes = nodes.join(to_notes, KEY).join(slides.select("doc_id", F.col("entry").alias("_slide"), "slide"), ["doc_id", "_slide"])
@@ -228,11 +268,11 @@ def pptx_blocks(entries: DataFrame) -> DataFrame:
     return _numbered(out, ["slide", "_k", "pre"])
 
 
-def odt_blocks(entries: DataFrame) -> DataFrame:
+def odt_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
     """Headings, paragraphs, lists and tables of the text body; images last."""
-    nodes = xml_nodes(entries.where("entry in ('content.xml', 'styles.xml')"))
+    nodes = nodes.where("entry in ('content.xml', 'styles.xml')")
     doc = nodes.where("entry = 'content.xml'")
-    parent = F.element_at("path", -1)["tag"]
+    parent = F.try_element_at("path", F.lit(-1))["tag"]
     top = doc.where((parent == "text") & F.col("tag").isin("h", "p") & ~under("list", "table"))
     blank = F.repeat(F.lit(" "), F.coalesce(attr("c").try_cast("int"), F.lit(1)))
     piece = F.when(F.col("tag") == "tab", "\t").when(F.col("tag") == "line-break", "\n").when(F.col("tag") == "s", blank).otherwise(F.col("text"))
@@ -241,21 +281,20 @@ def odt_blocks(entries: DataFrame) -> DataFrame:
     flow = top.select(*KEY, "pre", F.when(F.col("tag") == "h", "heading").otherwise("paragraph").alias("block_type"), F.when(F.col("tag") == "h", F.coalesce(attr("outline-level").try_cast("int"), F.lit(1))).cast("smallint").alias("level"), F.lit(False).alias("ordered"), F.lit(None).cast("string").alias("group"))
     outer = F.try_element_at(F.filter("path", lambda p: p["tag"] == "list"), F.lit(1))["pre"]
     depth = F.size(F.filter("path", lambda p: p["tag"] == "list")) - 1
-    ordered = nodes.where(F.col("tag") == "list-level-style-number").select("doc_id", F.element_at("path", -1)["pre"].alias("_s"), "entry")
+    ordered = nodes.where(F.col("tag") == "list-level-style-number").select("doc_id", F.try_element_at("path", F.lit(-1))["pre"].alias("_s"), "entry")
     styles = nodes.where("tag = 'list-style'").select("doc_id", "entry", F.col("pre").alias("_s"), attr("name").alias("_style")).join(ordered, ["doc_id", "entry", "_s"], "left_semi").select("doc_id", "_style").distinct()
     lists = doc.where("tag = 'list'").select(*KEY, F.col("pre").alias("_l"), attr("style-name").alias("_style")).join(styles.withColumn("_ord", F.lit(True)), ["doc_id", "_style"], "left").select(*KEY, "_l", F.coalesce("_ord", F.lit(False)).alias("ordered"))
     items = doc.where((F.col("tag").isin("p", "h")) & under("list") & ~under("table")).select(*KEY, "pre", F.lit("list").alias("block_type"), depth.cast("smallint").alias("level"), outer.alias("_l"), outer.cast("string").alias("group"))
     items = items.join(lists, [*KEY, "_l"], "left").drop("_l")
     gathered = _gather_lists(flow.unionByName(items).join(text, [*KEY, "pre"])).withColumn("_k", F.lit(0))
     tables = _table_cells(doc, "table", "table-row", "table-cell", "p", ("p",)).select(*KEY, "pre", F.lit(0).alias("_k"), F.lit("table").alias("block_type"), "rows")
-    pics = doc.where(F.col("tag") == "image").select(*KEY, "pre", attr("href").alias("target")).join(images(entries).select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
+    pics = doc.where(F.col("tag") == "image").select(*KEY, "pre", attr("href").alias("target")).join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
     pics = pics.select(*KEY, "pre", F.lit(1).alias("_k"), F.lit("image").alias("block_type"), "image_id", "content_type", "filename")
     return _numbered(gathered.unionByName(tables, allowMissingColumns=True).unionByName(pics, allowMissingColumns=True), ["_k", "pre"])
 
 
-def epub_blocks(entries: DataFrame) -> DataFrame:
+def epub_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
     """Chapters in spine order: a heading each, then headings, paragraphs, list items and images of its body."""
-    nodes = xml_nodes(entries.where(F.rlike("entry", F.lit(r"(?i)(container\.xml|\.opf|\.x?html?)$"))))
     opf = nodes.where(F.endswith("entry", F.lit(".opf")))
     folder = F.regexp_extract("entry", "^(.*/)?[^/]*$", 1)
     manifest = opf.where("tag = 'item'").select("doc_id", attr("id").alias("idref"), F.concat(folder, F.regexp_replace(attr("href"), "[#?].*$", "")).alias("entry"), attr("media-type").alias("media"))
@@ -271,19 +310,57 @@ def epub_blocks(entries: DataFrame) -> DataFrame:
     flow = grouped.select(*KEY, "chapter", F.col("_p").alias("pre"), F.when(F.col("_tag") == "li", "list").when(F.startswith("_tag", F.lit("h")), "heading").otherwise("paragraph").alias("block_type"), F.when(F.startswith("_tag", F.lit("h")), F.substring("_tag", 2, 1).try_cast("int")).otherwise(0).cast("smallint").alias("level"), collapse("text").alias("text"), "ordered", "group").where("text <> ''")
     flow = _gather_lists(flow)
     src = F.concat(F.regexp_extract("entry", "^(.*/)?[^/]*$", 1), F.regexp_replace(attr("src"), "[#?].*$", ""))
-    pics = x.where("tag = 'img'").select(*KEY, "chapter", "pre", src.alias("target"), attr("alt").alias("alt")).join(images(entries).select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
+    pics = x.where("tag = 'img'").select(*KEY, "chapter", "pre", src.alias("target"), attr("alt").alias("alt")).join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
     pics = pics.select(*KEY, "chapter", "pre", F.lit("image").alias("block_type"), "image_id", "content_type", "filename", "alt")
     return _numbered(heads.unionByName(flow, allowMissingColumns=True).unionByName(pics, allowMissingColumns=True), ["chapter", "pre"])
 
 
-def mind_map_nodes(entries: DataFrame) -> DataFrame:
+#: A topic of content.json with its children as they are, to be read level by level.
+TOPIC = "struct<title:string,children:struct<attached:array<string>>>"
+
+
+def json_topics(entries: DataFrame) -> DataFrame:
+    """XMind content.json (doc_id, entry, data): doc_id, node_id, parent_id, ord, title of the first sheet's topics.
+
+    One step a level: the children of a level's topics are kept as JSON text and read by the next.
+    """
+    text = F.decode("data", "UTF-8")
+    sheets = F.from_json(text, "array<struct<rootTopic:string>>")
+    level = entries.where("entry = 'content.json'").select("doc_id", F.try_element_at(sheets, F.lit(1))["rootTopic"].alias("_json"))
+    level = stored(level.where("_json is not null").select("doc_id", F.array(F.lit(0)).alias("_path"), "_json"), "topics")
+    levels = [level]
+    while True:
+        below = level.select("doc_id", "_path", F.posexplode(F.from_json("_json", TOPIC)["children"]["attached"]).alias("_i", "_json"))
+        level = stored(below.select("doc_id", F.array_append("_path", F.col("_i")).alias("_path"), "_json"), "topics")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.unionByName(more)
+    name = lambda p: F.array_join(p, ".")
+    return found.select(
+        "doc_id", name("_path").alias("node_id"), F.when(F.size("_path") > 1, name(F.slice("_path", F.lit(1), F.size("_path") - 1))).alias("parent_id"),
+        F.element_at("_path", -1).alias("ord"), F.from_json("_json", TOPIC)["title"].alias("title"),
+    )
+
+
+def mind_map_nodes(nodes: DataFrame) -> DataFrame:
     """XMind content.xml and MindManager Document.xml: doc_id, node_id, parent_id, ord, title."""
-    nodes = xml_nodes(entries.where("entry in ('content.xml', 'Document.xml')"))
+    nodes = nodes.where("entry in ('content.xml', 'Document.xml')")
     topics = nodes.where(F.col("tag").isin("topic", "Topic"))
     first_sheet = F.coalesce(ancestor("sheet"), F.lit(-1))
     topics = topics.withColumn("_sheet", first_sheet).withColumn("_first", F.min("_sheet").over(Window.partitionBy("doc_id"))).where("_sheet = _first")
     topics = topics.select("doc_id", F.col("pre").alias("node_id"), ancestor("topic", "Topic").alias("parent_id"), F.col("pre").alias("ord"))
-    told = nodes.where((F.col("tag") == "#text") & (F.element_at("path", -1)["tag"] == "title")).select("doc_id", ancestor("topic", "Topic").alias("node_id"), "text")
+    told = nodes.where((F.col("tag") == "#text") & (F.try_element_at("path", F.lit(-1))["tag"] == "title")).select("doc_id", ancestor("topic", "Topic").alias("node_id"), "text")
     plain = nodes.where("tag = 'Text'").select("doc_id", ancestor("Topic").alias("node_id"), attr("PlainText").alias("text"))
     titles = told.unionByName(plain).where("text is not null").groupBy("doc_id", "node_id").agg(F.array_join(F.collect_list("text"), "").alias("title"))
     return topics.join(titles, ["doc_id", "node_id"], "left")
+
+
+def mind_maps(files: DataFrame) -> DataFrame:
+    """doc_id, node_id, parent_id, ord, title: content.json where an archive has one, else its XML."""
+    modern = stored(json_topics(zip_entries(files, r"^content\.json$")), "json")
+    old = mind_map_nodes(parts(files)).join(modern.select("doc_id").distinct(), "doc_id", "left_anti")
+    number = old.withColumns({c: F.col(c).cast("string") for c in ("node_id", "parent_id")})
+    return modern.unionByName(number)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.operators import trees
-from inkspan.sources import delimited, office
-from inkspan.sources.files import read_files, zip_entries
+from inkspan.sources import delimited, office, values
+from inkspan.sources.files import read_files
 
 ARCHIVE_BLOCKS = {"docx": office.docx_blocks, "pptx": office.pptx_blocks, "odt": office.odt_blocks, "epub": office.epub_blocks}
-SHEETS = {"xlsx": office.xlsx_cells, "ods": office.ods_cells}
-SUPPORTED = (*ARCHIVE_BLOCKS, *SHEETS, "csv", "tsv", "xmind", "mmap")
+SHEETS = {"xlsx": office.xlsx_blocks, "ods": office.ods_blocks}
+SUPPORTED = (*ARCHIVE_BLOCKS, *SHEETS, "csv", "tsv", "xmind", "mmap", "json", "xml")
 
 
 def blocks_of(files: DataFrame, formats=SUPPORTED, **sheet_options) -> DataFrame:
@@ -21,11 +21,13 @@ def blocks_of(files: DataFrame, formats=SUPPORTED, **sheet_options) -> DataFrame
     for name in formats:
         own = good.where(F.col("doc_format") == name)
         if name in ARCHIVE_BLOCKS:
-            part = ARCHIVE_BLOCKS[name](zip_entries(own))
+            part = ARCHIVE_BLOCKS[name](office.parts(own), office.media(own))
         elif name in SHEETS:
-            part = office.workbook_blocks(SHEETS[name](zip_entries(own)), **sheet_options)
+            part = SHEETS[name](office.parts(own), **sheet_options)
         elif name in ("xmind", "mmap"):
-            part = delimited.complete(trees.tree_blocks(trees.flatten(office.mind_map_nodes(zip_entries(own)))))
+            part = delimited.complete(trees.tree_blocks(trees.flatten(office.mind_maps(own))))
+        elif name in ("json", "xml"):
+            part = values.value_blocks(own)
         else:
             part = delimited.sheet_blocks(delimited.cells(own), **sheet_options)
         out = part if out is None else out.unionByName(part)

@@ -8,8 +8,15 @@ documents. It works on all rows its predecessor kept, and what it decides takes
    come last); other texts of a doc_id are judged by their own class.
 3. substrings: words of passages of 50 words that a document with a smaller doc_id holds too are cut out;
    a document that loses a word holds its other words joined by one space; one that loses all its words goes.
-4. mixing: each document appears as often as the mixture of the sources takes it (0, 1 or 2 times).
+4. mixing: each document appears as often as the mixture of the sources takes it (0, 1 or 2 times), dealt out by
+   shard and in a hashed order within each.
 5. sentencepiece: token ids and the decoded text of every row.
+
+In every stage: an empty table gives an empty one; columns beyond those of documents are dropped, whatever their
+names; texts of any length are worked on whole; a null doc_id, lang, source or n_chars is kept (lang is replaced
+by the prediction), a null text goes in the first stage and is kept by the next three. Repeated rows are one row
+after near_duplicates, and rows of their own in all other stages. Ties go by the rules of each operator: languages
+to the smaller name, copies to the least doc_id and then the least digest.
 """
 
 from __future__ import annotations

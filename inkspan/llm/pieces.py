@@ -4,10 +4,14 @@ A text becomes symbols, one a character. The agenda holds every adjacent pair th
 best-scored one (leftmost on ties) is merged and its two neighbours join the agenda, until it is empty.
 Symbols that are no piece fall back to bytes. Arrow batches of texts are cut into segments that no piece
 can straddle; distinct segments are encoded together, one agenda each, held as rows of a score matrix,
-and a bounded cache keeps them by worker. Every segment that the agenda encodes is encoded by the
-sentencepiece library too; a segment on which they differ takes the library's ids and marks its text.
-
-Null texts count as empty. Memory: a batch of texts and CACHE segments a worker, whatever the input.
+and a bounded cache keeps them by worker. The ids returned are the agenda's, and texts are decoded from
+them. Every segment that the agenda encodes is encoded by the sentencepiece library too, for comparison
+alone: a text that holds a segment on which they differ says so in ``library_agrees``.
+
+Null texts count as empty, and an empty text has only the begin and end ids. Texts of any length are
+encoded whole. Rows that repeat, ids included, are rows of their own; a null doc_id is kept. An empty table
+gives an empty result. Columns other than doc_id and text are ignored, whatever their names. Memory: an Arrow
+batch of texts, the segments of SLICE characters (or of one longer text) and CACHE segments a worker.
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from inkspan.llm.common import small_batches
+
 SPACE = "▁"
 #: Segments kept by a worker, and characters up to which segments share a score matrix.
 CACHE = 100_000
 WIDE = 24
+#: Characters cut into segments at a time, and new segments encoded at a time.
+SLICE, NEW = 500_000, 8192
 NEVER = np.float32(-np.inf)
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are packed as little-endian 32-bit integers")
@@ -290,8 +298,8 @@ def segments_of(text: str, newline_cuts: bool = True) -> list[str]:
 class Codec:
     """An agenda with its cache of segments.
 
-    ids: a segment's ids as bytes. odd: decoded text of segments with ids that do not spell them (bytes,
-    unknown); all others decode to themselves. The cache has two generations: when the young one is full it
+    ids: a segment's ids as bytes. odd: decoded texts of segments that decoding does not give back as they are
+    (bytes that are no UTF-8, unknown characters). The cache has two generations: when the young one is full it
     becomes the old one, and what is used again comes back without being encoded again.
     """
 
@@ -316,15 +324,17 @@ class Codec:
                 ids[s] = held
                 if s in old_odd:
                     self.odd[s] = old_odd[s]
-        special = self.agenda.special
-        for lo in range(0, len(new), 65536):
-            part = new[lo : lo + 65536]
-            for s, own, lib in zip(part, self.agenda.encode_segments(part), self.agenda.library_segments(part)):
-                ids[s] = array("I", lib).tobytes()
-                if own != lib:
+        agenda = self.agenda
+        for lo in range(0, len(new), NEW):
+            part = new[lo : lo + NEW]
+            for s, own, library in zip(part, agenda.encode_segments(part), agenda.library_segments(part)):
+                ids[s] = array("I", own).tobytes()
+                if own != library:
                     self.differ.add(s)
-                if own != lib or not special.isdisjoint(lib):
-                    self.odd[s] = self.agenda.decode([self.agenda.bos, *lib]) if s[0] != SPACE else " " + self.agenda.decode(lib)
+                # Behind the begin id a first space stays.
+                back = agenda.decode(own) if s[0] != SPACE else " " + agenda.decode(own)
+                if back != s.replace(SPACE, " "):
+                    self.odd[s] = back
 
 
 _codecs: dict[str, Codec] = {}
@@ -355,16 +365,16 @@ def encode_texts(texts: list[str], model_file: str) -> Iterator[tuple[bytes, byt
         yield head + b"".join(map(ids.__getitem__, segs)) + tail, back.removeprefix(" ").encode("utf-8"), agrees
 
 
-def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, batch_chars: int = 4_000_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, slice_chars: int = SLICE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, library_agrees [, ids array<int>, decoded string]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             lo = 0
-            while lo < len(texts):  # a few million characters together
+            while lo < len(texts):
                 hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars < batch_chars):
+                while hi < len(texts) and (hi == lo or chars < slice_chars):
                     chars += len(texts[hi] or "")
                     hi += 1
                 rows = list(encode_texts(texts[lo:hi], model_file))
@@ -382,5 +392,6 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, b
                 yield pa.RecordBatch.from_arrays(columns, names)
                 lo = hi
 
+    small_batches(docs.sparkSession)
     schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.llm.common import small_batches
+
 PROFILE = 400
 FLUSH = 1_000_000
 UNKNOWN = "und"
@@ -121,6 +123,7 @@ def train_profiles(docs: DataFrame, k: int = PROFILE) -> DataFrame:
         fold()
         yield from out()
 
+    small_batches(docs.sparkSession)
     counts = (
         docs.where("lang is not null and text is not null")
         .select("lang", "text")
@@ -129,7 +132,9 @@ def train_profiles(docs: DataFrame, k: int = PROFILE) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("lang", "code", "rank")
+    # Compared as it is, so that Spark keeps the first k of each partition before it sorts a language.
+    first = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return first.select("lang", "code", (F.col("_r") - 1).alias("rank"))
 
 
 def identify(docs: DataFrame, profiles: DataFrame, k: int = PROFILE) -> DataFrame:

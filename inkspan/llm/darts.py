@@ -11,18 +11,20 @@ Classes are found in rounds, each of links that are checked exactly on the whole
    at the end.
 2. Signatures are banded. Texts that share a band are linked to the least of it - first to the least
    over all their bands, then, where that left them in another class, to the least of each band.
-3. In bands that still hold several classes, every text outside the largest class is compared with all
-   texts of the band, in blocks of bounded size, by signature and then exactly; a block returns only the
-   links that join classes.
-So a band of thousands of copies makes one link a copy, and no band is cut short or skipped.
+3. In bands that still hold several classes, every text outside the largest class is compared exactly with
+   all texts of the band, in blocks of bounded size; a block returns only the links that join classes.
+So a band of thousands of copies makes one link a copy, no band is cut short or skipped, and every pair that
+shares a band is linked if its sets reach the threshold, or else by other links.
 
 A band's least text comes from a partial aggregate that is joined back. Memory of a task: an Arrow batch,
-two blocks of BLOCK signatures and sets, or the two shingle sets of a pair.
-
-Texts of under SHINGLE words are one shingle of all their words. Null and wordless texts link to nothing
-but, if not null, to equal texts. near_duplicates() takes rows that share a doc_id as one document, which
-joins the classes of all its texts; a null doc_id is kept there, in a class of its own. text_classes() tells
-the texts apart, whatever their doc_ids. Extra columns are ignored.
+two blocks of BLOCK sets, or the two shingle sets of a pair.
+
+Texts of under SHINGLE words are one shingle of all their words; very long texts have all their shingles.
+Null and wordless texts link to nothing but, if not null, to equal texts. near_duplicates() takes rows that
+share a doc_id as one document, which joins the classes of all its texts, so repeated rows are one; a null
+doc_id is kept there, in a class of its own. text_classes() tells the texts apart, whatever their doc_ids.
+A class is named by its least doc_id, so there are no ties. An empty table gives an empty result. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,15 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, shared_table
+from inkspan.llm.common import cut, shared_table, small_batches
 from inkspan.llm.components import components
 from inkspan.llm.rolling import BASES, mix, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-BLOCK = 1024
-#: How far under the threshold a similarity estimated from the signature is still checked: 3.4 deviations.
-SLACK = 0.15
+BLOCK = 512
 
 
 def shingles(raw: bytes | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +106,13 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int = BANDS * ROWS)
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """(_k, text) -> _k, _bands array<long>, _sketch binary (one byte a coordinate); texts without words are left out."""
+    """(_k, text) -> _k, _bands array<long>; texts without words are left out."""
     kind = docs.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            keys, keyed, sketches = [], [], []
+            keys, keyed = [], []
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 elements, counts = shingles(raw)
                 if not len(elements):
@@ -123,13 +123,10 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool =
                     band = mix(band * BASES[0] + column)
                 keys.append(k)
                 keyed.append(band.view(np.int64))
-                sketches.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.column(0).type), pa.array(keyed, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["_k", "_bands", "_sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(keyed, pa.list_(pa.int64()))], ["_k", "_bands"])
 
-    return docs.select("_k", F.col("text").cast("binary")).mapInArrow(run, f"_k {kind}, _bands array<long>, _sketch binary")
+    small_batches(docs.sparkSession)
+    return docs.select("_k", F.col("text").cast("binary")).mapInArrow(run, f"_k {kind}, _bands array<long>")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -172,11 +169,28 @@ def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("id", "_k"), "_k", "left").select("_k", F.coalesce("root", "_k").alias("_class"))
 
 
-def stragglers(bands: DataFrame, classes: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+class Block:
+    """Shingle sets, posted by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def similarities(self, s: np.ndarray) -> np.ndarray:
+        """Jaccard similarities of a set with all of the block."""
+        lo, hi = np.searchsorted(self.values, s), np.searchsorted(self.values, s, "right")
+        n = hi - lo
+        common = np.bincount(self.owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(self.sizes))
+        return common / np.maximum(self.sizes + len(s) - common, 1)
+
+
+def stragglers(bands: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links that join different classes in one band.
 
     Bands of one class drop out by an aggregate. In the others, members outside the largest class meet
-    all members, BLOCK against BLOCK, first by signature, then by their shingle sets.
+    all members, BLOCK against BLOCK, by their shingle sets.
     """
     placed = bands.join(classes, "_k")
     sizes = placed.groupBy("_band", "_class").agg(F.count(F.lit(1)).alias("_n"))
@@ -186,9 +200,9 @@ def stragglers(bands: DataFrame, classes: DataFrame, sketches: DataFrame, sets:
     ).where("_kinds > 1")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     members = placed.join(mixed, "_band").withColumns({"_left": blocks("_others"), "_right": blocks("_all"), "_outside": F.col("_class") != F.col("_major")})
-    members = members.join(sketches.select("_k", "_sketch"), "_k").join(sets, "_k")
+    members = members.join(sets, "_k")
     spot = lambda n: F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
-    side = lambda df, out, i, j: df.select("_band", i.alias("_i"), j.alias("_j"), "_k", "_class", "_sketch", "_set", F.lit(out).alias("_out"))
+    side = lambda df, out, i, j: df.select("_band", i.alias("_i"), j.alias("_j"), "_k", "_class", "_set", F.lit(out).alias("_out"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = side(members.where("_outside"), True, spot("_left"), every("_right"))
     right = side(members, False, every("_left"), spot("_right"))
@@ -200,14 +214,14 @@ def stragglers(bands: DataFrame, classes: DataFrame, sketches: DataFrame, sets:
         mine, theirs = np.flatnonzero(out), np.flatnonzero(~out)
         found: list[tuple[int, int]] = []
         if len(mine) and len(theirs):
-            sketch = np.frombuffer(b"".join(block.column("_sketch").to_pylist()), np.uint8).reshape(len(keys), -1)
             sets = [np.frombuffer(x, np.uint64) for x in block.column("_set").to_pylist()]
-            distinct, root = np.unique(classes, return_inverse=True)
-            other = sketch[theirs]
+            root = np.unique(classes, return_inverse=True)[1]
+            posted = Block([sets[y] for y in theirs])
             for x in mine:
-                close = (other == sketch[x]).mean(1) >= threshold - SLACK
-                for y in theirs[close]:
-                    if root[x] != root[y] and similarity(sets[x], sets[y]) >= threshold:
+                if (root[theirs] == root[x]).all():
+                    continue
+                for y in theirs[posted.similarities(sets[x]) >= threshold]:
+                    if root[x] != root[y]:
                         found.append((max(keys[x], keys[y]), min(keys[x], keys[y])))
                         root[root == root[y]] = root[x]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
@@ -230,8 +244,8 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     # Numbered by digest, so that hubs do not change between runs.
     texts = shared_table(least.sortWithinPartitions("_d").withColumn("_k", F.monotonically_increasing_id()), "texts")
     signed = sign(known.select(F.col("_d").alias("_k"), "text"), bands, rows, weighted).withColumnRenamed("_k", "_d").dropDuplicates(["_d"])
-    sketches = shared_table(signed.join(texts.select("_d", "_k"), "_d").select("_k", "_bands", "_sketch"), "signatures")
-    banded = sketches.select("_k", F.explode("_bands").alias("_band"))
+    signatures = shared_table(signed.join(texts.select("_d", "_k"), "_d").select("_k", "_bands"), "signatures")
+    banded = signatures.select("_k", F.explode("_bands").alias("_band"))
     shared = banded.groupBy("_band").agg(F.min("_k").alias("_hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     banded = shared_table(banded.join(shared.select("_band", "_hub"), "_band"), "bands")
     nodes = cut(banded.select("_k").distinct())
@@ -247,7 +261,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     apart = hubs.join(first, ["a", "b"], "left_anti").join(ca, "a").join(cb, "b").where("_ca <> _cb").select("a", "b")
     links = cut(links.unionByName(verify(cut(apart), sets, threshold)))
     classes = cut(_classes(nodes, links))
-    links = links.unionByName(cut(stragglers(banded.select("_k", "_band"), classes, sketches, sets, threshold)))
+    links = links.unionByName(cut(stragglers(banded.select("_k", "_band"), classes, sets, threshold)))
     roots = components(links.select("a", "b")).withColumnRenamed("id", "_k")
     return texts.join(roots, "_k", "left").select("_d", "_id", F.coalesce("root", "_k").alias("_root"))
 
@@ -265,9 +279,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # By another key than the aggregate's, so that Spark deals both sides out anew and can split a hot class.
     hubs = least_texts(classes).select((-F.col("_root")).alias("_key"), F.col("_id").alias("_hub"))
     hubs = cut(classes.withColumn("_key", -F.col("_root")).join(hubs, "_key").where("_hub <> _id").select("_d", "_hub"))
-    texts = classes.select("_d", "_id").join(hubs, "_d", "left").select("_d", F.coalesce("_hub", "_id").alias("_hub"))
-    held = known.where("text is not null").select(F.col("doc_id").cast("long").alias("a"), digest().alias("_d"))
-    pairs = held.join(texts, "_d").select("a", F.col("_hub").alias("b"))
+    # Copies share a digest: by another key than the joins before, both sides are dealt out anew for this one.
+    texts = classes.select("_d", "_id").join(hubs, "_d", "left").select(F.reverse("_d").alias("_turned"), F.coalesce("_hub", "_id").alias("_hub"))
+    held = known.where("text is not null").select(F.col("doc_id").cast("long").alias("a"), F.reverse(digest()).alias("_turned"))
+    pairs = held.join(texts, "_turned").select("a", F.col("_hub").alias("b"))
     spans = cut(pairs.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("_last")))
     # A document with several texts joins the classes of all of them; where no id is in two, nothing is left to join.
     final = spans.select(F.col("a").alias("id"), F.col("b").alias("root")) if spans.where("b <> _last").isEmpty() else components(pairs)

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from inkspan.llm.darts import near_duplicates, shingles, signature, text_classes, throw
+from inkspan.llm.darts import Block, near_duplicates, shingles, signature, similarity, text_classes, throw
 from inkspan.llm.components import components
 
 
@@ -144,3 +144,38 @@ def test_classes_of_texts_that_share_an_id_stay_apart(spark):
     ids = sorted((r._id is None, r._id or 0) for r in found)
     assert ids == [(False, 5), (False, 5), (False, 9), (True, 0)]
     assert len({r._root for r in found}) == 3
+
+
+def test_blocks_compare_exactly():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 200)).astype(np.uint64)) for _ in range(40)]
+    block = Block(sets)
+    for s in sets:
+        plain = [similarity(s, t) for t in sets]
+        assert block.similarities(s).tolist() == plain
+    assert Block([]).similarities(sets[1]).tolist() == []
+
+
+def test_copies_around_the_threshold_in_one_band(spark):
+    """Every text shares a band, few are alike: what is under the threshold stays apart, what is at it is linked."""
+    rng = random.Random(6)
+    base = prose(rng, 104)
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for k in rng.sample(range(len(copy) - 4), i % 5):
+            copy[k] = f"n{rng.randrange(6)}"
+        rows.append((i, " ".join(copy)))
+    expected = brute(rows)
+    assert len(set(expected.values())) > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs, bands=40, rows=1).collect()} == expected
+
+
+def test_a_very_long_text_and_an_empty_table(spark):
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    other = [*long[:59_000], *(f"n{i}" for i in range(1000))]
+    rows = [(4, " ".join(long)), (9, " ".join(other)), (5, " ".join(long[:20_000]))]
+    assert run(spark, rows) == {4: 4, 9: 4, 5: 5}
+    assert near_duplicates(spark.createDataFrame([], "doc_id long, text string, _k long, _d string, class_id long")).collect() == []

@@ -15,10 +15,11 @@ one looks for windows. Shuffled are anchors and surviving windows, never all pai
 partial aggregate (least doc_id), which is joined back, so a passage that a third of the documents hold
 is summed before it moves. Memory: an Arrow batch of texts.
 
-Null and wordless texts have no words and keep none. Documents under ``window`` words lose nothing. Rows
-that share a doc_id do not count as others, and each loses what its own text repeats. A null doc_id sorts
-after all others. Extra columns are
-dropped by ``find_repeats`` and kept by ``drop_repeats``; its outputs replace columns of the same names.
+Null and wordless texts have no words and keep none. Documents under ``window`` words lose nothing; very
+long ones are searched whole. Rows that share a doc_id do not count as others, and each loses what its own
+text repeats, so there are no ties. A null doc_id sorts after all others. An empty table gives an empty
+result. Extra columns are dropped by ``find_repeats`` and kept by ``drop_repeats``; its outputs replace
+columns of the same names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, shared_table
+from inkspan.llm.common import cut, shared_table, small_batches
 from inkspan.llm.rolling import lowest, window_hashes, word_hashes
 
 WINDOW = 50
@@ -127,12 +128,15 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, start: int = START, colu
     """
     if not 0 < start < window:
         raise ValueError(f"start must lie between 0 and window: {start}, {window}")
+    small_batches(docs.sparkSession)
     columns = columns or ["text"]
     rows = _keyed(docs, columns)
     texts = _keyed(docs, ["text"]).select("_k", "_t", F.col("_c0").cast("binary").alias("_raw"))
     known = shared_table(texts.where("_raw is not null").select("_k", "_t", F.unhex(F.md5("_raw")).alias("_d")), "digests")
-    least = known.groupBy("_d").agg(F.min("_k").alias("_lo"))
-    roles = cut(known.join(least, "_d").groupBy("_k", "_t").agg(F.max(F.col("_lo") < F.col("_k")).alias("_copy")))
+    # Copies share a digest: not by the key of the aggregate, so that Spark can split those of a hot text.
+    turned = F.reverse(F.hex("_d")).alias("_turned")
+    least = known.groupBy("_d").agg(F.min("_k").alias("_lo")).select(turned, "_lo")
+    roles = cut(known.select("_k", "_t", turned).join(least, "_turned").groupBy("_k", "_t").agg(F.max(F.col("_lo") < F.col("_k")).alias("_copy")))
     alone = roles.where("not _copy").select("_k", "_t")
 
     held, before = None, None

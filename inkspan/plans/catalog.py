@@ -586,12 +586,21 @@ def chunks_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.groupBy(F.split_part("doc_id", F.lit("/"), F.lit(1)).alias("source")).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT doc_id, line_no, {sql_trim('line')} AS t FROM ({_LINES}) WHERE {sql_trim('line')} <> '')
+SELECT doc_id, '{{"schema_version":1,"blocks":[' || string_agg('{{"type":"paragraph","text":' || to_json(t)::VARCHAR || '}}', ',' ORDER BY line_no) || ']}}' AS json FROM l GROUP BY 1""")
 def json_render(spark: SparkSession, sf: str) -> DataFrame:
     return render.to_json_rows(document_text.paragraph_blocks(table(spark, sf, "documents")))
 
 
-@query()
+_KINDS = _sql_heading(f"SELECT doc_id, line_no, {sql_trim('line')} AS t FROM ({_LINES}) WHERE {sql_trim('line')} <> ''", "doc_id, line_no, t")
+
+
+@query(rf"""
+WITH h AS ({_KINDS}),
+ k AS (SELECT *, CASE WHEN regexp_matches(t, '^\s*[•*–—-]\s+(\S.*)$') OR regexp_matches(t, '^\s*[0-9]{{1,8}}[.)]\s*(\S.*)$') THEN 'list' WHEN is_heading THEN 'heading' ELSE 'paragraph' END AS block_type FROM h),
+ n AS (SELECT block_type, block_type <> 'list' OR lag(block_type, 1, '') OVER (PARTITION BY doc_id ORDER BY line_no) <> 'list' AS new FROM k)
+SELECT block_type, count(*) FILTER (new) AS blocks FROM n GROUP BY 1""")
 def classified_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return document_text.classified(table(spark, sf, "documents")).groupBy("block_type").agg(F.count(F.lit(1)).alias("blocks"))
 

@@ -4,34 +4,38 @@ A vector is represented by its NEAR nearest pivots in order. The index posts it
 block of vectors there is an inverted file, pivot -> (vector, position). For vectors whose lists differ
 little the footrule distance - the sum of position differences, a missing pivot counting as position
 NEAR - is small; by inverted file it is a constant minus 2 * sum of (NEAR - max(position, position))
-over the pivots that both lists hold, so only postings of the query's own pivots are read. The CANDIDATES
-best of a block by footrule are reranked by Euclidean distance in double precision on the original
+over the pivots that both lists hold, so only postings of the query's own pivots are read: with PIVOTS many,
+NEAR * NEAR / PIVOTS additions a vector (4), where its distance takes a multiplication a component. The
+CANDIDATES best of a block by footrule are reranked by Euclidean distance in double precision on the original
 vectors, and the best of all blocks are merged.
 
-Pivots come from a bounded sample (SAMPLE vectors, the first by a hash of vec_id), every vector is
-indexed. Blocks of vectors and of queries have bounded sizes and meet one pair a row, so a task holds one
-block of each. Equal vectors of a block are candidates as one and are spelled out at the end, smallest
-vec_id first, so a group of copies takes one candidate's place.
+Pivots come from a bounded sample (SAMPLE vectors, the first by a hash of vec_id), every vector is indexed.
+The index is dealt out once, in blocks of about BLOCK vectors. Queries come in blocks of about QUERY_BLOCK;
+one after the other these are broadcast and meet every block of the index where it lies, so neither side is
+copied for the other and what is broadcast is bounded. Equal vectors of a block are candidates as one and are
+spelled out at the end, smallest vec_id first, so a group of copies takes one candidate's place.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component, or whose number of components
 is not the commonest one (ties: the smaller), take no part; neither do null vec_ids. Of rows that repeat a
-vec_id one takes part. Ties go to the smaller vec_id. Extra columns are ignored. Empty input, no queries:
-an empty result.
+vec_id the one with the least vector takes part. Ties go to the smaller vec_id. Extra columns are ignored,
+whatever their names. Empty input, no queries: an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut
+from inkspan.llm.common import shared_dir, shared_table, small_batches
 
-PIVOTS, NEAR, SAMPLE = 256, 96, 8192
-CANDIDATES, BLOCK, QUERY_BLOCK = 256, 8192, 512
+PIVOTS, NEAR, SAMPLE = 1024, 64, 8192
+CANDIDATES, BLOCK, QUERY_BLOCK = 512, 8192, 4096
 
 
 def usable(vector: str) -> Column:
@@ -76,57 +80,56 @@ def inverted_file(perm: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray
     return bounds, order // near, (order % near).astype(np.int32)
 
 
-def _pack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in order, without repeats, and their vectors."""
-    ids = frame["_id"].to_numpy(np.int64)
-    ids, first = np.unique(ids, return_index=True)
-    return ids, np.array([np.asarray(frame["_v"].iloc[i], np.float64) for i in first])
+#: A block: its ids, which distinct vector each has, which are queries, the distinct vectors and their inverted file.
+ARRAYS = {"ids": np.int64, "copies": np.int64, "asked": np.bool_, "vectors": np.float64, "bounds": np.int64, "posted": np.int64, "positions": np.int32}
+INDEX = "block int, " + ", ".join(f"{a} binary" for a in ARRAYS)
 
 
 def build_index(vectors: DataFrame, pivots: np.ndarray, blocks: int, near: int = NEAR) -> DataFrame:
-    """(_id, _v) -> a row a block: block, ids, vectors, bounds, posted, positions (packed arrays)."""
+    """(_id, _v, _query) -> a row a block."""
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, v = _pack(frame)
-        distinct, of = np.unique(v, axis=0, return_inverse=True)
+        every = frame["_id"].to_numpy(np.int64)
+        v = np.array(frame["_v"].tolist(), np.float64)
+        order = np.lexsort((*v.T[::-1], every))  # of a repeated id the least vector comes first
+        ids, first = np.unique(every[order], return_index=True)
+        first = order[first]
+        distinct, of = np.unique(v[first], axis=0, return_inverse=True)
         bounds, posted, positions = inverted_file(permutations(distinct, pivots, near), len(pivots))
-        packed = [x.tobytes() for x in (ids, of.ravel().astype(np.int64), distinct, bounds.astype(np.int64), posted.astype(np.int64), positions)]
-        return pd.DataFrame([[int(frame["_block"].iloc[0]), *packed]], columns=[c.split()[0] for c in INDEX.split(", ")])
+        arrays = (ids, of.ravel(), frame["_query"].to_numpy(bool)[first], distinct, bounds, posted, positions)
+        packed = [np.ascontiguousarray(a, kind).tobytes() for a, kind in zip(arrays, ARRAYS.values())]
+        return pd.DataFrame([[int(frame["_block"].iloc[0]), *packed]], columns=["block", *ARRAYS])
 
     spread = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)).cast("int")
     return vectors.withColumn("_block", spread).groupBy("_block").applyInPandas(build, INDEX)
 
 
-INDEX = "block int, ids binary, copies binary, vectors binary, bounds binary, posted binary, positions binary"
+class Block:
+    """A row of the index."""
 
+    def __init__(self, row: dict, dim: int):
+        for name, kind in ARRAYS.items():
+            setattr(self, name, np.frombuffer(row[name], kind))
+        self.vectors = self.vectors.reshape(-1, dim)
+        self.by_copy = np.lexsort((self.ids, self.copies))  # copies of a vector together, smallest id first
+        self.start = np.searchsorted(self.copies[self.by_copy], np.arange(len(self.vectors) + 1))
 
-def search_block(row, queries: np.ndarray, query_ids: np.ndarray, perms: np.ndarray, k: int, candidates: int) -> Iterator[tuple]:
-    """Each query's k nearest of one block among its ``candidates`` best by footrule."""
-    ids, of = np.frombuffer(row.ids, np.int64), np.frombuffer(row.copies, np.int64)
-    v = np.frombuffer(row.vectors, np.float64).reshape(-1, queries.shape[1])
-    bounds, posted = np.frombuffer(row.bounds, np.int64), np.frombuffer(row.posted, np.int64)
-    positions = np.frombuffer(row.positions, np.int32)
-    near = perms.shape[1]
-    order = np.lexsort((ids, of))  # copies of a vector together, smallest id first
-    start = np.searchsorted(of[order], np.arange(len(v) + 1))
-    for q, qid, perm in zip(queries, query_ids, perms):
+    def search(self, query: np.ndarray, own: int, perm: np.ndarray, k: int, candidates: int) -> list[tuple[float, int]]:
+        """A query's k nearest among its ``candidates`` best by footrule: (distance, id)."""
+        v, near = self.vectors, len(perm)
         shared = np.zeros(len(v), np.int32)
         for at, p in enumerate(perm):
-            lo, hi = bounds[p], bounds[p + 1]
-            shared[posted[lo:hi]] += near - np.maximum(positions[lo:hi], at)
-        if len(v) > candidates:
-            best = np.argpartition(-shared, candidates - 1)[:candidates]
-        else:
-            best = np.arange(len(v))
-        distance = np.sqrt(((v[best] - q) ** 2).sum(1))
+            lo, hi = self.bounds[p], self.bounds[p + 1]
+            shared[self.posted[lo:hi]] += near - np.maximum(self.positions[lo:hi], at)
+        best = np.argpartition(-shared, candidates - 1)[:candidates] if len(v) > candidates else np.arange(len(v))
+        distance = np.sqrt(((v[best] - query) ** 2).sum(1))
         found: list[tuple[float, int]] = []
         for j in np.argsort(distance, kind="stable"):
             if len(found) >= k and distance[j] > found[-1][0]:
                 break
-            own = ids[order[start[best[j]] : start[best[j] + 1]]][: k + 1]
-            found += [(float(distance[j]), int(i)) for i in own if i != qid]
-        for d, i in sorted(found)[:k]:
-            yield int(qid), i, d
+            ids = self.ids[self.by_copy[self.start[best[j]] : self.start[best[j] + 1]]][: k + 1]
+            found += [(float(distance[j]), int(i)) for i in ids if i != own]
+        return sorted(found)[:k]
 
 
 def search(
@@ -135,40 +138,49 @@ def search(
 ) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score: the k nearest found of each query row."""
     spark = vectors.sparkSession
+    small_batches(spark)
     good = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(
-        F.col("vec_id").cast("long").alias("_id"), F.col("embedding").cast("array<double>").alias("_v"), is_query.alias("_query")
+        F.col("vec_id").cast("long").alias("_id"), F.col("embedding").cast("array<double>").alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_query")
     )
-    sizes = good.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 0
-    n = sizes[0]["count"] if sizes else 0
+    sizes = good.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, n = sizes
     good = good.where(F.size("_v") == dim)
     sample = good.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_v").collect()
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(choose_pivots(np.array([r["_v"] for r in sample]), pivots))  # pivots rows
-    blocks = max(1, -(-n // block))
-    index = cut(build_index(good.select("_id", "_v"), shared.value, blocks, near))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, v = _pack(frame)
-        perms = permutations(v, shared.value, near).astype(np.int32)
-        return pd.DataFrame([[ids.tobytes(), v.tobytes(), perms.tobytes()]], columns=["q_ids", "q_vectors", "q_perms"])
-
-    asked = good.where("_query")
-    query_blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(query_blocks)).cast("int"))
-    asked = asked.select("_id", "_v", "_b").groupBy("_b").applyInPandas(pack, "q_ids binary, q_vectors binary, q_perms binary")
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    chosen = choose_pivots(np.array([r["_v"] for r in sample]), pivots)
+    index = shared_table(build_index(good, chosen, max(1, -(-n // block)), near), "vectors")
+
+    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                q_ids = np.frombuffer(row.q_ids, np.int64)
-                q = np.frombuffer(row.q_vectors, np.float64).reshape(len(q_ids), -1)
-                perms = np.frombuffer(row.q_perms, np.int32).reshape(len(q_ids), -1)
-                found = list(search_block(row, q, q_ids, perms, k, candidates))
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    hits = pairs.repartition(blocks * query_blocks, "block", "q_ids").mapInPandas(run, "query_id long, vec_id long, score double")
+            for ids, copies, asked, v in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                on = np.frombuffer(asked, bool)
+                own = np.frombuffer(v, np.float64).reshape(-1, dim)[np.frombuffer(copies, np.int64)[on]]
+                rows = pa.FixedSizeListArray.from_arrays(pa.array(own.ravel()), dim).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)[on]), rows], ["_id", "_v"])
+
+    asked = shared_table(index.select("ids", "copies", "asked", "vectors").mapInArrow(queries, "_id long, _v array<double>"), "queries")
+    parts = max(1, -(-asked.count() // query_block))
+    path = f"{shared_dir(spark).rstrip('/')}/inkspan/near-{uuid.uuid4().hex}"
+    hit = "query_id long, vec_id long, score double"
+    spark.createDataFrame([], hit).write.parquet(path)
+    for part in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(parts)) == part).collect()  # about query_block rows
+        if not rows:
+            continue
+        v = np.array([r["_v"] for r in rows])
+        shared = spark.sparkContext.broadcast((np.array([r["_id"] for r in rows]), v, permutations(v, chosen, near).astype(np.int32)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    held = Block({a: batch.column(a)[i].as_buffer() for a in ARRAYS}, dim)
+                    found = [(int(q), i, d) for q, x, perm in zip(*shared.value) for d, i in held.search(x, q, perm, k, candidates)]
+                    columns = list(zip(*found)) or [[], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+        index.select(*ARRAYS).mapInArrow(run, hit).write.mode("append").parquet(path)
+        shared.destroy()
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = spark.read.schema(hit).parquet(path).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

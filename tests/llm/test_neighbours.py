@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from inkspan.llm.neighbours import choose_pivots, inverted_file, permutations, search
+from inkspan.llm.neighbours import ARRAYS, BLOCK, CANDIDATES, NEAR, SAMPLE, Block, choose_pivots, inverted_file, permutations, search
 from inkspan.llm.queries import QUERIES
 
 NAN, INF = float("nan"), float("inf")
@@ -89,6 +90,32 @@ def test_footrule_by_inverted_file():
             assert footrule == 2 * sum(range(1, 6)) - 2 * shared[x]
 
 
+def test_repeated_ids_take_the_least_vector(spark):
+    rows = [(0, [1.0, 0.0]), (1, [5.0, 1.0]), (1, [2.0, 9.0]), (2, [2.0, 3.0])]
+    assert run(spark, rows + [rows[1]], every=2) == brute([rows[0], rows[2], rows[3]], lambda i: i % 2 == 0)
+
+
+def test_recall_over_five_full_blocks():
+    """At production parameters, on the table whose blocks are full; vectors have no near ones there."""
+    rows = pq.read_table("/root/testdata/check_l/embeddings.parquet", columns=["vec_id", "embedding"]).slice(0, 5 * BLOCK)
+    ids, v = rows["vec_id"].to_numpy(), np.array(rows["embedding"].to_pylist(), np.float64)
+    pivots = choose_pivots(v[np.random.default_rng(1).permutation(len(v))[:SAMPLE]])
+    blocks = []
+    for lo in range(0, len(v), BLOCK):
+        part = v[lo : lo + BLOCK]
+        bounds, posted, positions = inverted_file(permutations(part, pivots, NEAR), len(pivots))
+        arrays = (ids[lo : lo + BLOCK], np.arange(len(part)), np.zeros(len(part), bool), part, bounds, posted, positions)
+        blocks.append(Block({a: np.ascontiguousarray(x, kind).tobytes() for (a, kind), x in zip(ARRAYS.items(), arrays)}, v.shape[1]))
+    hit = 0
+    for q in range(0, len(v), len(v) // 60):
+        perm = permutations(v[q : q + 1], pivots, NEAR)[0]
+        got = sorted(x for b in blocks for x in b.search(v[q], ids[q], perm, 10, CANDIDATES))[:10]
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len({i for _, i in got} & set(ids[np.argsort(d)[:10]].tolist()))
+    assert hit / (10 * len(range(0, len(v), len(v) // 60))) >= 0.93
+
+
 def test_recall_of_the_query(spark):
     """At production parameters, on a table of more vectors than candidates."""
     folder = "/root/testdata/sf0.1"

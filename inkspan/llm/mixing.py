@@ -251,13 +251,19 @@ def plan_mix(
     return taken.where("_n is null or _n = _of_n").select(columns).unionByName(some.select(columns))
 
 
+def slice_of(position: str) -> Column:
+    """The first 12 bits of a position: slices follow each other in the order of positions."""
+    return F.shiftright(position, 52)
+
+
 def mix(docs: DataFrame, keep: Sequence[str] = (), shards: int = 16, **options) -> DataFrame:
     """The mixture itself: a row for each time a document is taken, dealt out by shard and locally shuffled.
 
-    doc_id, source, kept columns, size, source_size, target, pass, shard, position; a partition holds whole
-    shards, each in the order of position.
+    doc_id, source, kept columns, size, source_size, target, pass, shard, position. A shard is dealt out in
+    slices of its positions, so that it may be larger than a task; a partition holds whole slices, in the order
+    of shard and position.
     """
     keep = [c for c in keep if c not in ("pass", "shard", "position")]
     drawn = plan_mix(docs, keep=keep, shards=shards, **options)
     drawn = drawn.select(*[F.col(f"`{c}`") for c in drawn.columns if c != "draws"], F.inline("draws"))
-    return drawn.repartition(shards, "shard").sortWithinPartitions("shard", "position", "doc_id")
+    return drawn.repartition("shard", slice_of("position")).sortWithinPartitions("shard", "position", "doc_id")

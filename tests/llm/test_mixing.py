@@ -125,16 +125,16 @@ def test_mix_deals_out_and_shuffles_shards(spark):
     planned = {(r.doc_id, d["pass"]): d for r in plan_mix(docs).collect() for d in r.draws if r.doc_id not in (None, 3)}
     out = mix(docs).withColumn("_at", F.spark_partition_id()).collect()
     assert len(out) == sum(len(r.draws) for r in plan_mix(docs).collect())
-    at = defaultdict(set)
+    at, parts = defaultdict(set), defaultdict(list)
     for r in out:
-        at[r.shard].add(r._at)
+        at[r.shard, r.position >> 52].add(r._at)
+        parts[r._at].append((r.shard, r.position))
         if r.doc_id not in (None, 3):
             assert planned[r.doc_id, r["pass"]].shard == r.shard
-    assert all(len(x) == 1 for x in at.values())
-    for shard in at:
-        positions = [r.position for r in out if r.shard == shard]
-        assert positions == sorted(positions)
-        ids = [r.doc_id for r in out if r.shard == shard and r.doc_id is not None]
+    assert all(len(x) == 1 for x in at.values()) and {shard for shard, _ in at} == set(range(16))
+    assert all(x == sorted(x) for x in parts.values())
+    for shard in range(16):
+        ids = [r.doc_id for r in sorted(out, key=lambda r: r.position) if r.shard == shard and r.doc_id is not None]
         assert len(ids) < 5 or ids != sorted(ids)
 
 

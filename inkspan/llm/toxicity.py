@@ -1,7 +1,7 @@
 """Toxicity scores from non-negative positive-unlabelled learning.
 
-Known are some toxic documents (P) and plenty of text whose label is unknown (U), of which a share
-``prior`` is toxic. A linear classifier f on binary features is trained with numpy on
+Known are some toxic documents (P); all others that no label calls toxic stand for the texts as they come
+(U), of which a share ``prior`` is toxic. A linear classifier f on binary features is trained with numpy on
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]),    l the logistic loss:
 the unlabelled part stands for the clean class once the toxic share is taken out of it, and where that
 estimate turns negative by over-fitting, it counts as 0 and has no gradient.
@@ -12,8 +12,12 @@ documents, the first by a hash of doc_id; counts, features and hits of the sampl
 and the driver gets the FEATURES counted terms and the sample's hits. Every document is then scored over
 its whole text. Memory of a task: an Arrow batch, the model and WORDS cached words.
 
-Null and empty texts get the score of a text without features. Without a toxic example all scores are the
-prior. Repeated rows each count. Columns of docs are kept; score and predicted are replaced.
+The prior is the toxic share of the labelled training documents (0.05 without any, and 0.005 to 0.5). Null and
+empty texts get the score of a text without features; very long texts are read whole. Without a toxic example,
+or without any other document, all scores are the prior; a table in which every document is labelled is trained
+like any other. A document with several labels is toxic if one says so. Ties between features go by name.
+Repeated rows each count. An empty table gives an empty result. Columns of docs are kept, whatever their names;
+score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut
+from inkspan.llm.common import cut, small_batches
 
 POSITIVES, UNLABELLED, FEATURES, WORDS = 4000, 12000, 4096, 200_000
 GRAM, LIFT, SURE = 4, 3.0, 5.0
@@ -72,6 +76,32 @@ class Model:
         return lambda text: float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[hits(text)].sum(), -30, 30))))
 
 
+def risk_step(w: np.ndarray, ps: list[np.ndarray], us: list[np.ndarray], prior: float, decay: float) -> tuple[float, np.ndarray]:
+    """The clean class's part of the risk, before it is cut off at 0, and the gradient of the whole risk in w (bias last)."""
+    size = len(w) - 1
+
+    def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    (pi, pr), (ui, ur) = flat(ps), flat(us)
+    fp = w[-1] + np.bincount(pr, w[pi], len(ps))
+    fu = w[-1] + np.bincount(ur, w[ui], len(us))
+    sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+    clean_risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    grad = np.zeros(size + 1)
+
+    def add(index: np.ndarray, row: np.ndarray, by: np.ndarray) -> None:
+        grad[:-1] += np.bincount(index, by[row], size)
+        grad[-1] += by.sum()
+
+    add(pi, pr, prior * (sp - 1) / len(ps))
+    if clean_risk > 0:
+        add(pi, pr, -prior * sp / len(ps))
+        add(ui, ur, su / len(us))
+    grad[:-1] += decay * w[:-1] * prior
+    return float(clean_risk), grad
+
+
 def fit_nnpu(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float,
     epochs: int = 60, rate: float = 0.05, decay: float = 1e-3, seed: int = 5,
@@ -84,10 +114,6 @@ def fit_nnpu(
         return w[:-1], float(w[-1])
     batches = max(1, min(4, len(positive) // 256))
     step = 0
-
-    def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-
     for _ in range(epochs):
         p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for b in range(batches):
@@ -95,22 +121,7 @@ def fit_nnpu(
             us = [unlabelled[i] for i in u_order[b::batches]]
             if not ps or not us:
                 continue
-            (pi, pr), (ui, ur) = flat(ps), flat(us)
-            fp = w[-1] + np.bincount(pr, w[pi], len(ps))
-            fu = w[-1] + np.bincount(ur, w[ui], len(us))
-            sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-            clean_risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            grad = np.zeros(size + 1)
-
-            def add(index: np.ndarray, row: np.ndarray, by: np.ndarray) -> None:
-                grad[:-1] += np.bincount(index, by[row], size)
-                grad[-1] += by.sum()
-
-            add(pi, pr, prior * (sp - 1) / len(ps))
-            if clean_risk > 0:
-                add(pi, pr, -prior * sp / len(ps))
-                add(ui, ur, su / len(us))
-            grad[:-1] += decay * w[:-1] * prior
+            _, grad = risk_step(w, ps, us, prior, decay)
             step += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
@@ -132,6 +143,7 @@ def choose_features(counts: DataFrame, positives: int, unlabelled: int, k: int =
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """docs: doc_id, text - the training rows; labels: doc_id, toxic."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = cut(docs.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left"))
     share = ids.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("x")).first()["x"]
@@ -140,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     chosen = (
         ids.where("toxic = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("toxic"))
     ).unionByName(
-        ids.where("toxic is null").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("toxic"))
+        ids.where("toxic is null or toxic <> 1").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("toxic"))
     )
     # At most positives + unlabelled ids, so the side that is broadcast is bounded.
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from inkspan.llm.queries import QUERIES
-from inkspan.llm.toxicity import Model, features_of, fit_nnpu, score, train
+from inkspan.llm.toxicity import Model, features_of, fit_nnpu, risk_step, score, train
 
 
 def auc(scores, labels):
@@ -26,6 +26,32 @@ def test_learns_from_positives_and_unlabelled():
     assert min(of(p) for p in positive) > max(of(u) for i, u in enumerate(unlabelled) if i % 10)
 
 
+@pytest.mark.parametrize("bias", [-2.0, 3.0, -9.0])
+def test_the_risk_against_plain_sums(bias):
+    """The estimator written out, and its slopes; with bias -9 the clean part is under 0 and cut off."""
+    positive, unlabelled, prior, decay = [[0, 1], [0], [0, 2]], [[1], [0, 1], [], [2]], 0.3, 0.01
+    w0 = np.array([1.5, -0.4, 8.0 if bias == -9.0 else 0.2, bias])
+    f = lambda w, hits: w[-1] + sum(w[i] for i in hits)
+    loss = lambda x: float(np.log1p(np.exp(-x)))
+    mean = lambda xs: sum(xs) / len(xs)
+    clean = lambda w: mean([loss(-f(w, u)) for u in unlabelled]) - prior * mean([loss(-f(w, p)) for p in positive])
+    whole = lambda w: prior * mean([loss(f(w, p)) for p in positive]) + max(0.0, clean(w)) + decay * prior / 2 * float((w[:-1] ** 2).sum())
+    arrays = [[np.array(h, np.int64) for h in rows] for rows in (positive, unlabelled)]
+    risk, grad = risk_step(w0, *arrays, prior, decay)
+    assert risk == pytest.approx(clean(w0)) and (risk < 0) == (clean(w0) < 0)
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-6
+        assert grad[k] == pytest.approx((whole(w0 + step) - whole(w0 - step)) / 2e-6, abs=1e-5)
+
+
+def test_a_table_with_every_label_is_trained(spark):
+    rows = [(i, f"good words here {i}" + (" vile filth" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    out = score(docs, train(docs, labels)).collect()
+    assert {r.doc_id for r in out if r.predicted == 1} == {i for i in range(0, 200, 4)}
+
+
 def test_without_one_of_the_sets_the_prior_is_left():
     w, b = fit_nnpu([], [np.array([0])], 3, 0.2)
     assert not w.any() and 1 / (1 + np.exp(-b)) == pytest.approx(0.2)

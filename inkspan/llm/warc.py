@@ -6,15 +6,18 @@ payloads are equal and of at least ``min_bytes`` bytes, the one with the smalles
 and the others are revisits that refer to it and carry no payload.
 
 Reading. A payload may hold anything, a WARC header included. Tasks emit, for every place where a record
-could start, its offset (in the archive's own bytes, gzip undone) and the offset its length says comes next. Per archive, pointer jumping from
-offset 0 (each round doubles the steps every pointer takes) finds what is reachable; only that is kept.
-A chain that does not end at the end of the archive is an error unless ``strict`` is off.
+could start, its offset (in the archive's own bytes, gzip undone, whether in one member or a member a record)
+and the offset its length says comes next. Per archive, pointer jumping from offset 0 (each round doubles the
+steps every pointer takes) finds what is reachable; only that is kept. A chain that does not end at the end
+of the archive is an error unless ``strict`` is off; so is an archive in which no record could start.
 
 The smallest page_id of a digest is found with a partial aggregate over ids and digests; payloads are dealt
-out once, by page, so a payload that a third of the pages share makes no task larger. Memory of a reading task: one archive, whose size
-writing bounds by ``pages_per_archive``; the chain of an archive is a list of offsets.
+out once, by page, so a payload that a third of the pages share makes no task larger. Memory of a reading
+task: one archive, whose size writing bounds by ``pages_per_archive``; Spark's reader takes files of up to
+2 GB. The chain of an archive is a list of offsets.
 
-Nulls: a null html is an empty payload, a null url becomes urn:page:<id>, a null page_id is written as
+Payloads of any length are written and hashed whole. Columns other than page_id, url and html are ignored,
+whatever their names. Nulls: a null html is an empty payload, a null url becomes urn:page:<id>, a null page_id is written as
 an empty id and is never the smallest while another id is there. Repeated rows are records of their own;
 those with the smallest page_id of their payload are all responses. Empty input writes no record.
 """
@@ -140,34 +143,47 @@ CANDIDATE = (
 )
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _archives(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"]):
-            data, rows = gzip.decompress(data) if path.endswith(".gz") else data, []
-            for at, block, to in candidates(data):
-                h = _header(data[at : block - 4])
-                http = data[block : to - len(END)]
-                stop = http.find(b"\r\n\r\n")
-                body = http[stop + 4 :] if stop >= 0 else http
-                declared = _LENGTH.search(http, 0, stop + 2) if stop >= 0 else None
-                kind = h.get("warc-type", "")
-                own = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                rows.append((
-                    path, len(data), at, to, kind, h.get("warc-record-id", ""), h.get("warc-target-uri", ""),
-                    h.get("warc-payload-digest", "").removeprefix("sha1:"), h.get("warc-refers-to"),
-                    int(declared[1]) if kind == "revisit" and declared else len(body), own,
-                ))
-            if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATE.split(", ")]).astype({c: object for c in ("archive", "record_type", "record_id", "url", "digest", "refers", "payload_digest")})
+            yield path, gzip.decompress(data) if path.endswith(".gz") else data
+
+
+def _offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where records could start and end, and a row of an archive's own with start -1."""
+    for path, data in _archives(batches):
+        rows = [(path, len(data), at, to) for at, _, to in candidates(data)]
+        yield pd.DataFrame([*rows, (path, len(data), -1, -1)], columns=["archive", "size", "start", "successor"]).astype({"archive": object})
+
+
+def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for path, data in _archives(batches):
+        rows = []
+        for at, block, to in candidates(data):
+            h = _header(data[at : block - 4])
+            http = data[block : to - len(END)]
+            stop = http.find(b"\r\n\r\n")
+            body = http[stop + 4 :] if stop >= 0 else http
+            declared = _LENGTH.search(http, 0, stop + 2) if stop >= 0 else None
+            kind = h.get("warc-type", "")
+            own = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            rows.append((
+                path, len(data), at, to, kind, h.get("warc-record-id", ""), h.get("warc-target-uri", ""),
+                h.get("warc-payload-digest", "").removeprefix("sha1:"), h.get("warc-refers-to"),
+                int(declared[1]) if kind == "revisit" and declared else len(body), own,
+            ))
+        if rows:
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATE.split(", ")]).astype({c: object for c in ("archive", "record_type", "record_id", "url", "digest", "refers", "payload_digest")})
 
 
 def _keep(strict: bool):
     def run(chain: pd.DataFrame) -> pd.DataFrame:
+        archive, size = chain["archive"].iloc[0], int(chain["size"].iloc[0])
+        chain = chain[chain["start"] >= 0]
         seen = reachable(chain["start"].to_numpy(), chain["successor"].to_numpy())
-        size = int(chain["size"].iloc[0])
         kept = chain[seen]
         if strict and size and (not len(kept) or kept["successor"].max() != size):
-            raise ValueError(f"{chain['archive'].iloc[0]}: the chain of records does not reach the end")
+            raise ValueError(f"{archive}: the chain of records does not reach the end")
         return kept[["archive", "start"]]
 
     return run
@@ -175,12 +191,12 @@ def _keep(strict: bool):
 
 def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The records of the archives under ``path``: record_id, url, record_type, refers, payload_bytes, payload_digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,txt.gz}").load(path).select("path", "content")
-    found = files.where("length(content) > 0").mapInPandas(_emit, CANDIDATE)
-    # Only offsets meet by archive; payloads stay where they were read.
-    chain = found.select("archive", "size", "start", "successor")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,txt.gz,warc,warc.gz}").load(path).select("path", "content")
+    files = files.where("length(content) > 0")
+    # Only offsets meet by archive; payloads stay where they are read, and their digests are made once.
+    chain = files.mapInPandas(_offsets, "archive string, size long, start long, successor long")
     kept = chain.groupBy("archive").applyInPandas(_keep(strict), "archive string, start long")
-    return found.join(kept, ["archive", "start"], "left_semi")
+    return files.mapInPandas(_emit, CANDIDATE).join(kept, ["archive", "start"], "left_semi")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

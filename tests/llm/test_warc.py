@@ -80,3 +80,30 @@ def test_candidates_and_reachable():
             at = to[at]
         order = rng.permutation(len(offsets))
         assert set(offsets[order][reachable(offsets[order], successors[order])].tolist()) == seen
+
+
+def test_garbage_is_an_error_unless_lenient(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/part.warc").write_bytes(b"no record at all")
+    with pytest.raises(Exception, match="does not reach the end"):
+        read_archives(spark, f"file://{tmp_path}/g").collect()
+    assert read_archives(spark, f"file://{tmp_path}/g", strict=False).collect() == []
+
+
+def test_archives_of_a_member_a_record(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "m").mkdir()
+    records = [FAKE.replace("666", str(i)).replace("abc", f"a{i}c").encode() for i in range(5)]
+    (tmp_path / "m/x.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    out = read_archives(spark, f"file://{tmp_path}/m").collect()
+    assert sorted(r.record_id for r in out) == [f"<urn:page:{i}>" for i in range(5)]
+    assert {r.payload_bytes for r in out} == {3}
+
+
+def test_clashing_columns_and_an_empty_table(spark):
+    schema = SCHEMA + ", value string, _sha1 string, payload_bytes int"
+    rows = [(1, "u", "x" * 300_000, "v", "s", 1), (2, "u", "x" * 300_000, "v", "s", 1)]
+    out = round_trip(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out) == [(1, 300_000, "response", None), (2, 300_000, "revisit", 1)]
+    assert round_trip(spark.createDataFrame([], schema)).collect() == []

@@ -121,7 +121,7 @@ def xlsx():
 def test_xlsx_sheets_named_tables_regions_dates_and_formulas(spark):
     md = markdown(spark, ["xlsx"], {"b.xlsx": xlsx()})["b.xlsx"]
     assert md == (
-        "## Sheet: Zoo\n\n### Table: Feeding\n\n| animal | fed on |\n|---|---|\n| lynx | 2023-03-15 |\n| ibex | 2023-03-15 06:00:00 |\n\n"
+        "## Sheet: Zoo\n\n### Table: Feeding\n\n| animal | fed on |\n|---|---|\n| lynx | 2023-03-14 |\n| ibex | 2023-03-14 06:00:00 |\n\n"
         "### Table 1\n\n| left | sum |\n|---|---|\n| 2 | 6.5 (A8*3.25) |\n| true | #ERR:#DIV/0! |\n\n"
         "## Sheet: Bare\n\n| A |\n|---|\n| 10 |\n| 20 |\n| 30 |\n\n"
     )

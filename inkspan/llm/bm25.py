@@ -1,29 +1,41 @@
-"""Exact top-k search by BM25: an inverted index in shards, block-max pruning, an exact merge.
-
-A shard is a run of at most SHARD documents of one input partition: term -> (document, term frequency),
-document numbers ascending, packed in one row. Document frequencies, the number of documents and their
-mean length are summed over all shards, so a shard scores with global statistics and its top k merge
-exactly.
-
-In a shard a query's terms are taken by rising document frequency. Scores so far are lower bounds; the
-k-th of them is the threshold. As soon as the best that the terms left could add (their lists' maximum
-impacts) keeps a document under the threshold, it is dropped - first by list maxima as in WAND, then
-by the maxima of the terms' blocks of BLOCK documents; only documents that pass both are scored to the
-end. Documents that tie with the threshold are never dropped. A document's score is added up in the same
-order of terms in every shard, so equal texts have bit-equal scores.
+"""Exact top-k search by BM25: an inverted index in shards, block-max WAND, an exact merge.
+
+Index. A shard is a run of SHARD documents of one input partition (what is left of it, up to half as many
+more, joins the last one), in one row: term -> (document,
+term frequency). Documents are numbered by rising length, so the BLOCK documents of a block are about
+equally long, and next to each list of at least LISTED postings stand its blocks and the greatest frequency
+in each: with the least length of the block these bound the impact of every posting in it, whatever the
+global statistics are. Document frequencies, the number of documents and their mean length are summed over
+all shards, so a shard scores with global statistics and its top k merge exactly.
+
+Search. In a shard, the postings of a query's light terms are added up first. For its heavy terms (those
+in more than HEAVY of all documents) only the block maxima are read: a document's bound is what it has so
+far plus what its block may add. The SEEDS best bounds are scored to the end and give the first threshold,
+the k-th best score. Then the shard is passed in document order: the next pivots are the first RUN
+documents whose bounds reach the threshold; they are scored to the end, the threshold rises, and all that
+lies between pivots is skipped, postings of heavy terms unread. Bounds that tie with the threshold are
+pivots. A document's score is added up in the same order of terms in every shard, so equal texts have
+bit-equal scores.
 
 BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)),
 each distinct term of a query counted once. Terms are lower-cased runs of letters and digits (beyond ASCII,
 any character but white space).
 
-Queries are packed QUERIES a row and go to every shard; a task holds one shard and one such row. Hits are lists of k a
-(query, shard), merged in two levels. Ranks: best score first, ties to the smaller doc_id; a query's own
-row is no hit; only documents that share a term are hits. Null and wordless texts are never found and
-find nothing. Rows without doc_id are left out; rows that repeat a doc_id are hits of their own.
+Queries are packed into blocks of at most ASKED terms (or one longer query) and searched block by block: a
+block is broadcast, every shard is read where it lies, and nothing but hits moves. So the index is never
+shuffled, and what is broadcast is bounded whatever the input. Terms that only the query itself holds are
+left out. Hits are lists of k a (query, shard), merged in two levels.
+
+Ranks: best score first, ties to the smaller doc_id; a query's own row is no hit; only documents that share
+a term are hits. Null and wordless texts are never found and find nothing. Rows without doc_id are left out;
+rows that repeat a doc_id are hits of their own, and the least of their texts is the query. Texts of any
+length are indexed and asked whole. Columns other than doc_id and text are ignored, whatever their names. An
+empty table, or one without a query, gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +44,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import shared_table
+from inkspan.llm.common import shared_dir, shared_table, small_batches
 from inkspan.llm.rolling import word_hashes
 
 K1, B = 1.2, 0.75
-SHARD, QUERIES, BLOCK = 8192, 256, 64
-#: Lists over this share of a shard's documents are looked up for survivors instead of being scanned.
-STEPS = (0.02, 0.1, 0.3)
+SHARD, BLOCK, LISTED = 6144, 8, 64
+#: Share of all documents from which a term is heavy, bounds that seed the threshold, pivots scored together.
+HEAVY, SEEDS, RUN = 0.15, 64, 512
+#: Terms of a block of queries: 16 bytes each are broadcast.
+ASKED = 300_000
 
 _ASCII = np.arange(256, dtype=np.uint8)
 _ASCII[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -53,133 +67,157 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(word_hashes(raw).view(np.int64), return_counts=True)
 
 
-INDEX = "shard long, docs int, length long, ids binary, lengths binary, terms binary, bounds binary, posted binary, freqs binary"
+#: Arrays of a shard and their types; frequencies take as many bytes (``width``) as the greatest needs.
+ARRAYS = {
+    "ids": np.int64, "lengths": np.int64, "terms": np.int64, "bounds": np.int64, "posted": np.uint16, "freqs": None,
+    "listed": np.int32, "block_bounds": np.int64, "block_ids": np.uint16, "block_freqs": None,
+}
+INDEX = "shard long, docs int, length long, width int, " + ", ".join(f"{a} binary" for a in ARRAYS)
+
+
+def pack_shard(number: int, ids: list[int], lists: list[tuple[np.ndarray, np.ndarray]]) -> list:
+    """The index row of at most 65536 documents with terms."""
+    lengths = np.array([int(f.sum()) for _, f in lists], np.int64)
+    order = np.lexsort((np.array(ids, np.int64), lengths))
+    sizes = np.array([len(lists[i][0]) for i in order])
+    term = np.concatenate([lists[i][0] for i in order])
+    freq = np.concatenate([lists[i][1] for i in order]).astype(np.uint32)
+    lists.clear()
+    by = np.argsort(term, kind="stable")
+    term, freq = term[by], freq[by]
+    posted = np.repeat(np.arange(len(order), dtype=np.uint16), sizes)[by]
+    distinct, start = np.unique(term, return_index=True)
+    bounds = np.append(start, len(term)).astype(np.int64)
+    # The blocks of the longer lists, and the greatest frequency in each.
+    listed = np.flatnonzero(np.diff(bounds) >= LISTED).astype(np.int32)
+    n = np.diff(bounds)[listed]
+    span = np.repeat(bounds[listed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    block = posted[span] // BLOCK
+    new = np.ones(len(span), bool)
+    new[1:] = (block[1:] != block[:-1]) | (np.repeat(np.arange(len(n)), n)[1:] != np.repeat(np.arange(len(n)), n)[:-1])
+    first = np.flatnonzero(new)
+    most = np.maximum.reduceat(freq[span], first) if len(first) else freq[:0]
+    block_bounds = np.append(np.searchsorted(first, np.cumsum(n) - n), len(first)).astype(np.int64)
+    width = np.min_scalar_type(int(freq.max()))
+    arrays = [np.array(ids, np.int64)[order], lengths[order], distinct, bounds, posted, freq.astype(width), listed, block_bounds, block[first], most.astype(width)]
+    return [number, len(ids), int(lengths.sum()), width.itemsize, *(a.tobytes() for a in arrays)]
 
 
 def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """(doc_id, text) -> a row a shard."""
+    small_batches(docs.sparkSession)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Small partitions are put together, without a shuffle, so that there are no more shards than needed.
+    rows = rows.coalesce(max(1, rows.select("doc_id").count() // shard))
 
-    def pack(number: int, ids: list, lists: list) -> pd.DataFrame:
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        lists = [lists[i] for i in order]
-        sizes = [len(t) for t, _ in lists]
-        term = np.concatenate([t for t, _ in lists])
-        freq = np.concatenate([f for _, f in lists])
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        by = np.argsort(term, kind="stable")
-        distinct, start = np.unique(term[by], return_index=True)
-        lengths = np.array([f.sum() for _, f in lists], np.int64)
-        row = [
-            number, len(ids), int(lengths.sum()), np.array([ids[i] for i in order], np.int64).tobytes(), lengths.tobytes(), distinct.tobytes(),
-            np.append(start, len(term)).astype(np.int64).tobytes(), doc[by].tobytes(), np.minimum(freq[by], 2**31 - 1).astype(np.int32).tobytes(),
-        ]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX.split(", ")])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
         ids, lists = [], []
+
+        def out(n: int) -> pa.RecordBatch:
+            row = pack_shard(number, ids[:n], lists[:n])
+            del ids[:n], lists[:n]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [c.split()[0] for c in INDEX.split(", ")]).cast(SCHEMA)
+
         for batch in batches:
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                found = terms(text)
-                if len(found[0]):
-                    ids.append(int(i)), lists.append(found)
-                if len(ids) == shard:
-                    yield pack(number, ids, lists)
-                    number, ids, lists = number + 1, [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, freqs = terms(text)
+                if len(found):
+                    ids.append(i), lists.append((found, freqs.astype(np.uint32)))
+                if len(ids) > shard + shard // 2:
+                    yield out(shard)
+                    number += 1
         if ids:
-            yield pack(number, ids, lists)
+            yield out(len(ids))
+
+    return rows.mapInArrow(run, INDEX)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, INDEX)
+
+SCHEMA = pa.schema([("shard", pa.int64()), ("docs", pa.int32()), ("length", pa.int64()), ("width", pa.int32()), *((a, pa.binary()) for a in ARRAYS)])
 
 
 class Shard:
     """One row of the index, with impacts by global statistics (but for the idf factor)."""
 
-    def __init__(self, ids, lengths, terms, bounds, posted, freqs, mean: float):
-        self.n = len(ids)
-        self.ids, self.terms, self.bounds, self.posted = ids, terms, bounds, posted
-        self.impact = freqs * (K1 + 1)
-        self.impact /= freqs + (K1 * (1 - B + B * lengths / mean))[posted]
-        self.most = np.maximum.reduceat(self.impact, self.bounds[:-1])
-        self.blocks: dict[int, np.ndarray] = {}
-
-    def block_most(self, t: int) -> np.ndarray:
-        """The greatest impact of term t in each block of documents."""
-        have = self.blocks.get(t)
+    def __init__(self, row: dict[str, memoryview], width: int, mean: float):
+        for name, kind in ARRAYS.items():
+            setattr(self, name, np.frombuffer(row[name], kind or f"u{width}"))
+        self.n = len(self.ids)
+        self.blocks = -(-self.n // BLOCK)
+        self.norm = K1 * (1 - B + B * self.lengths / mean)
+        self.floor = self.norm[::BLOCK]  # documents are numbered by length
+        self.impact = self.freqs * (K1 + 1) / (self.freqs + self.norm[self.posted])
+        self.heavy: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bounds_of(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """A heavy term's frequency in each document, and the most that a block's documents take from it."""
+        have = self.heavy.get(t)
         if have is None:
             lo, hi = self.bounds[t], self.bounds[t + 1]
-            have = np.zeros(-(-self.n // BLOCK))
-            np.maximum.at(have, self.posted[lo:hi] // BLOCK, self.impact[lo:hi])
-            self.blocks[t] = have
+            freq = np.zeros(self.n, self.freqs.dtype)
+            freq[self.posted[lo:hi]] = self.freqs[lo:hi]
+            at = np.searchsorted(self.listed, t)
+            most = np.zeros(self.blocks)
+            if at < len(self.listed) and self.listed[at] == t:
+                a, b = self.block_bounds[at], self.block_bounds[at + 1]
+                most[self.block_ids[a:b]] = self.block_freqs[a:b]
+            else:
+                np.maximum.at(most, self.posted[lo:hi] // BLOCK, self.freqs[lo:hi])
+            have = self.heavy[t] = freq, most * (K1 + 1) / (most + self.floor)
         return have
 
-    def search(self, query: np.ndarray, idf: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best; query: terms by rising document frequency."""
+    def search(self, query: np.ndarray, idf: np.ndarray, light: int, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best; query: terms by rising document frequency, the first ``light`` of them light."""
         at = np.searchsorted(self.terms, query)
         at[at == len(self.terms)] = 0
         here = self.terms[at] == query
+        light = int(here[:light].sum())
         at, idf = at[here], idf[here]
         if not len(at):
             return np.empty(0, np.int64), np.empty(0)
-        lo, hi = self.bounds[at], self.bounds[at + 1]
-        left = np.append(np.cumsum((self.most[at] * idf)[::-1])[::-1], 0.0)  # what terms i.. can add
-        score = np.zeros(self.n)
-        mine = np.flatnonzero(self.ids == own)
-        done, alive = 0, None
-        size = hi - lo
-        for share in STEPS:
-            # The frequency in a shard follows the global one but for chance; a prefix is what is scanned.
-            over = np.flatnonzero(size[done:] > share * self.n)
-            upto = done + (int(over[0]) if len(over) else len(at) - done)
-            if upto > done:
-                n = size[done:upto]
-                span = np.repeat(lo[done:upto] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                # bincount adds in order of the postings, so term by term.
-                score = _add(score, self.posted[span], self.impact[span] * np.repeat(idf[done:upto], n))
-                done = upto
-            threshold = self._threshold(score, mine, k)
-            if done == len(at) or left[done] < threshold:
+        if light:
+            lo, hi = self.bounds[at[:light]], self.bounds[at[:light] + 1]
+            lists = list(zip(lo.tolist(), hi.tolist()))
+            impact = np.concatenate([self.impact[a:b] for a, b in lists]) * np.repeat(idf[:light], hi - lo)
+            # bincount adds in order of the postings, so term by term.
+            score = np.bincount(np.concatenate([self.posted[a:b] for a, b in lists]), impact, self.n)
+        else:
+            score = np.zeros(self.n)
+        heavy, weight = at[light:], idf[light:, None]
+        if len(heavy):
+            kept = [self.bounds_of(int(t)) for t in heavy]
+            bound = score + np.repeat(idf[light:] @ np.array([row for _, row in kept]), BLOCK)[: self.n]
+        else:
+            bound = score.copy()
+        bound[self.ids == own] = -1.0
+
+        def full(docs: np.ndarray) -> np.ndarray:
+            if not len(heavy):
+                return score[docs]
+            freq = np.array([row[docs] for row, _ in kept], np.float64)
+            return score[docs] + (weight * (freq * (K1 + 1) / (freq + self.norm[docs]))).sum(0)
+
+        def keep(found: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            best = np.lexsort((self.ids[found], -sums))[:k]
+            return found[best], sums[best]
+
+        seeds = np.argpartition(bound, self.n - SEEDS)[self.n - SEEDS :] if self.n > SEEDS else np.arange(self.n)
+        seeds = seeds[bound[seeds] > 0]
+        found, sums = keep(seeds, full(seeds))
+        bound[seeds] = -1.0
+        at = 0
+        while at < self.n:
+            # What is rounded differently must not be lost.
+            threshold = max(sums[-1] * (1 - 1e-12), 1e-300) if len(sums) == k else 1e-300
+            pivots = at + np.flatnonzero(bound[at:] >= threshold)[:RUN]
+            if not len(pivots):
                 break
-        slack = 1e-9 * (1 + abs(threshold))
-        alive = np.flatnonzero(score + left[done] >= threshold - slack)
-        if done < len(at) and len(alive) * 8 < self.n * 7:
-            bound = np.zeros(-(-self.n // BLOCK))
-            for t, w in zip(at[done:], idf[done:]):
-                bound += self.block_most(int(t)) * w
-            alive = alive[score[alive] + bound[alive // BLOCK] >= threshold - slack]
-        sums = score[alive]
-        dense = len(alive) > self.n // 4
-        for t, w, a, b in zip(at[done:], idf[done:], lo[done:], hi[done:]):
-            if dense:
-                full = np.zeros(self.n)
-                full[self.posted[a:b]] = self.impact[a:b] * w
-                sums = sums + full[alive]
-            else:
-                spot = np.searchsorted(self.posted[a:b], alive)
-                spot[spot == b - a] = 0
-                sums = sums + np.where(self.posted[a + spot] == alive, self.impact[a + spot] * w, 0.0)
-        keep = (sums > 0) & (self.ids[alive] != own)
-        alive, sums = alive[keep], sums[keep]
-        order = np.lexsort((self.ids[alive], -sums))[:k]
-        return self.ids[alive[order]], sums[order]
-
-    def _threshold(self, score: np.ndarray, mine: np.ndarray, k: int) -> float:
-        if self.n <= k + len(mine):
-            return 0.0
-        if len(mine):
-            score = score.copy()
-            score[mine] = -1.0
-        return float(np.partition(score, self.n - k)[self.n - k])
-
-
-def _add(score: np.ndarray, docs: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """score plus ``by`` at ``docs``, added one after the other in that order."""
-    if score.any():
-        held = np.flatnonzero(score)
-        docs, by = np.concatenate([held, docs]), np.concatenate([score[held], by])
-    return np.bincount(docs, by, len(score))
+            found, sums = keep(np.append(found, pivots), np.append(sums, full(pivots)))
+            at = int(pivots[-1]) + 1
+        hit = sums > 0
+        return self.ids[found[hit]], sums[hit]
 
 
 def _top(k: int):
@@ -187,10 +225,40 @@ def _top(k: int):
     return lambda hits: F.slice(F.array_sort(F.flatten(F.collect_list(hits))), 1, k)
 
 
-def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, query_block: int = QUERIES) -> DataFrame:
+def query_blocks(docs: DataFrame, is_query: Column, df: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """A row a query: _b, query_id, terms and df (packed, by rising df), and the number of blocks _b.
+
+    Blocks are dealt by hash; while one of several queries is over ``most`` terms, twice as many are made.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, text in zip(batch["doc_id"], batch["text"]):
+                found = terms(text)[0]
+                yield pd.DataFrame({"query_id": np.full(len(found), int(i)), "term": found})
+
+    asked = docs.where(F.col("doc_id").isNotNull() & is_query).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"))
+    # A term of one document is in the query alone.
+    known = asked.mapInPandas(ask, "query_id long, term long").join(df.where("df > 1"), "term")
+    listed = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("asked"))
+    held = shared_table(listed, "queries")
+    total = held.agg(F.sum(F.size("asked")).alias("x")).first()["x"] or 0
+    blocks = max(1, -(-total // most))
+    while True:
+        out = held.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        over = out.groupBy("_b").agg(F.sum(F.size("asked")).alias("_n"), F.count(F.lit(1)).alias("_q")).where((F.col("_n") > 2 * most) & (F.col("_q") > 1))
+        if over.isEmpty():
+            return out, blocks
+        blocks *= 2
+
+
+def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, asked: int = ASKED) -> DataFrame:
     """(doc_id, text) -> query_id, rank, doc_id, score: the k best of all documents for each query row."""
+    spark = docs.sparkSession
+    if not 0 < shard <= 32768:
+        raise ValueError(f"a shard may be of 1 to 32768 documents: {shard}")
     index = shared_table(build_index(docs, shard), "index")
-    stats = index.agg(F.sum("docs").alias("n"), F.sum("length").alias("words"), F.count(F.lit(1)).alias("shards")).first()
+    stats = index.agg(F.sum("docs").alias("n"), F.sum("length").alias("words")).first()
     n, mean = int(stats["n"] or 0), float(stats["words"] or 0) / max(1, int(stats["n"] or 0))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,58 +268,30 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, q
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(df)], ["term", "df"])
 
     df = index.select("terms", "bounds").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                found = terms(text)[0]
-                yield pd.DataFrame({"query_id": np.full(len(found), int(i)), "term": found})
-
-    asked = docs.where(F.col("doc_id").isNotNull() & is_query).select("doc_id", "text").dropDuplicates(["doc_id"])
-    blocks = max(1, -(-asked.count() // query_block))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["query_id", "df", "term"])
-        ids, start = np.unique(frame["query_id"].to_numpy(np.int64), return_index=True)
-        row = [ids.tobytes(), np.append(start, len(frame)).astype(np.int64).tobytes(), frame["term"].to_numpy(np.int64).tobytes(), frame["df"].to_numpy(np.int64).tobytes()]
-        return pd.DataFrame([row], columns=["q_ids", "q_bounds", "q_terms", "q_df"])
-
-    packed = (
-        asked.mapInPandas(ask, "query_id long, term long")
-        .join(df, "term")
-        .withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        .groupBy("_b")
-        .applyInPandas(pack, "q_ids binary, q_bounds binary, q_terms binary, q_df binary")
-    )
-    queries = shared_table(packed, "queries")
-    # Every block of queries goes to every shard, whose own row comes first there: a shard is never copied.
-    parts = max(1, int(stats["shards"]))
-    at = F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("int")
-    to = queries.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asks = to.join(index.select("shard", at.alias("_to")), "_to").drop("_to").withColumn("_second", F.lit(True))
-    dealt = index.withColumn("_second", F.lit(False)).unionByName(asks, allowMissingColumns=True)
-    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "_second")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = number = None
-        for batch in batches:
-            columns = {name: batch.column(name) for name in batch.schema.names}
-            # Views of the batch, no copies.
-            view = lambda name, kind: np.frombuffer(columns[name][i].as_buffer(), kind)  # noqa: E731, B023
-            for i in range(batch.num_rows):
-                if columns["ids"][i].is_valid:
-                    number = columns["shard"][i].as_py()
-                    held = Shard(*(view(c, np.int64).copy() for c in ("ids", "lengths", "terms", "bounds")), *(view(c, np.int32).copy() for c in ("posted", "freqs")), mean)
-                    continue
-                ids, bounds, words, dfs = (view(c, np.int64) for c in ("q_ids", "q_bounds", "q_terms", "q_df"))
-                idf = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
-                out = [held.search(words[a:b], idf[a:b], int(q), k) for q, a, b in zip(ids, bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(np.full(len(ids), number)), pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.list_(pa.float64()))],
-                    ["query_id", "part", "ids", "scores"],
-                )
-
-    hits = dealt.mapInArrow(run, "query_id long, part long, ids array<long>, scores array<double>")
+    queries, blocks = query_blocks(docs, is_query, df, asked)
+    path = f"{shared_dir(spark).rstrip('/')}/inkspan/hits-{uuid.uuid4().hex}"
+    HITS = "query_id long, part long, ids array<long>, scores array<double>"
+    spark.createDataFrame([], HITS).write.parquet(path)
+    for b in range(blocks):
+        rows = queries.where(F.col("_b") == b).select("query_id", "asked.term", "asked.df").toPandas()  # bounded: see query_blocks
+        if not len(rows):
+            continue
+        block = spark.sparkContext.broadcast([(int(q), np.array(t, np.int64), np.array(d, np.int64)) for q, t, d in rows.itertuples(index=False)])
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            asks = [(q, t, np.log(1 + (n - d + 0.5) / (d + 0.5)), int(np.searchsorted(d, HEAVY * n, "right"))) for q, t, d in block.value]
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(c)[i] for c in batch.schema.names}
+                    held = Shard({a: row[a].as_buffer() for a in ARRAYS}, row["width"].as_py(), mean)
+                    out = [held.search(t, idf, light, q, k) for q, t, idf, light in asks]
+                    columns = [[a[0] for a in asks], [row["shard"].as_py()] * len(asks), [o[0] for o in out], [o[1] for o in out]]
+                    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "part", "ids", "scores"])
+
+        index.drop("docs", "length").mapInArrow(run, HITS).where("size(ids) > 0").write.mode("append").parquet(path)
+        block.destroy()
+    hits = spark.read.schema(HITS).parquet(path)
     listed = hits.select(
         "query_id", F.pmod(F.xxhash64("part"), F.lit(256)).alias("part"),
         F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("hits"),

@@ -7,10 +7,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.llm.bm25 import B, K1, search
+from inkspan.llm.bm25 import BLOCK, INDEX, K1, B, Shard, pack_shard, search
 
 
 def split(text):
@@ -61,10 +62,10 @@ def corpus(n, seed=1, vocabulary=300):
     return [(i, " ".join(word() for _ in range(rng.randrange(1, 60)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("shard", [7, 60, 16384])
+@pytest.mark.parametrize("shard", [1, 7, 60, 16384])
 def test_matches_scoring_all(spark, shard):
     rows = corpus(300)
-    same(run(spark, rows, k=5, shard=shard, query_block=16), brute(rows, 5, 5))
+    same(run(spark, rows, k=5, shard=shard, asked=500), brute(rows, 5, 5))
 
 
 def test_pruning_on_a_larger_shard(spark):
@@ -72,6 +73,64 @@ def test_pruning_on_a_larger_shard(spark):
     same(run(spark, rows, every=250), brute(rows, 250, 10))
 
 
+def test_blocks_are_skipped_and_bounds_hold():
+    """Every bound holds, and documents between pivots are not scored."""
+    rng = np.random.default_rng(4)
+    lists = []
+    for i in range(2000):
+        words = np.unique(rng.zipf(1.3, rng.integers(5, 80)) % 5000).astype(np.int64)
+        lists.append((words, rng.integers(1, 400 if i == 7 else 4, len(words)).astype(np.uint32)))
+    ids, every = list(range(2000)), [(t, f) for t, f in lists]
+    row = dict(zip([c.split()[0] for c in INDEX.split(", ")], pack_shard(0, ids, lists)))
+    assert row["width"] == 2
+    mean = row["length"] / row["docs"]
+    held = Shard(row, 2, mean)
+    scored = 0
+    for t in range(0, len(held.terms), 37):
+        freq, most = held.bounds_of(t)
+        assert (freq * (K1 + 1) / (freq + held.norm) <= np.repeat(most, BLOCK)[: held.n] + 1e-12).all()
+        lo, hi = held.bounds[t], held.bounds[t + 1]
+        assert freq[held.posted[lo:hi]].tolist() == held.freqs[lo:hi].tolist() and (freq > 0).sum() == hi - lo
+    df = dict(zip(held.terms.tolist(), np.diff(held.bounds).tolist()))
+    plain = held.norm
+    held.norm = Counted(plain)
+    for q in range(0, 2000, 100):
+        asked = np.array(sorted(every[q][0].tolist(), key=lambda t: (df[t], t)), np.int64)
+        d = np.array([df[t] for t in asked.tolist()])
+        idf = np.log(1 + (2000 - d + 0.5) / (d + 0.5))
+        light = int(np.searchsorted(d, 40, "right"))
+        held.norm.seen = 0
+        found, sums = held.search(asked, idf, light, q, 10)
+        scored += held.norm.seen
+        score = np.zeros(2000)
+        for t, w in zip(asked.tolist(), idf.tolist()):
+            at = np.searchsorted(held.terms, t)
+            a, b = held.bounds[at], held.bounds[at + 1]
+            score[held.posted[a:b]] += held.impact[a:b] * w
+        best = sorted((-round(s, 9), i) for s, i in zip(score.tolist(), held.ids.tolist()) if i != q and s > 0)[:10]
+        assert [i for _, i in best] == found.tolist()
+        assert [-s for s, _ in best] == pytest.approx(sums.tolist(), abs=1e-8)
+    assert 0 < scored < 0.8 * 20 * 2000
+
+
+class Counted:
+    """An array that counts how many documents are scored to the end."""
+
+    def __init__(self, values):
+        self.values, self.seen = values, 0
+
+    def __getitem__(self, docs):
+        self.seen += len(docs)
+        return self.values[docs]
+
+
+def test_a_very_long_text_and_frequent_words(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(60_000)) + " rare" + " often" * 700
+    rows = [*corpus(120, 3), (500, long), (501, "rare often"), (502, "often " * 300), (505, long)]
+    same(run(spark, rows, shard=50), brute(rows, 5, 10))
+
+
 def test_equal_texts_tie_by_id(spark):
     rows = [(i, "alpha beta gamma") for i in range(40)] + [(100 + i, "alpha delta") for i in range(5)]
     same(run(spark, rows, every=10, shard=6), brute(rows, 10, 10))

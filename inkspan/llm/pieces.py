@@ -31,7 +31,7 @@ from inkspan.llm.common import small_batches
 
 SPACE = "▁"
 #: Segments kept by a worker, and characters up to which segments share a score matrix.
-CACHE = 100_000
+CACHE = 200_000
 WIDE = 24
 #: Characters cut into segments at a time, and new segments encoded at a time.
 SLICE, NEW = 500_000, 8192

@@ -38,6 +38,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.common import shared_table
     from inkspan.llm.sharding import assign_shards, number_within_shards, unit_hash
 
     sized = read(spark, sf_dir, "documents").select(
@@ -48,7 +49,9 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(sized, "doc_id", [1.0] * 40, grown=1.0)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     placed = placed.withColumn("_at", unit_hash(key, F.lit("slot"), F.when(F.col("doc_id").isNull(), F.col("text_crc32").cast("string"))))
-    return number_within_shards(placed, ["doc_id", "text_crc32", "size"], "_at").select(
+    # Texts are read and keys are scored once; the lean rows are numbered from where they are stored.
+    placed = shared_table(placed, "placed")
+    return number_within_shards(placed, ["doc_id", "text_crc32", "size"], "_at", 40).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
 

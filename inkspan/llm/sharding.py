@@ -3,8 +3,10 @@
 Every record scores every shard with a hash of (key, shard) and goes to the best one, so adding a
 shard takes records only into the new shard, and removing one moves only its own records.
 
-Nulls: a null key is hashed as the empty string. Equal keys always share a shard. Empty input gives
-an empty result. Extra columns are kept; columns named like an output are replaced.
+Nulls: a null key is hashed as the empty string. Equal keys always share a shard, so repeated rows do; ties of
+scores go to the lower id, ties of positions in a shard by the order given. Very long texts only weigh as much
+as what the caller hashes or sizes of them. Empty input gives an empty result. Extra columns are kept, whatever
+their names; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ HEX_DIGITS = 13
 UNIT = float(16**HEX_DIGITS)
 #: Ranges of the order hash a shard's rows are numbered in; bounds shards * SLICES offset rows.
 SLICES = 256
+#: Offset rows up to which they are broadcast.
+SMALL = 100_000
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -57,21 +61,24 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown: floa
     return out.withColumn("grown_shard", F.when(new < held, F.lit(n)).otherwise(F.col("shard")).cast("int"))
 
 
-def number_within_shards(df: DataFrame, order: Sequence[str], spread: str) -> DataFrame:
+def number_within_shards(df: DataFrame, order: Sequence[str], spread: str, shards: int) -> DataFrame:
     """Adds slot, gapless from 0 in each shard, ordered by ``spread`` (a number in [0, 1)) and ``order``.
 
     A shard is numbered in SLICES ranges of the spread value, so no task sorts a whole shard; only
-    the slices' counts meet, and those are shards * SLICES rows whatever the input.
+    the slices' counts meet, and those are shards * SLICES rows whatever the input. df is read twice.
     """
     from pyspark.sql import Window
 
-    cut = df.withColumn("_slice", F.floor(F.col(spread) * SLICES).cast("int"))
-    counts = cut.groupBy("shard", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("shard", "_slice").orderBy(spread, *order)
+    # Inner names that no column of df has.
+    slice_, base, count = (next(f"_{n}{i or ''}" for i in range(len(df.columns) + 1) if f"_{n}{i or ''}" not in df.columns) for n in ("slice", "base", "count"))
+    cut = df.drop("slot").withColumn(slice_, F.floor(F.col(spread) * SLICES).cast("int"))
+    counts = cut.groupBy("shard", slice_).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy("shard").orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", slice_, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
+    offsets = F.broadcast(offsets) if shards * SLICES <= SMALL else offsets
+    inside = Window.partitionBy("shard", slice_).orderBy(spread, *order)
     return (
-        cut.join(F.broadcast(offsets), ["shard", "_slice"])
-        .withColumn("slot", (F.row_number().over(inside) - 1 + F.col("_base")).cast("long"))
-        .drop("_slice", "_base")
+        cut.join(offsets, ["shard", slice_])
+        .withColumn("slot", (F.row_number().over(inside) - 1 + F.col(base)).cast("long"))
+        .drop(slice_, base)
     )

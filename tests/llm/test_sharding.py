@@ -53,14 +53,14 @@ def test_slots_are_gapless_and_reruns_agree(spark):
     rows = [(i % 700, f"t{i % 3}") for i in range(2000)] + [(None, None)] * 20
     df = spark.createDataFrame(rows, "key long, text string")
     placed = assign_shards(df, "key", [1.0] * 3).withColumn("_at", unit_hash(df["key"].cast("string"), df["text"]))
-    out = number_within_shards(placed, ["key", "text"], "_at")
+    out = number_within_shards(placed, ["key", "text"], "_at", 3)
     slots = defaultdict(list)
     for r in out.collect():
         slots[r.shard].append(r.slot)
     for s in slots.values():
         assert sorted(s) == list(range(len(s)))
     key = lambda d: sorted((str(r.key), str(r.text), r.shard, r.slot) for r in d.collect())
-    assert key(out) == key(number_within_shards(placed.repartition(5), ["key", "text"], "_at"))
+    assert key(out) == key(number_within_shards(placed.repartition(5), ["key", "text"], "_at", 3))
 
 
 def test_query(spark, small):
@@ -75,3 +75,11 @@ def test_query(spark, small):
         slots[r.shard].append(r.slot)
     for s in slots.values():
         assert sorted(s) == list(range(len(s)))
+
+
+def test_inner_names_clash_with_none(spark):
+    rows = [(i, 0.01 * i, i % 2, "a", "b", 7) for i in range(50)]
+    df = spark.createDataFrame(rows, "key long, at double, shard int, _slice string, _base string, _count int")
+    for shards in (2, 10**6):  # broadcast, or joined
+        out = number_within_shards(df, ["key"], "at", shards).collect()
+        assert {(r.key, r._slice, r._base, r._count, r.slot) for r in out} == {(i, "a", "b", 7, i // 2) for i in range(50)}

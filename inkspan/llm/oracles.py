@@ -58,3 +58,35 @@ c AS (SELECT doc_id, p, word, max(starts) OVER (PARTITION BY doc_id ORDER BY p R
 k AS (SELECT doc_id, count(*) AS n, sum(gone) AS gone, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
+
+#: Neighbours by the words that are left when one letter goes: from one word they give the other, or both leave the same.
+OP12 = f"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+g AS (SELECT k, run, count(*) AS c FROM r WHERE length(run) >= 6 GROUP BY 1, 2),
+b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(k || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM g),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, y: xor(a >> 8, crcs[xor(a & 255, y) + 1])), 4294967295)::BIGINT AS h FROM b, {_CRC_TABLE}),
+t AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM t WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+i AS (SELECT word, n, unnest(range(length(word))) AS i FROM v), x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM i),
+e AS (SELECT x.word AS a, x.n AS an, v.word AS b, v.n AS bn FROM x JOIN v ON x.rest = v.word),
+p AS (SELECT a, an, b, bn FROM e UNION SELECT b, bn, a, an FROM e UNION SELECT q.word, q.n, z.word, z.n FROM x q JOIN x z ON q.rest = z.rest AND q.i = z.i AND q.word <> z.word),
+m AS (SELECT a, count(*) AS n_near, (min_by(b, (-bn, b)), max(bn))::ROW(form VARCHAR, n BIGINT) AS best FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 5 * n THEN best.form END AS form, CASE WHEN best.n >= 5 * n THEN best.n END AS form_n FROM v LEFT JOIN m ON m.a = v.word),
+w AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL),
+l AS (SELECT w.word, w.at AS root FROM w JOIN f ON f.word = w.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN l ON l.word = f.word
+"""
+
+#: Cuts as positions in the text, from the lengths of the units before them.
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, list_transform(regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)) AS sizes FROM d),
+c AS (SELECT *, len(sizes) AS n, ('0x' || h[1:8])::BIGINT % (len(sizes) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(sizes) + 1) AS b,
+ t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 AS plain, ('0x' || h[25:32])::BIGINT % 100 < 80 AS spm FROM u),
+s AS (SELECT *, coalesce(list_sum(sizes[1:least(a, b)]), 0)::BIGINT AS p, coalesce(list_sum(sizes[1:greatest(a, b)]), 0)::BIGINT AS q FROM c),
+o AS (SELECT *, substr(t, 1, p) AS prefix, substr(t, p + 1, q - p) AS middle, substr(t, q + 1) AS suffix FROM s)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+ CASE WHEN NOT plain THEN p END AS prefix_chars, CASE WHEN NOT plain THEN q - p END AS middle_chars,
+ sha256(CASE WHEN plain THEN t WHEN spm THEN concat('<S>', suffix, '<P>', prefix, '<M>', middle) ELSE concat('<P>', prefix, '<S>', suffix, '<M>', middle) END) AS output_sha256,
+ sha256(t) AS restored_sha256 FROM o
+"""

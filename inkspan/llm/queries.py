@@ -15,6 +15,8 @@ ORACLES |= {
     "op6_bm25_search": oracles.OP6,
     "op7_dart_minhash": oracles.OP7,
     "op9_substring_dedup": oracles.OP9,
+    "op12_spelling_variants": oracles.OP12,
+    "op13_fill_in_middle": oracles.OP13,
 }
 
 
@@ -141,3 +143,34 @@ def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = search(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 50 == 0, k=10)
     return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are those of base spans, as base_sha256 is; n_added are the field's own."""
+    from inkspan.llm.spans import KINDS, find_spans, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_spans(docs, train(docs)).select("doc_id", "spans", F.filter("spans", lambda s: s.base).alias("held"))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
+    of = lambda kind: F.size(F.filter("held", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(of, KINDS), F.sha2(listed("held"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+        (F.size("spans") - F.size("held")).cast("long").alias("n_added"),
+    )
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.spelling import count_words, variant_groups
+
+    return variant_groups(count_words(read(spark, sf_dir, "documents")))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkspan.llm.infill import fill_in_middle
+
+    out = fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)

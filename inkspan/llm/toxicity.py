@@ -1,21 +1,21 @@
 """Toxicity scores from non-negative positive-unlabelled learning.
 
-Known are some toxic documents (P); all others that no label calls toxic stand for the texts as they come
-(U), of which a share ``prior`` is toxic. A linear classifier f on binary features is trained with numpy on
+Known are some toxic documents (P); all training documents, these included, stand for the texts as they come (U),
+of which a share ``prior`` is toxic. A linear classifier f on binary features is trained with numpy on
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]),    l the logistic loss:
 the unlabelled part stands for the clean class once the toxic share is taken out of it, and where that
 estimate turns negative by over-fitting, it counts as 0 and has no gradient.
 
 Features are a text's lower-cased words and the 4-letter pieces of these. The FEATURES that tell P from U
-best are kept. The model is fitted on a bounded sample: at most POSITIVES toxic and UNLABELLED other
-documents, the first by a hash of doc_id; counts, features and hits of the sample are made in Spark tasks,
+best are kept. The model is fitted on a bounded sample: at most POSITIVES toxic documents and UNLABELLED of
+all, each the first by a hash of doc_id; counts, features and hits of the sample are made in Spark tasks,
 and the driver gets the FEATURES counted terms and the sample's hits. Every document is then scored over
 its whole text. Memory of a task: an Arrow batch, the model and WORDS cached words.
 
-The prior is the toxic share of the labelled training documents (0.05 without any, and 0.005 to 0.5). Null and
-empty texts get the score of a text without features; very long texts are read whole. Without a toxic example,
-or without any other document, all scores are the prior; a table in which every document is labelled is trained
-like any other. A document with several labels is toxic if one says so. Ties between features go by name.
+The prior is the toxic share of the labelled training documents (0.005 to 0.5; 0.05 if none is labelled, or all
+that are are toxic). Labels are taken to be given regardless of toxicity, so that share holds for U, whether one
+document in ten is labelled or all are. Null and empty texts get the score of a text without features; very long texts
+are read whole. Without a toxic example all scores are the prior. A document with several labels is toxic if one says so. Ties between features go by name.
 Repeated rows each count. An empty table gives an empty result. Columns of docs are kept, whatever their names;
 score and predicted are replaced.
 """
@@ -147,12 +147,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = cut(docs.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left"))
     share = ids.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("x")).first()["x"]
-    prior = min(max(share if share is not None else 0.05, 0.005), 0.5)
+    prior = min(max(0.05 if share is None or share == 1 else share, 0.005), 0.5)
     order = F.xxhash64("doc_id", F.lit(11))
     chosen = (
         ids.where("toxic = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("toxic"))
     ).unionByName(
-        ids.where("toxic is null or toxic <> 1").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("toxic"))
+        ids.orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("toxic"))
     )
     # At most positives + unlabelled ids, so the side that is broadcast is bounded.
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"))

@@ -55,7 +55,7 @@ def arrow(direction: Column) -> Column:
     return out
 
 
-def mermaid(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], most: int | None = 240) -> DataFrame:
+def mermaid(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], most: int | None = 240, head: str = "flowchart TD") -> DataFrame:
     """keys, mermaid: nodes that edges use, by id, then the edges by (from, to, label)."""
     used = edges.select(*keys, F.col("from_id").alias("node_id")).unionByName(edges.select(*keys, F.col("to_id").alias("node_id"))).distinct()
     node = F.concat(F.lit("n"), F.col("node_id").cast("string"), F.lit("@{ shape: "), F.coalesce("shape", F.lit("rect")), F.lit(', label: "'), mermaid_label("label", most), F.lit('" }'))
@@ -64,7 +64,7 @@ def mermaid(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], most: int |
     edge = F.concat(F.lit("n"), F.col("from_id").cast("string"), F.lit(" "), arrow(F.col("direction")), F.when(label == "", "").otherwise(F.concat(F.lit("|"), mermaid_label(label, most), F.lit("|"))), F.lit(" n"), F.col("to_id").cast("string"))
     edge_lines = edges.select(*keys, F.lit(1).alias("_k"), F.col("from_id").alias("_a"), F.col("to_id").cast("bigint").alias("_b"), label.alias("_c"), edge.alias("_line"))
     listed = node_lines.unionByName(edge_lines).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "_a", "_b", "_c", "_line"))).alias("_l"))
-    return listed.select(*keys, F.concat(F.lit("flowchart TD\n"), F.array_join(F.transform("_l", lambda x: F.concat(F.lit("  "), x["_line"])), "\n")).alias("mermaid"))
+    return listed.select(*keys, F.concat(F.lit(f"{head}\n"), F.array_join(F.transform("_l", lambda x: F.concat(F.lit("  "), x["_line"])), "\n")).alias("mermaid"))
 
 
 def slide_scores(reasons: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -152,19 +152,23 @@ FORMATS = {
 }
 
 
-def files(rows: DataFrame, doc_format: str) -> DataFrame:
-    """Nations -> doc_id (the nation's key), doc_format, error_class, content."""
-    make = FORMATS[doc_format][0]
+def made_files(rows: DataFrame, make, doc_format: str) -> DataFrame:
+    """Nations -> doc_id (the nation's key), doc_format, error_class, content; make(key, name, region, (supplier, balance, key) of each)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [make(n, r, [(s["supplier"], s["balance"]) for s in pairs]) for n, r, pairs in zip(batch["name"], batch["region"], batch["suppliers"])]
+            made = [make(k, n, r, [(s["supplier"], s["balance"], s["s_suppkey"]) for s in pairs]) for k, n, r, pairs in zip(batch["n_nationkey"], batch["name"], batch["region"], batch["suppliers"])]
             yield pd.DataFrame({"doc_id": batch["n_nationkey"].astype(str), "content": made})
 
     made = rows.mapInPandas(run, "doc_id string, content binary")
     return made.select("doc_id", F.lit(doc_format).alias("doc_format"), F.lit(None).cast("string").alias("error_class"), "content")
 
 
+def files(rows: DataFrame, doc_format: str) -> DataFrame:
+    make = FORMATS[doc_format][0]
+    return made_files(rows, lambda key, name, region, pairs: make(name, region, [(s, b) for s, b, _ in pairs]), doc_format)
+
+
 def _query(doc_format: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         blocks = reader.blocks_of(files(nations(spark, sf), doc_format), [doc_format])

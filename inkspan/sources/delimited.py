@@ -13,38 +13,52 @@ from pyspark.sql import functions as F
 from inkspan.functions.text import cell_text
 from inkspan.operators import graph, sheet
 from inkspan.session import stored
+from inkspan.sources.files import ERROR_SCHEMA
 
 DELIMITERS = {"csv": ",", "tsv": "\t"}
 
 
+#: Cells that leave a task together.
+SLICE = 50_000
+
+
 def cells(files: DataFrame) -> DataFrame:
-    """doc_id, doc_format, content -> doc_id, sheet, r, c, text, error_class; blank records are skipped.
+    """doc_id, doc_format, content -> doc_id, sheet, r, c, text, error_class, message; blank records are skipped.
 
-    A file that is no UTF-8 or whose records differ in width is one row with error_class.
+    A file that is no UTF-8, whose quotes do not close or whose records differ in width is one row with error_class.
     """
 
+    def records_of(kind: str, content: bytes) -> tuple[list[list[str]], str | None, str | None]:
+        try:
+            records = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""), delimiter=DELIMITERS[kind], strict=True) if r]
+        except UnicodeDecodeError as error:
+            return [], "NoUtf8", str(error)
+        except csv.Error as error:
+            return [], "Malformed", str(error)
+        widths = sorted({len(r) for r in records})
+        return ([], "UnequalLengths", f"records of {widths[0]} to {widths[-1]} fields") if len(widths) > 1 else (records, None, None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(doc: str, flat: list[tuple], error: str | None = None, message: str | None = None) -> pa.RecordBatch:
+            n = len(flat)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([doc] * n, pa.string()), pa.array(["Sheet1"] * n), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.string()), pa.array([error] * n, pa.string()), pa.array([message] * n, pa.string())],
+                ["doc_id", "sheet", "r", "c", "text", "error_class", "message"],
+            )
+
         for batch in batches:
-            for doc, kind, content in zip(*(c.to_pylist() for c in batch.columns)):
-                error, records = None, []
-                try:
-                    reader = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""), delimiter=DELIMITERS[kind], strict=True)
-                    records = [r for r in reader if r]
-                    if len({len(r) for r in records}) > 1:
-                        error = "UnequalLengths"
-                except (UnicodeDecodeError, csv.Error):
-                    error = "Parse"
-                flat = [] if error else [(r, c, x) for r, record in enumerate(records) for c, x in enumerate(record)]
-                if error:
-                    flat = [(None, None, None)]
-                n = len(flat)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.string()), pa.array(["Sheet1"] * n), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.string()), pa.array([error] * n, pa.string())],
-                    ["doc_id", "sheet", "r", "c", "text", "error_class"],
-                )
+            for doc, kind, content in zip(*batch.columns):
+                records, error, message = records_of(kind.as_py(), content.as_py() or b"")
+                flat = [(None, None, None)] if error else []
+                for r, record in enumerate(records):
+                    flat += [(r, c, x) for c, x in enumerate(record)]
+                    if len(flat) >= SLICE:
+                        yield batch_of(doc.as_py(), flat)
+                        flat = []
+                yield batch_of(doc.as_py(), flat, error, message)
 
     return files.where(F.col("doc_format").isin(*DELIMITERS)).select("doc_id", "doc_format", "content").mapInArrow(
-        run, "doc_id string, sheet string, r bigint, c int, text string, error_class string"
+        run, f"doc_id string, sheet string, r bigint, c int, text string, {ERROR_SCHEMA}"
     )
 
 

@@ -1,13 +1,17 @@
 """Files as rows: whole files, entries of archives, and XML as nodes.
 
 The only Python is decoding: unzip one file, parse one XML entry. What the nodes mean - styles, lists,
-tables, relationships - is joined, grouped and windowed in Spark (see inkspan.sources.office).
+tables, relationships - is joined, grouped and windowed in Spark (see inkspan.sources.office). A step that cannot
+decode something says so in a row of its own (see failures), and no file ends a job.
 """
 
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -38,82 +42,157 @@ def read_files(spark: SparkSession, path: str, doc_format: str | None = None, gl
     return with_format(files, doc_format, **options)
 
 
+#: What a decode step adds to its rows. A row with error_class holds nothing else but where it happened.
+ERROR_SCHEMA = "error_class string, message string"
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    """doc_id, entry, error_class, message of a decode step's rows."""
+    entry = F.col("entry") if "entry" in rows.columns else F.lit(None).cast("string")
+    return rows.where("error_class is not null").select("doc_id", entry.alias("entry"), "error_class", "message")
+
+
+def _entry_error(error: Exception) -> str:
+    return {RuntimeError: "Encrypted", NotImplementedError: "UnknownCompression", EOFError: "Truncated"}.get(type(error), "Damaged")
+
+
 def zip_entries(files: DataFrame, names: str | None = None) -> DataFrame:
-    """doc_id, doc_format, entry, data: the entries of archives, those matching the regex ``names`` only."""
+    """doc_id, doc_format, entry, data, error_class, message: the entries of archives, those matching the regex ``names`` only.
+
+    What cannot be read is a row with an error: the archive as a whole without an entry, or one entry of it; the
+    other entries come out. Each entry leaves the task by itself.
+    """
     import re
 
     wanted = re.compile(names) if names else None
+    columns = ["doc_id", "doc_format", "entry", "data", "error_class", "message"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string()]
+
+    def rows(doc: str, kind: str, content: bytes) -> Iterator[tuple]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+            found = archive.infolist()
+        except (zipfile.BadZipFile, ValueError, EOFError, NotImplementedError, OSError, struct.error) as error:
+            yield doc, kind, None, None, "NoArchive", str(error)
+            return
+        for info in found:
+            if info.is_dir() or (wanted and not wanted.search(info.filename)):
+                continue
+            try:
+                yield doc, kind, info.filename, archive.read(info), None, None
+            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, EOFError, ValueError, OSError, struct.error) as error:
+                yield doc, kind, info.filename, None, _entry_error(error), str(error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, kind, content in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    rows = [(i.filename, archive.read(i)) for i in archive.infolist() if not i.is_dir() and (not wanted or wanted.search(i.filename))]
-                except (zipfile.BadZipFile, ValueError):
-                    rows = []
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())],
-                    ["doc_id", "doc_format", "entry", "data"],
-                )
-
-    return files.select("doc_id", "doc_format", "content").mapInArrow(run, "doc_id string, doc_format string, entry string, data binary")
-
-
-NODE = pa.struct([
-    ("pre", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("text", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("path", pa.list_(pa.struct([("pre", pa.int32()), ("tag", pa.string())]))),
-])
-
-
-def parse_nodes(data: bytes) -> list[dict]:
-    """Elements and texts in document order; names without prefix; entities resolved. Malformed: none."""
-    nodes: list[dict] = []
-    open_: list[tuple[int, str]] = []
-    local = lambda n: n.rpartition(":")[2]
-
-    def add(tag: str, text: str | None, attrs: dict) -> int:
-        nodes.append({
-            "pre": len(nodes), "parent": open_[-1][0] if open_ else -1, "tag": tag, "text": text,
-            "attrs": list(attrs.items()), "path": [{"pre": p, "tag": t} for p, t in open_],
-        })
-        return len(nodes) - 1
-
-    def start(name: str, attrs: dict) -> None:
+            for doc, kind, content in zip(*batch.columns):
+                for row in rows(doc.as_py(), kind.as_py(), content.as_py() or b""):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], columns)
+
+    return files.select("doc_id", "doc_format", "content").mapInArrow(run, f"doc_id string, doc_format string, entry string, data binary, {ERROR_SCHEMA}")
+
+
+#: Nodes of an entry that leave a task together.
+NODES = 20_000
+
+
+class Nodes:
+    """Elements and texts of an XML entry in document order, held as columns; take() empties them."""
+
+    TYPES = {"pre": pa.int32(), "parent": pa.int32(), "tag": pa.string(), "text": pa.string()}
+
+    def __init__(self):
+        self.open: list[tuple[int, str]] = []
+        self.made = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns: dict[str, list] = {c: [] for c in self.TYPES}
+        self.names, self.values, self.attr_at = [], [], [0]
+        self.path_pre, self.path_tag, self.path_at = [], [], [0]
+
+    def add(self, tag: str, text: str | None, attrs: dict) -> int:
+        for name, x in zip(self.TYPES, (self.made, self.open[-1][0] if self.open else -1, tag, text)):
+            self.columns[name].append(x)
+        self.names += attrs.keys()
+        self.values += attrs.values()
+        self.attr_at.append(len(self.names))
+        for pre, above in self.open:
+            self.path_pre.append(pre)
+            self.path_tag.append(above)
+        self.path_at.append(len(self.path_pre))
+        self.made += 1
+        return self.made - 1
+
+    def start(self, name: str, attrs: dict) -> None:
         # xmlns declarations carry no content; a clash of local names keeps the first.
         own: dict[str, str] = {}
         for k, v in attrs.items():
             if k != "xmlns" and not k.startswith("xmlns:"):
-                own.setdefault(local(k) if k != "r:id" else "rid", v)
-        open_.append((add(local(name), None, own), local(name)))
-
-    def text(value: str) -> None:
-        add("#text", value, {})
-
-    parser = expat.ParserCreate()
+                own.setdefault(k.rpartition(":")[2] if k != "r:id" else "rid", v)
+        tag = name.rpartition(":")[2]
+        self.open.append((self.add(tag, None, own), tag))
+
+    def take(self) -> list[pa.Array]:
+        path = pa.StructArray.from_arrays([pa.array(self.path_pre, pa.int32()), pa.array(self.path_tag, pa.string())], ["pre", "tag"])
+        out = [pa.array(self.columns[c], t) for c, t in self.TYPES.items()]
+        out.append(pa.MapArray.from_arrays(pa.array(self.attr_at, pa.int32()), pa.array(self.names, pa.string()), pa.array(self.values, pa.string())))
+        out.append(pa.ListArray.from_arrays(pa.array(self.path_at, pa.int32()), path))
+        self.clear()
+        return out
+
+
+def node_slices(data: bytes, size: int = NODES) -> Iterator[list[pa.Array]]:
+    """pre, parent, tag, text, attrs, path of an entry's nodes in slices; names without prefix; entities resolved.
+
+    The entry is read through once before, so a malformed one raises ExpatError before any node comes out.
+    """
+    expat.ParserCreate().Parse(data, True)
+    nodes, parser = Nodes(), expat.ParserCreate()
     parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, lambda _: open_.pop(), text
-    try:
-        parser.Parse(data, True)
-    except expat.ExpatError:
-        return []
-    return nodes
+    parser.StartElementHandler, parser.EndElementHandler = nodes.start, lambda _: nodes.open.pop()
+    parser.CharacterDataHandler = lambda value: nodes.add("#text", value, {})
+    step = 1 << 16
+    for lo in range(0, len(data), step):
+        parser.Parse(data[lo : lo + step], False)
+        if len(nodes.columns["pre"]) >= size or len(nodes.path_pre) >= 10 * size:
+            yield nodes.take()
+    parser.Parse(b"", True)
+    yield nodes.take()
 
 
 def xml_nodes(entries: DataFrame) -> DataFrame:
-    """(doc_id, entry, data) -> doc_id, entry, pre, parent, tag, text, attrs, path (ancestors, root first)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parsed = [parse_nodes(d) for d in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parsed, pa.list_(NODE))], ["doc_id", "entry", "nodes"])
+    """(doc_id, entry, data, error_class, message) -> doc_id, entry, pre, parent, tag, text, attrs, path (ancestors, root first).
 
+    Errors of the step before go through; a malformed entry becomes one of its own.
+    """
+    fields = ["pre", "parent", "tag", "text", "attrs", "path"]
     schema = (
-        "doc_id string, entry string, nodes array<struct<pre:int,parent:int,tag:string,text:string,"
-        "attrs:map<string,string>,path:array<struct<pre:int,tag:string>>>>"
+        "doc_id string, entry string, pre int, parent int, tag string, text string, attrs map<string,string>, "
+        f"path array<struct<pre:int,tag:string>>, {ERROR_SCHEMA}"
     )
-    return entries.select("doc_id", "entry", "data").mapInArrow(run, schema).select("doc_id", "entry", F.explode("nodes").alias("n")).select("doc_id", "entry", "n.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(doc, entry, columns, error=None, message=None) -> pa.RecordBatch:
+            n = len(columns[0])
+            told = [pa.array([x] * n, pa.string()) for x in (doc, entry, error, message)]
+            return pa.RecordBatch.from_arrays([*told[:2], *columns, *told[2:]], ["doc_id", "entry", *fields, "error_class", "message"])
+
+        empty = Nodes().take()
+        no_node = [pa.nulls(1, x.type) for x in empty]
+        for batch in batches:
+            for row in zip(*batch.columns):
+                doc, entry, data, error, message = (x.as_py() for x in row)
+                try:
+                    if error is None:
+                        for columns in node_slices(data):
+                            yield batch_of(doc, entry, columns)
+                except expat.ExpatError as malformed:
+                    error, message = "Malformed", str(malformed)
+                if error is not None:
+                    yield batch_of(doc, entry, no_node, error, message)
+
+    return entries.select("doc_id", "entry", "data", "error_class", "message").mapInArrow(run, schema)
 
 
 def attr(name: str) -> Column:

@@ -10,21 +10,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.numbers import format_kind, serial_to_iso
-from inkspan.functions.text import a1_range, collapse, column_index, image_id, image_type, trim_ws
-from inkspan.sources.delimited import complete, sheet_blocks
+from inkspan.functions.numbers import format_kind, header_kind, is_number, looks_like_serial, serial_to_iso
+from inkspan.functions.text import CURRENCIES, a1_range, collapse, column_index, image_id, image_type, trim_ws
 from inkspan.session import stored
+from inkspan.sources import drawings
+from inkspan.sources.delimited import complete, sheet_blocks
 from inkspan.sources.files import ancestor, attr, under, xml_nodes, zip_entries
 
 KEY = ["doc_id", "entry"]
 #: Entries that are parsed, and entries that are images.
-XML_ENTRY = r"(?i)\.(xml|rels|opf|x?html?)$"
-IMAGE_ENTRY = r"(?i)((^|/)(media|Pictures|img|images)/|\.(png|jpe?g|webp|bmp|tiff?)$)"
+XML_ENTRY = r"(?i:\.(xml|rels|opf|x?html?)$)"
+IMAGE_ENTRY = r"(?i:(^|/)(media|Pictures|img|images)/|\.(png|jpe?g|webp|bmp|tiff?)$)"
+
+
+def entries(files: DataFrame, names: str = f"{XML_ENTRY}|{IMAGE_ENTRY}|^content\\.json$") -> DataFrame:
+    """The entries that readers look at, stored: every archive is unzipped once."""
+    return stored(zip_entries(files, names), "entries")
+
+
+def parsed(unzipped: DataFrame) -> DataFrame:
+    """The nodes of all XML entries, stored, with the errors of entries that are needed for them."""
+    return stored(xml_nodes(unzipped.where(F.col("entry").isNull() | F.rlike("entry", F.lit(XML_ENTRY)))), "nodes")
+
+
+#: Fixed value: what stands for SmartArt.
+SMART_ART = "Note: SmartArt detected on this slide; semantic extraction not implemented; excluded."
 
 
 def parts(files: DataFrame) -> DataFrame:
     """The nodes of all XML entries: every file is unzipped and parsed once, and the nodes are stored."""
-    return stored(xml_nodes(zip_entries(files, XML_ENTRY)), "nodes")
+    return parsed(zip_entries(files, XML_ENTRY)).where("error_class is null").drop("error_class", "message")
 
 
 def media(files: DataFrame) -> DataFrame:
@@ -56,26 +71,61 @@ def relationships(nodes: DataFrame) -> DataFrame:
 def images(entries: DataFrame) -> DataFrame:
     """doc_id, entry, image_id, content_type, filename, bytes."""
     name = F.element_at(F.split("entry", "/"), -1)
-    found = entries.where(F.rlike("entry", F.lit(IMAGE_ENTRY)))
+    found = entries.where(F.rlike("entry", F.lit(IMAGE_ENTRY)) & F.col("data").isNotNull())
     return found.select("doc_id", "entry", image_id("data").alias("image_id"), image_type(name).alias("content_type"), name.alias("filename"), F.col("data").alias("bytes"))
 
 
-def _table_cells(nodes: DataFrame, table: str, row: str, cell: str, para: str, text: tuple[str, ...]) -> DataFrame:
-    """KEY, table, rows: outermost tables as arrays of rows of cells."""
+def _table_cells(nodes: DataFrame, table: str, row: str, cell: str, para: str, text: tuple[str, ...], pieces: bool = False) -> DataFrame:
+    """KEY, table, rows: outermost tables as arrays of rows of cells.
+
+    With ``pieces`` a cell's texts are trimmed and joined by spaces, and repeated cells of OpenDocument are spelled out.
+    """
     first = lambda tag: F.try_element_at(F.filter("path", lambda p: p["tag"] == tag), F.lit(1))["pre"]
     cells = nodes.where(F.col("tag") == cell).where(F.size(F.filter("path", lambda p: p["tag"] == table)) == 1)
     cells = cells.select(*KEY, first(table).alias("_t"), ancestor(row).alias("_r"), F.col("pre").alias("_c"))
     inner = nodes.where((F.col("tag") == "#text") & under(*text)).select(*KEY, first(table).alias("_t"), ancestor(cell).alias("_c"), ancestor(para).alias("_p"), "pre", "text")
     lines = _ordered_text(inner, [*KEY, "_t", "_c", "_p"])
     joined = _ordered_text(lines, [*KEY, "_t", "_c"], "_p", "text", "\n")
-    spans = nodes.where(F.col("tag") == "gridSpan").select(*KEY, ancestor(cell).alias("_c"), attr("val").cast("int").alias("_span")) if cell == "tc" else None
+    if pieces:
+        joined = _ordered_text(inner.withColumn("text", trim_ws("text")).where("text <> ''"), [*KEY, "_t", "_c"], sep=" ")
     filled = cells.join(joined, [*KEY, "_t", "_c"], "left")
-    filled = filled.join(spans, [*KEY, "_c"], "left") if spans is not None else filled.withColumn("_span", F.lit(None).cast("int"))
-    one = F.struct(F.coalesce(trim_ws("text"), F.lit("")).alias("text"), F.coalesce("_span", F.lit(1)).alias("colspan"), F.lit(1).alias("rowspan"))
+    if cell == "tc":
+        told = nodes.where(F.col("tag").isin("gridSpan", "vMerge")).groupBy(*KEY, ancestor(cell).alias("_c")).agg(
+            F.max(F.when(F.col("tag") == "gridSpan", F.greatest(attr("val").try_cast("int"), F.lit(1)))).alias("colspan"),
+            F.max(F.when(F.col("tag") == "vMerge", F.when(F.lower(attr("val")) == "restart", "restart").otherwise("continue"))).alias("merge"),
+        )
+        filled = filled.join(told, [*KEY, "_c"], "left").withColumn("colspan", F.coalesce("colspan", F.lit(1)))
+        filled = filled.join(merged_rows(filled, [*KEY, "_t"], "_r", "_c"), [*KEY, "_t", "_c"], "left")
+    elif cell == "table-cell":
+        told = lambda n: F.greatest(F.coalesce(attr(n).try_cast("int"), F.lit(1)), F.lit(1))
+        spans = nodes.where(F.col("tag") == cell).select(*KEY, F.col("pre").alias("_c"), told("number-columns-spanned").alias("colspan"), told("number-rows-spanned").alias("rowspan"), (told("number-columns-repeated") if pieces else F.lit(1)).alias("_n"))
+        filled = filled.join(spans, [*KEY, "_c"]).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_i")
+    else:
+        filled = filled.withColumns({"colspan": F.lit(1), "rowspan": F.lit(1)})
+    one = F.struct(F.coalesce(trim_ws("text"), F.lit("")).alias("text"), "colspan", F.coalesce("rowspan", F.lit(1)).alias("rowspan"))
     rows = filled.groupBy(*KEY, "_t", "_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("_c", one.alias("x")))), lambda z: z["x"]).alias("_cells"))
     return rows.groupBy(*KEY, F.col("_t").alias("pre")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_cells"))), lambda z: z["_cells"]).alias("rows"))
 
 
+def merged_rows(cells: DataFrame, keys, row: str, cell: str) -> DataFrame:
+    """keys, cell, rowspan of the cells that merge down; merge is restart, continue or null, colspan how many columns a cell covers.
+
+    A cell's columns come from the running sum of spans before it. Down each column the last cell that does not
+    continue decides: if it starts a merge, it owns the continuations up to here, and each of their columns makes
+    it one longer; these have 0 rows themselves. Only the columns of tables that merge are spelled out.
+    """
+    has = cells.where("merge is not null").select(*keys).distinct()
+    before = Window.partitionBy(*keys, row).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.join(has, keys, "left_semi").withColumn("_at", F.coalesce(F.sum("colspan").over(before), F.lit(0)))
+    columns = placed.select(*keys, row, cell, "merge", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("colspan") - 1)).alias("_column"))
+    down = Window.partitionBy(*keys, "_column").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    fixed = F.when(F.coalesce("merge", F.lit("none")) != "continue", F.struct(F.col("merge").alias("m"), F.col(cell).alias("owner")))
+    owned = columns.withColumn("_last", F.last(fixed, ignorenulls=True).over(down))
+    length = owned.where("merge = 'continue' and _last.m = 'restart'").groupBy(*keys, F.col("_last.owner").alias(cell)).agg(F.count(F.lit(1)).alias("_more"))
+    starts = placed.where("merge = 'restart'").select(*keys, cell).join(length, [*keys, cell], "left").select(*keys, cell, (F.coalesce("_more", F.lit(0)) + 1).cast("int").alias("rowspan"))
+    return starts.unionByName(placed.where("merge = 'continue'").select(*keys, cell, F.lit(0).alias("rowspan")))
+
+
 def _numbered(blocks: DataFrame, order) -> DataFrame:
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
     return complete(blocks.withColumn("block_index", index.cast("bigint")))
@@ -141,8 +191,17 @@ def docx_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
     pics = blips.join(rels, ["doc_id", "rid"]).join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
     pics = pics.select(*KEY, "pre", F.lit(2).alias("_k"), F.lit("image").alias("block_type"), "image_id", "content_type", "filename")
     tables = _table_cells(doc, "tbl", "tr", "tc", "p", ("t",)).select(*KEY, "pre", F.lit(0).alias("_k"), F.lit("table").alias("block_type"), "rows")
-    out = flow.unionByName(links, allowMissingColumns=True).unionByName(pics, allowMissingColumns=True).unionByName(tables, allowMissingColumns=True)
-    return _numbered(out, ["pre", "_k"])
+    first = lambda tag: F.try_element_at(F.filter("path", lambda p: p["tag"] == tag), F.lit(1))["pre"]
+    drawn = doc.where(under("drawing") & ~under("tbl")).withColumns({"para": first("p"), "drawing": first("drawing")})
+    places = drawn.where((F.col("tag") == "chart") & attr("rid").isNotNull()).select(*KEY, F.col("para").alias("pre"), F.col("pre").alias("_i"), attr("rid").alias("rid"))
+    places = places.join(rels, ["doc_id", "rid"]).select(*KEY, "pre", F.lit(3).alias("_k"), "_i", F.col("target").alias("part"))
+    shown = drawings.chart_blocks(places, drawings.charts(nodes))
+    shapes = drawings.diagrams(drawings.ooxml_graph(drawn, [*KEY, "para", "drawing"], word=True), [*KEY, "para", "drawing"], spelled=False)
+    shapes = drawings.diagram_blocks(shapes.select(*KEY, F.col("para").alias("pre"), F.lit(4).alias("_k"), F.col("drawing").alias("_i"), "text"), [*KEY, "pre", "_k", "_i"])
+    out = flow
+    for more in (links, pics, tables, shown, shapes):
+        out = out.unionByName(more, allowMissingColumns=True)
+    return _numbered(out, ["pre", "_k", "_i", "_j"])
 
 
 def _sheets(nodes: DataFrame) -> DataFrame:
@@ -193,17 +252,27 @@ def xlsx_cells(nodes: DataFrame) -> DataFrame:
         .when((F.col("t") == "n") & number.isNotNull(), number_text(number)).otherwise(F.col("v"))
     )
     value = F.when(F.col("f").isNull(), shown).when(shown.isNull(), F.concat(F.lit("="), "f")).otherwise(F.concat(shown, F.lit(" ("), "f", F.lit(")")))
-    return c.select(
+    return dated_by_header(c.select(
         "doc_id", "sheet", "sheet_no", (F.regexp_extract("ref", r"([0-9]+)$", 1).cast("bigint") - 1).alias("r"), column_index(F.regexp_extract("ref", "^([A-Za-z]+)", 1)).cast("int").alias("c"),
         F.coalesce(value, F.lit("")).alias("text"), F.col("f").alias("formula"), (F.col("t") == "e").alias("is_error"),
-    )
+    ))
+
 
+def dated_by_header(cells: DataFrame) -> DataFrame:
+    """Numbers that may be dates become dates below a header, in a sheet's first row, that names one; styles have had their say."""
+    heads = cells.where("r = 0").select("doc_id", "sheet", "c", header_kind(trim_ws("text")).alias("_kind")).where("_kind is not null")
+    number = F.when(is_number(trim_ws("text")), trim_ws("text").try_cast("double"))
+    dated = F.when((F.col("r") > 0) & F.col("_kind").isNotNull() & looks_like_serial(number), serial_to_iso(number, F.col("_kind")))
+    # A sheet has a header for a column once, however long the column is.
+    return cells.join(heads.dropDuplicates(["doc_id", "sheet", "c"]), ["doc_id", "sheet", "c"], "left").withColumn("text", F.coalesce(dated, F.col("text"))).select(cells.columns)
 
-def ods_cells(nodes: DataFrame, most_repeats: int = 20_000) -> DataFrame:
+
+def ods_cells(nodes: DataFrame, max_rows: int = 20_000, max_cols: int = 100, tail_rows: int = 2000) -> DataFrame:
     """Cells of an OpenDocument sheet; repeated rows and columns that hold text are expanded, empty ones are not.
 
-    A file may declare a million repeats in a few bytes, so one cell is spelled out ``most_repeats`` times at
-    most: the rows that a sheet shows by default.
+    A file may declare a million repeats in a few bytes. Of a repeated row its first ``max_rows`` and last ``tail_rows``
+    are spelled out, of a repeated column its first ``max_cols``: more of them no sheet of these limits shows, and
+    the last row keeps its number.
     """
     nodes = nodes.where("entry = 'content.xml'")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
@@ -216,9 +285,11 @@ def ods_cells(nodes: DataFrame, most_repeats: int = 20_000) -> DataFrame:
     cells = cells.withColumn("c", before([*KEY, "_r"], "_n")).withColumnRenamed("pre", "_c")
     text = _ordered_text(_ordered_text(nodes.where((F.col("tag") == "#text") & under("p")).select(*KEY, ancestor("table-cell").alias("_c"), ancestor("p").alias("_p"), "pre", "text"), [*KEY, "_c", "_p"]), [*KEY, "_c"], "_p", "text", "\n")
     full = cells.join(text, [*KEY, "_c"]).join(rows, [*KEY, "_r"]).join(tables, [*KEY, "_t"])
-    times = lambda start, n: F.explode(F.sequence(F.col(start), F.col(start) + F.least(F.col(n), F.lit(most_repeats)) - 1))
-    told = full.select("doc_id", "sheet", "sheet_no", times("r", "_rn").alias("r"), "c", "_n", "text", F.regexp_replace("formula", "^of:=?", "").alias("formula"))
-    told = told.select("doc_id", "sheet", "sheet_no", "r", times("c", "_n").alias("c"), "text", "formula")
+    first = lambda start, n, most: F.sequence(F.col(start), F.col(start) + F.least(F.col(n), F.lit(most)) - 1)
+    last = F.sequence(F.col("r") + F.col("_rn") - F.least(F.col("_rn"), F.lit(max(tail_rows, 1))), F.col("r") + F.col("_rn") - 1)
+    rows_ = F.explode(F.array_union(first("r", "_rn", max_rows), last))
+    told = full.select("doc_id", "sheet", "sheet_no", rows_.alias("r"), "c", "_n", "text", F.regexp_replace("formula", "^of:=?", "").alias("formula"))
+    told = told.select("doc_id", "sheet", "sheet_no", "r", F.explode(first("c", "_n", max_cols)).alias("c"), "text", "formula")
     return told.withColumns({"r": F.col("r").cast("bigint"), "c": F.col("c").cast("int"), "is_error": F.lit(False)})
 
 
@@ -229,11 +300,12 @@ def xlsx_blocks(nodes: DataFrame, **options) -> DataFrame:
 
 def ods_blocks(nodes: DataFrame, **options) -> DataFrame:
     """Each sheet's regions, split into tables side by side."""
-    return sheet_blocks(ods_cells(nodes), **options)
+    limits = {k: v for k, v in options.items() if k in ("max_rows", "max_cols", "tail_rows")}
+    return sheet_blocks(ods_cells(nodes, **limits), **options)
 
 
 def pptx_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
-    """Slides in presentation order: title heading, paragraphs and lists, tables, images, speaker notes."""
+    """Slides in presentation order: title heading, paragraphs and lists, tables, images, charts, the diagram, speaker notes."""
     rels = relationships(nodes)
     pres = nodes.where("entry = 'ppt/presentation.xml' and tag = 'sldId'")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
@@ -255,17 +327,26 @@ def pptx_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
     tables = _table_cells(s, "tbl", "tr", "tc", "p", ("t",)).join(slides, KEY).select(*KEY, "slide", "pre", F.lit(1).alias("_k"), F.lit("table").alias("block_type"), "rows")
     alt = s.where("tag = 'cNvPr'").select(*KEY, ancestor("pic").alias("_pic"), attr("descr").alias("alt"))
     pics = s.where("tag = 'blip'").select(*KEY, "slide", "pre", ancestor("pic").alias("_pic"), attr("embed").alias("rid"))
-    pics = pics.join(rels.select("doc_id", F.col("part").alias("entry"), "rid", "target"), [*KEY, "rid"]).join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
+    own_rels = rels.select("doc_id", F.col("part").alias("entry"), "rid", "target")
+    linked = own_rels.join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
+    pics = pics.join(linked, [*KEY, "rid"])
     pics = pics.join(alt.where("_pic is not null"), [*KEY, "_pic"], "left").select(*KEY, "slide", "pre", F.lit(1).alias("_k"), F.lit("image").alias("block_type"), "image_id", "content_type", "filename", "alt")
+    places = s.where((F.col("tag") == "chart") & attr("rid").isNotNull() & under("graphicData")).select(*KEY, "slide", "pre", attr("rid").alias("rid"))
+    places = places.join(own_rels, [*KEY, "rid"]).select(*KEY, "slide", "pre", F.lit(1).alias("_k"), F.col("target").alias("part"))
+    shown = drawings.chart_blocks(places, drawings.charts(nodes))
+    art = s.where((F.col("tag") == "graphicData") & F.contains(attr("uri"), F.lit("/diagram"))).select(*KEY, "slide", "pre", F.lit(1).alias("_k"), F.lit("paragraph").alias("block_type"), F.lit(SMART_ART).alias("text"))
+    page = [*KEY, "slide"]
+    shapes = drawings.diagrams(drawings.ooxml_graph(s, page, linked.select(*KEY, "rid", "image_id", "filename")), page)
+    shapes = drawings.diagram_blocks(shapes.select(*page, F.lit(0).alias("pre"), F.lit(2).alias("_k"), "text"), [*page, "pre", "_k"])
     to_notes = rels.where("kind = 'notesSlide'").groupBy("doc_id", F.col("part").alias("_slide")).agg(F.min_by("target", "rid").alias("entry"))
     notes = nodes.join(to_notes, KEY).join(slides.select("doc_id", F.col("entry").alias("_slide"), "slide"), ["doc_id", "_slide"])
     note = _ordered_text(notes.where((F.col("tag") == "#text") & under("t")).select(*KEY, "slide", ancestor("p").alias("_p"), "pre", "text"), [*KEY, "slide", "_p"]).withColumn("text", trim_ws("text")).where("text <> ''")
-    said = note.select(*KEY, "slide", F.col("_p").alias("pre"), F.lit(3).alias("_k"), F.lit("paragraph").alias("block_type"), "text")
-    note_head = note.select(*KEY, "slide").distinct().select(*KEY, "slide", F.lit(0).alias("pre"), F.lit(2).alias("_k"), F.lit("heading").alias("block_type"), F.lit(3).cast("smallint").alias("level"), F.lit("Speaker notes").alias("text"))
+    said = note.select(*KEY, "slide", F.col("_p").alias("pre"), F.lit(4).alias("_k"), F.lit("paragraph").alias("block_type"), "text")
+    note_head = note.select(*KEY, "slide").distinct().select(*KEY, "slide", F.lit(0).alias("pre"), F.lit(3).alias("_k"), F.lit("heading").alias("block_type"), F.lit(3).cast("smallint").alias("level"), F.lit("Speaker notes").alias("text"))
     out = heads
-    for more in (flow, tables, pics, note_head, said):
+    for more in (flow, tables, pics, shown, art, shapes, note_head, said):
         out = out.unionByName(more, allowMissingColumns=True)
-    return _numbered(out, ["slide", "_k", "pre"])
+    return _numbered(out, ["slide", "_k", "pre", "_j"])
 
 
 def odt_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
@@ -290,7 +371,61 @@ def odt_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
     tables = _table_cells(doc, "table", "table-row", "table-cell", "p", ("p",)).select(*KEY, "pre", F.lit(0).alias("_k"), F.lit("table").alias("block_type"), "rows")
     pics = doc.where(F.col("tag") == "image").select(*KEY, "pre", attr("href").alias("target")).join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"])
     pics = pics.select(*KEY, "pre", F.lit(1).alias("_k"), F.lit("image").alias("block_type"), "image_id", "content_type", "filename")
-    return _numbered(gathered.unionByName(tables, allowMissingColumns=True).unionByName(pics, allowMissingColumns=True), ["_k", "pre"])
+    # A diagram is of one child of the text, and stands behind it.
+    child = F.when(F.get("path", F.lit(2))["tag"] == "text", F.coalesce(F.get("path", F.lit(3))["pre"], F.col("pre")))
+    drawn = doc.withColumn("_top", child).where("_top is not null")
+    graph = drawings.odf_graph(drawn, [*KEY, "_top"], drawings.odf_markers(nodes), pictures)
+    shapes = drawings.diagrams(graph, [*KEY, "_top"]).select(*KEY, F.col("_top").alias("pre"), F.lit(0).alias("_k"), "text")
+    shapes = drawings.diagram_blocks(shapes, [*KEY, "pre", "_k"])
+    out = gathered
+    for more in (tables, pics, shapes):
+        out = out.unionByName(more, allowMissingColumns=True)
+    return _numbered(out, ["_k", "pre", "_j"])
+
+
+def odp_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Pages in order: title heading, headings, paragraphs and lists, tables, images, and the diagram.
+
+    Texts are trimmed and joined by spaces. Frames of the class title or subtitle make the title and no body.
+    """
+    doc = nodes.where("entry = 'content.xml'")
+    page, frame = [*KEY, "slide"], ancestor("frame")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
+    pages = doc.where("tag = 'page'").select(*KEY, F.col("pre").alias("_page"), number.alias("slide"), attr("name").alias("_name"))
+    s = doc.withColumn("_page", ancestor("page")).join(pages.drop("_name"), [*KEY, "_page"]).drop("_page")
+    titled = s.where((F.col("tag") == "frame") & F.lower(F.coalesce(attr("class"), F.lit(""))).isin("title", "subtitle")).select(*KEY, F.col("pre").alias("_f"), F.lit(True).alias("_titled"))
+    bits = s.where((F.col("tag") == "#text") & under("p", "h") & ~under("table", "connector", "line")).withColumn("text", trim_ws("text")).where("text <> ''")
+    bits = bits.withColumns({"_p": ancestor("p", "h"), "_f": frame}).join(titled, [*KEY, "_f"], "left").withColumn("_titled", F.coalesce("_titled", F.lit(False)))
+    titles = _ordered_text(bits.where("_titled"), page, sep=" ").withColumnRenamed("text", "_title")
+    heads = pages.join(titles, page, "left").select(*page, F.lit(-1).alias("pre"), F.lit(0).alias("_k"), F.lit("heading").alias("block_type"), F.lit(1).cast("smallint").alias("level"), F.coalesce("_title", "_name", F.concat(F.lit("Slide "), "slide")).alias("text"))
+    told = s.where(F.col("tag").isin("p", "h")).select(
+        *KEY, F.col("pre").alias("_p"), (F.col("tag") == "h").alias("_h"), (F.size(F.filter("path", lambda p: p["tag"] == "list")) - 1).alias("_depth"), under("list-item").alias("_item"), attr("outline-level").try_cast("int").alias("_outline"),
+    )
+    text = _ordered_text(bits, [*page, "_p", "_titled"], sep=" ").join(told, [*KEY, "_p"]).where("_h or not _titled")
+    in_list = ~F.col("_h") & F.col("_item") & (F.col("_depth") >= 0)
+    level = F.when(F.col("_h"), F.least(F.greatest(F.coalesce("_outline", F.lit(1)) + 1, F.lit(2)), F.lit(6))).when(in_list, F.col("_depth"))
+    flow = text.select(*page, F.col("_p").alias("pre"), F.when(F.col("_h"), "heading").when(in_list, "list").otherwise("paragraph").alias("block_type"), level.cast("smallint").alias("level"), "text", F.lit(False).alias("ordered"), F.col("slide").cast("string").alias("group"))
+    tables = _table_cells(s, "table", "table-row", "table-cell", "p", ("p",), pieces=True).join(s.where("tag = 'table'").select(*page, "pre"), [*KEY, "pre"]).select(*page, "pre", F.lit("table").alias("block_type"), "rows")
+    # A table inside a chart has a note before it.
+    kind = F.element_at(F.split(attr("class"), ":"), -1)
+    drawn = s.where("tag = 'chart'").select(*KEY, F.col("pre").alias("_chart"), kind.alias("_kind"))
+    noted = s.where("tag = 'table'").select(*KEY, "pre", ancestor("chart").alias("_chart")).join(drawn, [*KEY, "_chart"]).join(tables.select(*page, "pre", "rows"), [*KEY, "pre"])
+    unit = first_unit(F.col("rows"))
+    notes = noted.select(*page, "pre", F.lit(-1).alias("_j"), F.lit("paragraph").alias("block_type"), F.concat(F.lit("Note: "), F.coalesce("_kind", F.lit("chart")), F.lit(" chart"), F.coalesce(F.concat(F.lit("; units: "), unit), F.lit(""))).alias("text"))
+    at = s.where("tag = 'image'").select(*page, "pre", F.regexp_replace(trim_ws(attr("href")), r"^\./", "").alias("target"))
+    pics = at.join(pictures.select("doc_id", F.col("entry").alias("target"), "image_id", "content_type", "filename"), ["doc_id", "target"]).select(*page, "pre", F.lit("image").alias("block_type"), "image_id", "content_type", "filename")
+    # Tables and images between two items part a list.
+    body = _gather_lists(flow.unionByName(tables, allowMissingColumns=True).unionByName(pics, allowMissingColumns=True).unionByName(notes, allowMissingColumns=True).withColumn("_j", F.coalesce("_j", F.lit(0))).withColumn("_o", F.struct("slide", "pre", "_j")), "_o").withColumn("_k", F.lit(1))
+    graph = drawings.odf_graph(s, page, drawings.odf_markers(nodes), pictures)
+    shapes = drawings.diagrams(graph, page).select(*page, F.lit(0).alias("pre"), F.lit(2).alias("_k"), "text")
+    out = heads.unionByName(body, allowMissingColumns=True).unionByName(drawings.diagram_blocks(shapes, [*page, "pre", "_k"]), allowMissingColumns=True)
+    return _numbered(out, ["slide", "_k", "pre", "_j"])
+
+
+def first_unit(rows: Column) -> Column:
+    """The unit of a table's first cell that shows one: a percent sign before a currency."""
+    shown = lambda x: F.coalesce(*[F.when(F.contains(x, F.lit(u)), F.lit(u)) for u in ("%", *CURRENCIES)])
+    return F.get(F.filter(F.transform(F.flatten(rows), lambda c: shown(c["text"])), lambda u: u.isNotNull()), F.lit(0))
 
 
 def epub_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
@@ -319,15 +454,21 @@ def epub_blocks(nodes: DataFrame, pictures: DataFrame) -> DataFrame:
 TOPIC = "struct<title:string,children:struct<attached:array<string>>>"
 
 
-def json_topics(entries: DataFrame) -> DataFrame:
-    """XMind content.json (doc_id, entry, data): doc_id, node_id, parent_id, ord, title of the first sheet's topics.
+def json_topics(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """XMind content.json (doc_id, entry, data): topics as doc_id, node_id, parent_id, ord, title, and failures.
 
-    One step a level: the children of a level's topics are kept as JSON text and read by the next.
+    The first sheet with a rootTopic or a topic counts. One step a level: the children of a level's topics are kept
+    as JSON text and read by the next.
     """
-    text = F.decode("data", "UTF-8")
-    sheets = F.from_json(text, "array<struct<rootTopic:string>>")
-    level = entries.where("entry = 'content.json'").select("doc_id", F.try_element_at(sheets, F.lit(1))["rootTopic"].alias("_json"))
-    level = stored(level.where("_json is not null").select("doc_id", F.array(F.lit(0)).alias("_path"), "_json"), "topics")
+    found = entries.where("entry = 'content.json' and data is not null")
+    sheets = found.select("doc_id", "entry", F.from_json(F.try_validate_utf8(F.col("data").cast("string")), "array<string>").alias("_sheets"))
+    topic = F.from_json(F.col("_s"), "struct<rootTopic:string,topic:string>")
+    # get of the reader: a sheet may hold either; the first sheet that holds one is the map.
+    tops = sheets.select("doc_id", F.posexplode("_sheets").alias("_n", "_s")).select("doc_id", "_n", F.coalesce(topic["rootTopic"], topic["topic"]).alias("_json")).where("_json is not null")
+    top = tops.groupBy("doc_id").agg(F.min_by("_json", "_n").alias("_json"))
+    level = stored(top.select("doc_id", F.array(F.lit(0)).alias("_path"), "_json"), "topics")
+    error = F.when(F.col("_sheets").isNull(), "Malformed").otherwise("NoTopic")
+    failed = sheets.join(level.select("doc_id"), "doc_id", "left_anti").select("doc_id", "entry", error.alias("error_class"), F.lit("no sheet with a topic").alias("message"))
     levels = [level]
     while True:
         below = level.select("doc_id", "_path", F.posexplode(F.from_json("_json", TOPIC)["children"]["attached"]).alias("_i", "_json"))
@@ -339,10 +480,11 @@ def json_topics(entries: DataFrame) -> DataFrame:
     for more in levels[1:]:
         found = found.unionByName(more)
     name = lambda p: F.array_join(p, ".")
-    return found.select(
+    topics = found.select(
         "doc_id", name("_path").alias("node_id"), F.when(F.size("_path") > 1, name(F.slice("_path", F.lit(1), F.size("_path") - 1))).alias("parent_id"),
         F.element_at("_path", -1).alias("ord"), F.from_json("_json", TOPIC)["title"].alias("title"),
     )
+    return topics, failed
 
 
 def mind_map_nodes(nodes: DataFrame) -> DataFrame:
@@ -358,9 +500,10 @@ def mind_map_nodes(nodes: DataFrame) -> DataFrame:
     return topics.join(titles, ["doc_id", "node_id"], "left")
 
 
-def mind_maps(files: DataFrame) -> DataFrame:
-    """doc_id, node_id, parent_id, ord, title: content.json where an archive has one, else its XML."""
-    modern = stored(json_topics(zip_entries(files, r"^content\.json$")), "json")
-    old = mind_map_nodes(parts(files)).join(modern.select("doc_id").distinct(), "doc_id", "left_anti")
-    number = old.withColumns({c: F.col(c).cast("string") for c in ("node_id", "parent_id")})
-    return modern.unionByName(number)
+def mind_maps(unzipped: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topics (doc_id, node_id, parent_id, ord, title), from content.json where an archive has one, else its XML; and failures."""
+    modern, failed = json_topics(unzipped)
+    modern = stored(modern, "json")
+    held = unzipped.where("entry = 'content.json'").select("doc_id").distinct()
+    number = mind_map_nodes(nodes).join(held, "doc_id", "left_anti").withColumns({c: F.col(c).cast("string") for c in ("node_id", "parent_id")})
+    return modern.unionByName(number), failed

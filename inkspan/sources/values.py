@@ -18,13 +18,20 @@ from pyspark.sql import functions as F
 from inkspan.functions.text import trim_ws
 from inkspan.session import stored
 from inkspan.sources.delimited import complete
+from inkspan.sources.files import ERROR_SCHEMA
 
 MOST_LEVEL, MOST_COLUMNS = 4, 20
+#: Containers inside each other; a file that nests deeper is an error.
+MOST_DEPTH = 127
 VALUE = pa.struct([
     ("pre", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("key", pa.string()), ("kind", pa.string()),
     ("shown", pa.string()), ("raw", pa.string()), ("above", pa.list_(pa.int32())),
 ])
-SCHEMA = "doc_id string, values array<struct<pre:int,parent:int,depth:int,ord:int,key:string,kind:string,shown:string,raw:string,above:array<int>>>"
+SCHEMA = f"doc_id string, values array<struct<pre:int,parent:int,depth:int,ord:int,key:string,kind:string,shown:string,raw:string,above:array<int>>>, {ERROR_SCHEMA}"
+
+
+class TooDeep(ValueError):
+    pass
 
 
 def _constant(name: str):
@@ -43,25 +50,49 @@ def shown(value) -> str:
     return '""' if not text else compact(value) if "\n" in text or "\r" in text else text
 
 
+def kind_of(value) -> str:
+    return "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "string" if isinstance(value, str) else "scalar"
+
+
+def depth_of(root) -> int:
+    """Containers on the longest way down, counted with a stack."""
+    most, open_ = 0, [(root, 0)]
+    while open_:
+        value, depth = open_.pop()
+        if isinstance(value, (dict, list)):
+            most = max(most, depth + 1)
+            if most > MOST_DEPTH:
+                raise TooDeep(f"more than {MOST_DEPTH} containers inside each other")
+            open_ += [(x, depth + 1) for x in (value.values() if isinstance(value, dict) else value)]
+    return most
+
+
 def parse_values(root) -> list[dict]:
-    """A value and all below it, in document order; ``raw`` is a string's text and a container's JSON."""
-    out: list[dict] = []
+    """A value and all below it, in document order; ``raw`` is a string's text, and the JSON of a container that may be drawn so.
 
-    def add(value, parent: int, depth: int, at: int, key: str | None, above: list[int]) -> None:
-        kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "string" if isinstance(value, str) else "scalar"
+    Those are the containers in arrays of unlike items and the objects under MOST_LEVEL. What lies inside one is never
+    drawn by itself, so all JSON together is no longer than the file.
+    """
+    depth_of(root)
+    out: list[dict] = []
+    open_ = [(root if isinstance(root, dict) else {"value": root}, -1, 0, 0, None, [], False, False)]
+    while open_:
+        value, parent, depth, at, key, above, in_lines, covered = open_.pop()
+        kind = kind_of(value)
         scalar = kind in ("string", "scalar")
-        # Only the items of arrays and the members of deep objects may be drawn as JSON.
-        keep = kind == "string" or (not scalar and (key is None or depth > MOST_LEVEL))
+        keep = not scalar and not covered and (in_lines or (kind == "object" and depth > MOST_LEVEL))
         pre = len(out)
         out.append({
             "pre": pre, "parent": parent, "depth": depth, "ord": at, "key": key, "kind": kind, "shown": shown(value) if scalar else None,
-            "raw": (value if kind == "string" else compact(value)) if keep else None, "above": above,
+            "raw": value if kind == "string" else compact(value) if keep else None, "above": above,
         })
-        below = value.items() if kind == "object" else ((None, v) for v in value) if kind == "array" else ()
-        for i, (k, v) in enumerate(below):
-            add(v, pre, depth + 1, i, k, [*above, pre])
-
-    add(root if isinstance(root, dict) else {"value": root}, -1, 0, 0, None, [])
+        if scalar:
+            continue
+        below = list(value.items()) if kind == "object" else [(None, v) for v in value]
+        kinds = {kind_of(v) for _, v in below}
+        lines = kind == "array" and not kinds <= {"string", "scalar"} and kinds != {"object"}
+        inner = [*above, pre]
+        open_ += [(v, pre, depth + 1, i, k, inner, lines, covered or keep) for i, (k, v) in reversed(list(enumerate(below)))]
     return out
 
 
@@ -90,25 +121,35 @@ def xml_value(data: bytes):
 
 
 def values(files: DataFrame) -> DataFrame:
-    """doc_id, doc_format, content -> a row a value; files that do not parse have none."""
+    """doc_id, doc_format, content -> a row a value, and a row with error_class for a file that does not parse."""
+
+    def parse(kind: str, content: bytes) -> tuple[list[dict], str | None, str | None]:
+        try:
+            return parse_values(xml_value(content) if kind == "xml" else json.loads(content.decode("utf-8"), parse_constant=_constant)), None, None
+        except (RecursionError, TooDeep) as error:
+            return [], "TooDeep", str(error)
+        except UnicodeDecodeError as error:
+            return [], "NoUtf8", str(error)
+        except (ValueError, expat.ExpatError) as error:
+            return [], "Malformed", str(error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for kind, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                try:
-                    found.append(parse_values(xml_value(content) if kind == "xml" else json.loads(content, parse_constant=_constant)))
-                except (ValueError, expat.ExpatError, RecursionError):
-                    found.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(VALUE))], ["doc_id", "values"])
+            for doc, kind, content in zip(*batch.columns):
+                found, error, message = parse(kind.as_py(), content.as_py() or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.string()), pa.array([found], pa.list_(VALUE)), pa.array([error], pa.string()), pa.array([message], pa.string())], ["doc_id", "values", "error_class", "message"])
 
     parsed = files.select("doc_id", "doc_format", "content").mapInArrow(run, SCHEMA)
-    return parsed.select("doc_id", F.explode("values").alias("v")).select("doc_id", "v.*")
+    return parsed.select("doc_id", "error_class", "message", F.explode_outer("values").alias("v")).select("doc_id", "v.*", "error_class", "message")
 
 
 def value_blocks(files: DataFrame) -> DataFrame:
-    """Files -> blocks: a heading a key, runs of scalars as paragraphs, arrays as lists, tables or items."""
-    v = stored(values(files), "values")
+    return blocks_of_values(stored(values(files), "values"))
+
+
+def blocks_of_values(found: DataFrame) -> DataFrame:
+    """Values -> blocks: a heading a key, runs of scalars as paragraphs, arrays as lists, tables or items."""
+    v = found.where("error_class is null").drop("error_class", "message")
     keys = ["doc_id", "pre"]
     scalar = F.col("kind").isin("string", "scalar")
     # What an array's items are, and whether it makes a table.

@@ -52,6 +52,32 @@ def test_a_table_with_every_label_is_trained(spark):
     assert {r.doc_id for r in out if r.predicted == 1} == {i for i in range(0, 200, 4)}
 
 
+@pytest.mark.parametrize("labelled", [0.1, 0.4, 1.0])
+def test_the_prior_holds_whatever_share_is_labelled(spark, labelled):
+    """Words overlap, so a wrong prior would push clean texts over the line, or toxic ones under it."""
+    rng = np.random.default_rng(7)
+    common, vile = [f"w{i}x" for i in range(300)], [f"v{i}x" for i in range(12)]
+    rows, truth = [], {}
+    for i in range(4000):
+        truth[i] = int(rng.random() < 0.12)
+        words = list(rng.choice(common, 25)) + list(rng.choice(vile, rng.integers(2, 5) if truth[i] else int(rng.random() < 0.1)))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [(i, truth[i]) for i in range(3000) if rng.random() < labelled]
+    model = train(docs.where("doc_id < 3000"), spark.createDataFrame(known, "doc_id long, toxic int"))
+    out = {r.doc_id: r.predicted for r in score(docs, model).where("doc_id >= 3000").collect()}
+    hit = np.mean([out[i] == truth[i] for i in out])
+    wrong = np.mean([out[i] for i in out if not truth[i]])
+    assert hit > 0.95 and wrong < 0.05
+
+
+def test_positive_labels_alone(spark):
+    rows = [(i, f"good words here {i}" + (" vile filth" if i % 20 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = score(docs, train(docs, spark.createDataFrame([(i, 1) for i in range(0, 200, 20)], "doc_id long, toxic int"))).collect()
+    assert {r.doc_id for r in out if r.predicted == 1} == set(range(0, 400, 20))
+
+
 def test_without_one_of_the_sets_the_prior_is_left():
     w, b = fit_nnpu([], [np.array([0])], 3, 0.2)
     assert not w.any() and 1 / (1 + np.exp(-b)) == pytest.approx(0.2)
@@ -87,5 +113,6 @@ def test_held_out_accuracy(spark):
     rows = out.join(labels, "doc_id").where("held_out").select("score", "toxic", "predicted").toPandas()
     assert len(rows) > 100 and rows["score"].between(0, 1).all()
     assert auc(rows["score"], rows["toxic"]) > 0.95
-    assert (rows["predicted"] == rows["toxic"]).mean() > 0.95
+    assert (rows["predicted"] == rows["toxic"]).mean() > 0.95 > (rows["toxic"] == 0).mean()
+    assert rows["predicted"][rows["toxic"] == 0].mean() < 0.05
     assert out.count() == spark.read.parquet(f"{folder}/documents.parquet").count()

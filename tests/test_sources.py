@@ -3,6 +3,7 @@
 import io
 import json
 import zipfile
+from xml.parsers import expat
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from inkspan.functions.text import a1_range
 from inkspan.operators.render import to_chunks, to_markdown
 from inkspan.sources import reader
-from inkspan.sources.files import parse_nodes, with_format
+from inkspan.sources.files import node_slices, with_format
 from inkspan.sources.formats import format_of
 
 PNG = bytes.fromhex("89504e470d0a1a0a0000000d49484452000000010000000108060000001f15c4890000000a49444154789c6360000002000150a0f53a0000000049454e44ae426082")
@@ -214,4 +215,6 @@ def test_errors_are_rows(spark):
 
 
 def test_malformed_xml_has_no_nodes():
-    assert parse_nodes(b"<a><b></a>") == [] and [n["tag"] for n in parse_nodes(b"<x:a><b>t</b></x:a>")] == ["a", "b", "#text"]
+    with pytest.raises(expat.ExpatError):
+        next(node_slices(b"<a><b></a>"))
+    assert [x for columns in node_slices(b"<x:a><b>t</b></x:a>", 1) for x in columns[2].to_pylist()] == ["a", "b", "#text"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkspan.functions.numbers import emu_to_pixels, length_to_pixels
 from inkspan.functions.text import trim_ws, unit_of_format, with_unit
 from inkspan.operators import graph
+from inkspan.session import stored
 from inkspan.sources.files import ancestor, attr, under
 
 SHAPES, GROUPS = ("sp", "wsp", "cxnSp", "pic"), ("grpSp", "wgp", "wpc")
@@ -104,7 +105,8 @@ def ooxml_graph(nodes: DataFrame, keys: Sequence[str], pictures: DataFrame | Non
     missing. connectors: keys, connectors. pictures: keys' entry, rid -> image_id, filename. On slides a line counts
     if it has an arrow, and edges point forward; in texts only connectors make a diagram, and lines keep their arrow.
     """
-    shapes = ooxml_shapes(nodes, keys, any_end=word).join(shape_texts(nodes, keys), [*keys, "pre"], "left")
+    # Shapes, nodes and edges are each used many times over; stored, they keep the plans behind them small.
+    shapes = stored(ooxml_shapes(nodes, keys, any_end=word).join(shape_texts(nodes, keys), [*keys, "pre"], "left"), "shapes")
     known = shapes.where("node_id is not null and x is not null and y is not null and w is not null and h is not null")
     texts = known.where(F.col("tag").isin("sp", "wsp") & F.col("lines").isNotNull())
     texts = texts.where(F.coalesce("preset", F.lit("")) != "line") if word else texts
@@ -115,6 +117,7 @@ def ooxml_graph(nodes: DataFrame, keys: Sequence[str], pictures: DataFrame | Non
         pics = known.where("tag = 'pic'").join(pictures, ["doc_id", "entry", "rid"])
         name = F.coalesce(F.when(trim_ws("alt") != "", trim_ws("alt")), "filename", F.lit("image"))
         found = found.unionByName(pics.select(*keys, F.col("pre").alias("ord"), "node_id", name.alias("label"), F.lit("image").alias("kind"), F.lit("rect").alias("shape"), *place, "image_id"))
+    found = stored(found, "drawn_nodes")
     joins = shapes.where("tag = 'cxnSp'").select(*keys, "pre", "from_id", "to_id", F.col("words").alias("label"), F.lit("forward").alias("direction"))
     arrows = F.when(F.col("head") & F.col("tail"), "both").when(F.col("head"), "forward" if word else "reverse").when(F.col("tail"), "reverse" if word else "forward").otherwise("none")
     drawn = shapes.where("preset = 'line' and tag in ('sp', 'wsp') and x is not null and w is not null").select(
@@ -131,7 +134,7 @@ def ooxml_graph(nodes: DataFrame, keys: Sequence[str], pictures: DataFrame | Non
         more = loose.select(*keys, a.alias("from_id"), b.alias("to_id"), "label", F.lit("forward").alias("direction"))
         back = loose.where("arrow = 'both'").select(*keys, F.col("end_id").alias("from_id"), F.col("start_id").alias("to_id"), "label", F.lit("forward").alias("direction"))
         more = more.unionByName(back)
-    edges = joins.drop("pre").unionByName(more)
+    edges = stored(joins.drop("pre").unionByName(more), "drawn_edges")
     counted = joins.select(*keys) if word else joins.select(*keys).unionByName(drawn.select(*keys))
     return {"nodes": found, "edges": edges, "connectors": counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("connectors")), "shapes": shapes}
 
@@ -158,6 +161,7 @@ def odf_graph(nodes: DataFrame, keys: Sequence[str], styles: DataFrame, pictures
     label = F.when(F.col("image_id").isNotNull(), F.concat(F.lit("office-image:"), "image_id")).otherwise(F.col("label"))
     kind = F.when(F.col("image_id").isNotNull(), "image").otherwise("text")
     found = full.select(*keys, F.col("pre").alias("ord"), number.alias("node_id"), "odf_id", label.alias("label"), kind.alias("kind"), mapped(F.col("_type"), ODF_TYPES).alias("shape"), "x", "y", "w", "h", "image_id")
+    found = stored(found, "drawn_nodes")
     there = lambda c: ~F.lower(trim_ws(F.coalesce(attr(c), F.lit("")))).isin("", "none")
     lines = nodes.where(F.col("tag").isin("connector", "line")).select(
         *keys, "pre", attr("start-shape").alias("_from"), attr("end-shape").alias("_to"), *[own(c).alias(c) for c in ("x1", "y1", "x2", "y2")],
@@ -172,7 +176,7 @@ def odf_graph(nodes: DataFrame, keys: Sequence[str], styles: DataFrame, pictures
     placed = lines.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null and (from_named is null or to_named is null)")
     near = snapped(placed.select(*keys, "pre", "x1", "y1", "x2", "y2"), found, keys).select(*keys, "pre", "start_id", "end_id")
     edges = lines.join(near, [*keys, "pre"], "left").select(*keys, F.coalesce("from_named", "start_id").alias("from_id"), F.coalesce("to_named", "end_id").alias("to_id"), "label", "direction")
-    edges = edges.where("from_id is null or to_id is null or from_id <> to_id")
+    edges = stored(edges.where("from_id is null or to_id is null or from_id <> to_id"), "drawn_edges")
     return {"nodes": found.drop("odf_id"), "edges": edges, "connectors": lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("connectors"))}
 
 
@@ -248,7 +252,8 @@ def charts(nodes: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*key, "_cache").orderBy("_pt")) - 1
     points = points.withColumn("idx", F.coalesce("_idx", place))
     shown = c.where((F.col("tag") == "#text") & (parent == "v") & under("pt")).groupBy(*key, ancestor("pt").alias("_pt")).agg(first_of(F.lit(True), text).alias("value"))
-    points = points.join(shown, [*key, "_pt"]).where("value is not null").join(series.select(*key, "_s", "series_no"), [*key, "_s"])
+    series = stored(series, "series")
+    points = stored(points.join(shown, [*key, "_pt"]).where("value is not null").join(series.select(*key, "_s", "series_no"), [*key, "_s"]), "points")
     values = points.where(~F.col("_cat")).select(*key, "series_no", "idx", F.col("value").try_cast("double").alias("value")).where("value is not null")
     names = points.where("_cat").groupBy(*key, "idx").agg(F.min_by("value", F.struct("series_no", "_pt")).alias("category"))
     columns = names.select(*key, "idx").unionByName(values.select(*key, "idx")).distinct().join(names.select(*key).distinct(), key, "left_semi")
@@ -264,7 +269,7 @@ def charts(nodes: DataFrame) -> DataFrame:
     out = heads.join(top, key, "left").join(body, key, "left").join(units, key, "left")
     note = F.concat(F.lit("Note: "), F.coalesce(F.concat("chart_type", F.lit(" chart")), F.lit("chart")), F.when(F.size("_u") == 1, F.concat(F.lit("; units: "), F.element_at("_u", 1))).when(F.size("_u") > 1, F.concat(F.lit("; units: "), "_pairs")).otherwise(""))
     rows = F.when(F.col("_top").isNotNull() & F.col("_body").isNotNull(), F.concat(F.array("_top"), "_body"))
-    return out.select("doc_id", F.col("entry").alias("part"), "title", "chart_type", F.coalesce(note, F.lit("Note: chart")).alias("note"), rows.alias("rows"))
+    return stored(out.select("doc_id", F.col("entry").alias("part"), "title", "chart_type", F.coalesce(note, F.lit("Note: chart")).alias("note"), rows.alias("rows")), "charts")
 
 
 def chart_blocks(places: DataFrame, found: DataFrame) -> DataFrame:

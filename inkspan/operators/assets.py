@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import base_name, image_id, safe_file_name, type_extension
+from inkspan.operators.numbering import running
 
 
 def first_copies(images: DataFrame, keys, order, data: str = "bytes") -> DataFrame:
@@ -16,13 +19,14 @@ def first_copies(images: DataFrame, keys, order, data: str = "bytes") -> DataFra
 
 def asset_names(images: DataFrame, keys, order) -> DataFrame:
     """Adds asset_name: the safe base name, else image_<no>_<hash>.<ext>; a name's later uses get a number before it."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = images.withColumn("image_no", F.row_number().over(w))
+    numbered = running(images, keys, order, "image_no")
     four = lambda n: F.when(n > 9999, n.cast("string")).otherwise(F.lpad(n.cast("string"), 4, "0"))
     own = base_name(F.coalesce("filename", F.lit("")))
     made = F.concat(F.lit("image_"), four(F.col("image_no")), F.lit("_"), F.substring(F.regexp_replace("image_id", "^sha256:", ""), 1, 12), F.lit("."), type_extension("content_type"))
     named = numbered.withColumn("_name", F.when(own == "", made).otherwise(safe_file_name(own)))
-    again = F.row_number().over(Window.partitionBy(*keys, "_name").orderBy("image_no"))
-    return named.withColumn("_again", again).withColumn(
-        "asset_name", F.when(F.col("_again") == 1, F.col("_name")).otherwise(F.concat(four(F.col("image_no")), F.lit("_"), "_name"))
-    ).drop("_name", "_again")
+    # The first use of a name is its least number, which every task finds among its own rows before they move.
+    firsts = named.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_name").alias("_own")).agg(F.min("image_no").alias("_first"))
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    used = named.join(firsts, reduce(lambda a, b: a & b, same, F.col("_name") == F.col("_own")))
+    name = F.when(F.col("image_no") == F.col("_first"), F.col("_name")).otherwise(F.concat(four(F.col("image_no")), F.lit("_"), "_name"))
+    return used.select(*[F.col(f"`{c}`") for c in numbered.columns], name.alias("asset_name"))

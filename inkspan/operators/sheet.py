@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.numbers import is_number
 from inkspan.functions.text import column_index, column_name, comparable, trim_ws
+from inkspan.operators.numbering import running
 
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -29,10 +30,10 @@ def is_empty(cells: DataFrame) -> Column:
 def head_tail(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], most: int, tail: int) -> DataFrame:
     """The first and last rows of each group, ``most`` in all; adds actual_row (from 1) and sample_row."""
     last = min(tail, most // 2)
-    w = Window.partitionBy(*keys)
-    numbered = rows.withColumn("actual_row", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    kept = numbered.where((F.col("actual_row") <= most - last) | (F.col("actual_row") > F.col("_n") - last) | (F.col("_n") <= most))
-    return kept.withColumn("sample_row", F.row_number().over(w.orderBy("actual_row"))).drop("_n")
+    row, n = F.col("actual_row"), F.col("_n")
+    kept = running(rows, keys, order, "actual_row", "_n").where((row <= most - last) | (row > n - last) | (n <= most))
+    # What is left out lies between head and tail, so a row of the tail moves up by that much.
+    return kept.withColumn("sample_row", F.when((row <= most - last) | (n <= most), row).otherwise(row - n + most)).drop("_n")
 
 
 def row_regions(filled: DataFrame, keys: Sequence[str], row: str = "r", gap: int = 1) -> DataFrame:
@@ -168,10 +169,14 @@ def key_segments(rows: DataFrame, keys: Sequence[str], order: str | Sequence[str
     return out.withColumn("segment_key", F.first(raw, True).over(inside)).drop("_k", "_new")
 
 
+def cap_window(number: Column, cap: int) -> Column:
+    """The run of ``cap`` rows (from 0) that a row number (from 1) falls in; a cap of 0 puts all in one."""
+    return (F.floor((number - 1) / cap) if cap > 0 else F.lit(0)).cast("long")
+
+
 def cap_windows(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cap: int) -> DataFrame:
-    """Adds window (from 0): runs of ``cap`` rows; 0 puts all in one."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("window", (F.floor((n - 1) / cap) if cap > 0 else F.lit(0)).cast("long"))
+    """Adds window: the cap_window of each row in its group, which may be of any size."""
+    return running(rows, keys, order, "_number").withColumn("window", cap_window(F.col("_number"), cap)).drop("_number")
 
 
 def row_segments(rows: DataFrame, keys: Sequence[str], cap: int = 500) -> DataFrame:

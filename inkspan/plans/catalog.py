@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import numbers as N
 from inkspan.functions import text as T
-from inkspan.operators import assets, graph, layout, render, sheet, trees
+from inkspan.operators import assets, graph, layout, numbering, render, sheet, trees
 from inkspan.plans import document_text, drawing_queries, reader_queries
 from inkspan.session import table
 from inkspan.sources.formats import MIME_TYPES, format_of
@@ -431,10 +431,10 @@ def chart_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT user_id, max(CASE reason WHEN 'connectors' THEN 0.95::DOUBLE WHEN 'chart' THEN 0.9 WHEN 'smartart' THEN 0.9 WHEN 'groups' THEN 0.8 ELSE 0.7 END) AS score, list_sort(list(DISTINCT reason)) AS reasons
-FROM (SELECT user_id, ['connectors', 'chart', 'smartart', 'groups', 'images'][(event_id % 5)::INT + 1] AS reason FROM events WHERE event_type = 'error') GROUP BY 1""")
+FROM (SELECT user_id, ['connectors', 'chart', 'smartart', 'groups', 'images'][(event_id % 5)::INT + 1] AS reason FROM events) GROUP BY 1""")
 def slide_score(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("connectors", "chart", "smartart", "groups", "images")])
-    reasons = table(spark, sf, "events").where("event_type = 'error'").select("user_id", F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("reason"))
+    reasons = table(spark, sf, "events").select("user_id", F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("reason"))
     return graph.slide_scores(reasons, ["user_id"])
 
 
@@ -444,10 +444,9 @@ def slide_score(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 SELECT l_returnflag, round(coalesce(median(CASE WHEN l_quantity > 10 THEN l_quantity END), 12.0), 6) AS body_size, round(median(l_extendedprice), 6) AS overall FROM lineitem GROUP BY 1""")
 def median_font(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    return li.groupBy("l_returnflag").agg(
-        F.round(layout.positive_median(F.when(F.col("l_quantity") > 10, F.col("l_quantity"))), 6).alias("body_size"), F.round(layout.positive_median("l_extendedprice"), 6).alias("overall")
-    )
+    large = F.when(F.col("l_quantity") > 10, F.col("l_quantity"))
+    found = numbering.medians(table(spark, sf, "lineitem"), ["l_returnflag"], {"body_size": large, "overall": F.col("l_extendedprice")})
+    return found.select("l_returnflag", F.round("body_size", 6).alias("body_size"), F.round("overall", 6).alias("overall"))
 
 
 @query("""
@@ -579,9 +578,9 @@ def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_CHUNKS.replace("{n}", "2000")}
-SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT doc_id, chunk_no FROM w) JOIN documents USING (doc_id) WHERE lang = 'en' GROUP BY 1""")
+SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT doc_id, chunk_no FROM w) JOIN documents USING (doc_id) GROUP BY 1""")
 def chunks_per_source(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     chunks = render.to_chunks(document_text.paragraph_blocks(docs, "source"), 2000)
     return chunks.groupBy(F.split_part("doc_id", F.lit("/"), F.lit(1)).alias("source")).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("docs"))
 

@@ -129,7 +129,9 @@ def sheet_blocks(
         column = sheet.group_column(letters.withColumn("text", F.coalesce("text", F.lit(""))), table, group_by).withColumnRenamed("c", "_gc")
         by = placed.join(column, unit).where("c = _gc").select(*table, "r", F.col("text").alias("_key"), F.col("label").alias("_label"))
         runs = sheet.key_segments(lines.drop("segment", "segment_key", "label").join(by, [*table, "r"], "left"), [*table, "_p"], "r", "_key")
-        capped = sheet.cap_windows(runs, [*table, "_p", "segment"], ["r"], table_rows)
+        # A table has no more rows than a sheet's limit, so a window holds it.
+        in_run = F.row_number().over(Window.partitionBy(*table, "_p", "segment").orderBy("r"))
+        capped = runs.withColumn("window", sheet.cap_window(in_run, table_rows))
         number = F.dense_rank().over(Window.partitionBy(*table).orderBy("_p", "segment", "window"))
         lines = capped.withColumn("segment", number.cast("long")).withColumn("label", F.coalesce("_label", F.lit("")))
     lines = stored(lines.join(size, keys).select(*table, "first_column", "end_column", "r", to_actual(F.col("r")).alias("actual_row"), "segment", "segment_key", "label"), "lines")

@@ -20,9 +20,11 @@ MAIN_ENTRY = {
 }
 
 
-def parse(files: DataFrame, formats=SUPPORTED, **sheet_options) -> tuple[DataFrame, DataFrame]:
+def parse(files: DataFrame, formats=SUPPORTED, with_blocks: bool = True, **sheet_options) -> tuple[DataFrame | None, DataFrame]:
     """doc_id, doc_format, error_class, content rows -> blocks of all supported formats, and all errors.
 
+    ``with_blocks`` false plans and stores nothing that only blocks need, and gives None for them.
+
     Each file is decoded once: entries, nodes, cells and values are stored, and blocks and errors are read from there.
     Errors are rows of doc_id, entry, error_class and message. A file that is broken in part has errors and the blocks
     of its other parts.
@@ -36,19 +38,20 @@ def parse(files: DataFrame, formats=SUPPORTED, **sheet_options) -> tuple[DataFra
     for name in formats:
         own = good.where(F.col("doc_format") == name)
         if name in MAIN_ENTRY:
-            part, failed = _archives(own, name, sheet_options)
+            part, failed = _archives(own, name, with_blocks, sheet_options)
         elif name in ("json", "xml"):
             found = stored(values.values(own), "values")
-            part, failed = values.blocks_of_values(found), failures(found)
+            part, failed = with_blocks and values.blocks_of_values(found), failures(found)
         else:
             found = stored(delimited.cells(own), "records")
-            part, failed = delimited.sheet_blocks(found.where("error_class is null"), **sheet_options), failures(found)
-        blocks = part if blocks is None else blocks.unionByName(part)
+            part, failed = with_blocks and delimited.sheet_blocks(found.where("error_class is null"), **sheet_options), failures(found)
+        if with_blocks:
+            blocks = part if blocks is None else blocks.unionByName(part)
         errors = errors.unionByName(failed)
     return blocks, errors
 
 
-def _archives(own: DataFrame, name: str, sheet_options: dict) -> tuple[DataFrame, DataFrame]:
+def _archives(own: DataFrame, name: str, with_blocks: bool, sheet_options: dict) -> tuple[DataFrame | None, DataFrame]:
     unzipped = office.entries(own)
     parsed = office.parsed(unzipped)
     failed = failures(parsed).unionByName(failures(unzipped.where(F.col("entry").isNotNull() & ~F.rlike("entry", F.lit(office.XML_ENTRY)))))
@@ -56,6 +59,8 @@ def _archives(own: DataFrame, name: str, sheet_options: dict) -> tuple[DataFrame
     missing = own.join(main, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("string").alias("entry"), F.lit("MissingEntry").alias("error_class"), F.lit(MAIN_ENTRY[name]).alias("message"))
     failed = failed.unionByName(missing)
     nodes = parsed.where("error_class is null").drop("error_class", "message")
+    if not with_blocks and name in (*ARCHIVE_BLOCKS, *SHEETS):
+        return None, failed
     if name in ARCHIVE_BLOCKS:
         return ARCHIVE_BLOCKS[name](nodes, office.images(unzipped)), failed
     if name in SHEETS:
@@ -74,4 +79,4 @@ def read_blocks(spark: SparkSession, path: str, formats=SUPPORTED, **sheet_optio
 
 def errors(files: DataFrame, formats=SUPPORTED, **sheet_options) -> DataFrame:
     """doc_id, entry, error_class, message of what no reader takes or can read."""
-    return parse(files, formats, **sheet_options)[1]
+    return parse(files, formats, with_blocks=False, **sheet_options)[1]

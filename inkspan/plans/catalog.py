@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from inkspan.functions import numbers as N
 from inkspan.functions import text as T
 from inkspan.operators import assets, graph, layout, numbering, render, sheet, trees
-from inkspan.plans import document_text, drawing_queries, reader_queries
+from inkspan.plans import document_text, drawing_queries, reader_queries, stream_queries
 from inkspan.session import table
 from inkspan.sources.formats import MIME_TYPES, format_of
 
-QUERIES: dict = reader_queries.QUERIES | drawing_queries.QUERIES
-ORACLES: dict = reader_queries.ORACLES | drawing_queries.ORACLES
+QUERIES: dict = reader_queries.QUERIES | drawing_queries.QUERIES | stream_queries.QUERIES
+ORACLES: dict = reader_queries.ORACLES | drawing_queries.ORACLES | stream_queries.ORACLES
 
 #: Characters that the SQL side must trim and collapse like WS in inkspan.functions.text.
 SQL_WS = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

@@ -32,6 +32,25 @@ def tree_stats(flat: DataFrame) -> DataFrame:
     return flat.groupBy("doc_id").agg(F.count(F.lit(1)).alias("node_count"), F.max("depth").alias("max_depth"))
 
 
+def nested_json(flat: DataFrame) -> DataFrame:
+    """What flatten gives -> doc_id, node_id, json of each root: {"title": ..., "children": [...]}, a null title as null.
+
+    Children's texts are folded into their parents level by level from the deepest; a level is stored, and only
+    the one below it is read with it. Children go by ord, then node_id. A node_id stands for one node of its doc_id.
+    """
+    nodes = stored(flat.select("doc_id", "node_id", "parent_id", "ord", "title", F.size("path").alias("_level")), "nodes")
+    title = F.to_json(F.struct("title"), {"ignoreNullFields": "false"})
+    below = made = None
+    for level in range(nodes.agg(F.coalesce(F.max("_level"), F.lit(1))).first()[0], 0, -1):
+        own = nodes.where(F.col("_level") == level)
+        own = own.withColumn("_inner", F.lit("")) if below is None else own.join(below, ["doc_id", "node_id"], "left")
+        text = F.concat(F.substring(title, F.lit(1), F.length(title) - 1), F.lit(',"children":['), F.coalesce("_inner", F.lit("")), F.lit("]}"))
+        made = stored(own.select("doc_id", "node_id", "parent_id", "ord", text.alias("json")), "json")
+        listed = F.array_sort(F.collect_list(F.struct("ord", "node_id", "json")))
+        below = made.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(listed, lambda x: x["json"]), ",").alias("_inner"))
+    return made.select("doc_id", "node_id", "json")
+
+
 def tree_blocks(flat: DataFrame) -> DataFrame:
     """The root as a heading, the rest as one unordered list."""
     title = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "Untitled").otherwise(F.trim("title"))

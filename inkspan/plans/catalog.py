@@ -398,27 +398,40 @@ def mermaid_text(spark: SparkSession, sf: str) -> DataFrame:
     return graph.mermaid(nodes, edges, ["k"]).select("mermaid")
 
 
-@query("""
-WITH RECURSIVE n AS (SELECT 'R' || r_regionkey AS id, NULL AS parent, r_regionkey::INT AS ord, r_name AS title FROM region UNION ALL
-  SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_nationkey::INT, n_name FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, c_custkey::INT, c_name FROM customer),
- t AS (SELECT id, title, 0 AS depth, lpad(ord::VARCHAR, 8, '0') AS path FROM n WHERE parent IS NULL UNION ALL
-  SELECT n.id, n.title, t.depth + 1, t.path || '.' || lpad(n.ord::VARCHAR, 8, '0') FROM n JOIN t ON n.parent = t.id)
-SELECT id AS node_id, title, depth, path FROM t""")
-def tree_flatten(spark: SparkSession, sf: str) -> DataFrame:
+def places(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions, nations and customers as a forest."""
     r, n, c = (table(spark, sf, x) for x in ("region", "nation", "customer"))
     node = lambda df, p, k, parent, title: df.select(
         F.lit(1).alias("doc_id"), F.concat(F.lit(p), k).alias("node_id"), parent.alias("parent_id"), F.col(k).cast("int").alias("ord"), F.col(title).alias("title")
     )
-    nodes = (
+    return (
         node(r, "R", "r_regionkey", F.lit(None).cast("string"), "r_name")
         .unionByName(node(n, "N", "n_nationkey", F.concat(F.lit("R"), "n_regionkey"), "n_name"))
         .unionByName(node(c, "C", "c_custkey", F.concat(F.lit("N"), "c_nationkey"), "c_name"))
     )
-    flat = trees.flatten(nodes)
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT 'R' || r_regionkey AS id, NULL AS parent, r_regionkey::INT AS ord, r_name AS title FROM region UNION ALL
+  SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_nationkey::INT, n_name FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, c_custkey::INT, c_name FROM customer),
+ t AS (SELECT id, title, 0 AS depth, lpad(ord::VARCHAR, 8, '0') AS path FROM n WHERE parent IS NULL UNION ALL
+  SELECT n.id, n.title, t.depth + 1, t.path || '.' || lpad(n.ord::VARCHAR, 8, '0') FROM n JOIN t ON n.parent = t.id)
+SELECT id AS node_id, title, depth, path FROM t""")
+def tree_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    flat = trees.flatten(places(spark, sf))
     path = F.array_join(F.transform("path", lambda p: F.lpad(p.cast("string"), 8, "0")), ".")
     return flat.select("node_id", "title", "depth", path.alias("path"))
 
 
+@query("""
+WITH c AS (SELECT c_nationkey AS k, string_agg('{"title":' || to_json(c_name)::VARCHAR || ',"children":[]}', ',' ORDER BY c_custkey) AS j FROM customer GROUP BY 1),
+ n AS (SELECT n_regionkey AS k, string_agg('{"title":' || to_json(n_name)::VARCHAR || ',"children":[' || coalesce(j, '') || ']}', ',' ORDER BY n_nationkey) AS j
+ FROM nation LEFT JOIN c ON n_nationkey = k GROUP BY 1)
+SELECT 'R' || r_regionkey AS node_id, '{"title":' || to_json(r_name)::VARCHAR || ',"children":[' || coalesce(j, '') || ']}' AS json FROM region LEFT JOIN n ON r_regionkey = k""")
+def tree_json(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.nested_json(trees.flatten(places(spark, sf))).select("node_id", "json")
+
+
 @query("""
 WITH s AS (SELECT o_orderpriority AS series, o_orderstatus AS category, count(*) AS v FROM orders GROUP BY 1, 2)
 SELECT series, list(v::VARCHAR ORDER BY category) AS cells FROM s GROUP BY 1""")

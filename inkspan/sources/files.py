@@ -97,12 +97,16 @@ NODES = 20_000
 
 
 class Nodes:
-    """Elements and texts of an XML entry in document order, held as columns; take() empties them."""
+    """Elements and texts of an XML entry in document order, held as columns; take() empties them.
+
+    The parser hands on a text in pieces, where its input or its buffer ends. They wait for the next tag and are one node.
+    """
 
     TYPES = {"pre": pa.int32(), "parent": pa.int32(), "tag": pa.string(), "text": pa.string()}
 
     def __init__(self):
         self.open: list[tuple[int, str]] = []
+        self.pieces: list[str] = []
         self.made = 0
         self.clear()
 
@@ -124,7 +128,17 @@ class Nodes:
         self.made += 1
         return self.made - 1
 
+    def end_text(self) -> None:
+        if self.pieces:
+            self.add("#text", "".join(self.pieces), {})
+            self.pieces = []
+
+    def end(self, _: str) -> None:
+        self.end_text()
+        self.open.pop()
+
     def start(self, name: str, attrs: dict) -> None:
+        self.end_text()
         # xmlns declarations carry no content; a clash of local names keeps the first.
         own: dict[str, str] = {}
         for k, v in attrs.items():
@@ -150,8 +164,8 @@ def node_slices(data: bytes, size: int = NODES) -> Iterator[list[pa.Array]]:
     expat.ParserCreate().Parse(data, True)
     nodes, parser = Nodes(), expat.ParserCreate()
     parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler = nodes.start, lambda _: nodes.open.pop()
-    parser.CharacterDataHandler = lambda value: nodes.add("#text", value, {})
+    parser.StartElementHandler, parser.EndElementHandler = nodes.start, nodes.end
+    parser.CharacterDataHandler = lambda value: nodes.pieces.append(value)
     step = 1 << 16
     for lo in range(0, len(data), step):
         parser.Parse(data[lo : lo + step], False)

@@ -218,3 +218,11 @@ def test_malformed_xml_has_no_nodes():
     with pytest.raises(expat.ExpatError):
         next(node_slices(b"<a><b></a>"))
     assert [x for columns in node_slices(b"<x:a><b>t</b></x:a>", 1) for x in columns[2].to_pylist()] == ["a", "b", "#text"]
+
+
+def test_a_text_is_one_node_wherever_the_input_is_cut():
+    names = [f"Name {i} \u00e9 &amp; Co." for i in range(6000)]
+    long = "word " * 40_000
+    data = f"<a>{''.join(f'<b>{x}</b>' for x in names)}<c>{long}<!-- a note -->end</c></a>".encode()
+    texts = [t for columns in node_slices(data, 1000) for t in columns[3].to_pylist() if t is not None]
+    assert texts == [x.replace("&amp;", "&") for x in names] + [long + "end"]

@@ -108,6 +108,6 @@ def same_as_sql(spark, folder, name, suppliers):
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["read_csv", "read_diagrams", "read_odp", "read_ods", "read_xlsx", "stream_blocks"])
+@pytest.mark.parametrize("name", ["read_csv", "read_diagrams", "read_odp", "read_ods", "read_xlsx", "stream_blocks", "read_charts"])
 def test_a_long_file_is_read_as_its_sql_says(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, name, 21_000 if name == "read_csv" else 1200)

@@ -8,31 +8,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import mermaid_label
+from inkspan.session import stored
 
 RADIUS = 120.0
-#: Cells of this side hold the nodes; an end looks at its own cell and the eight around it.
-CELL = RADIUS
+#: Places that the smallest cells of a search for the nearest node hold at most, and how often a radius is halved for that.
+CROWD, MOST_HALVINGS = 32, 24
 ARROWS = {"none": "---", "forward": "-->", "backward": "<--", "both": "<-->"}
 REASON_WEIGHTS = {"connectors": 0.95, "chart": 0.9, "smartart": 0.9, "groups": 0.8}
 OTHER_WEIGHT = 0.7
 
 
+def _cell(value: str, side: Column) -> Column:
+    return F.floor(F.col(value) / side)
+
+
+def _halvings(places: DataFrame, keys: Sequence[str], radius: float) -> int:
+    """How often the radius is halved until no cell of that side holds more than CROWD places."""
+    tried = places.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in range(0, MOST_HALVINGS + 1, 2)])))
+    side = F.lit(radius) / F.pow(F.lit(2.0), F.col("_level"))
+    held = tried.groupBy(*keys, "_level", _cell("cx", side).alias("_gx"), _cell("cy", side).alias("_gy")).agg(F.count(F.lit(1)).alias("_n"))
+    most = {r["_level"]: r["_m"] for r in held.groupBy("_level").agg(F.max("_n").alias("_m")).collect()}
+    return min((x for x, n in most.items() if n <= CROWD), default=MOST_HALVINGS if most else 0)
+
+
 def snap(points: DataFrame, nodes: DataFrame, keys: Sequence[str], point: str, radius: float = RADIUS, others: bool = False) -> DataFrame:
     """Each point's nearest node within ``radius`` (inclusive), the first in order on ties.
 
-    points: keys, point id, x, y. nodes: keys, ord, node_id, cx, cy. An equi-join on keys and grid cell, so no
-    point meets all nodes: a node within the radius lies in one of nine cells. With ``others``, points are
-    nodes themselves and do not snap to their own id.
+    points: keys, point id, x, y. nodes: keys, ord, node_id, cx, cy. With ``others``, points are nodes themselves
+    and do not snap to their own id.
+
+    Nodes at one place are one row. An equi-join on keys and grid cell lets a point meet the nodes of nine cells,
+    which hold all within a cell's side. Crowded nodes have small cells first: what finds a node within the side is
+    done, and the others look again in cells twice as wide, up to the radius. A point that is still looking has no
+    node within half the side, so it meets few.
     """
-    cell = lambda v: F.floor(F.col(v) / F.lit(float(radius)))
+    keys = list(keys)
+    finite = lambda x, y: (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+    ids = nodes.where(finite("cx", "cy"))
+    place = [*keys, "cx", "cy"]
+    if others:
+        # The second at a place is for the point that is the first.
+        ids = ids.groupBy(*place, "node_id").agg(F.min("ord").alias("ord"))
+        ids = ids.withColumn("_i", F.row_number().over(Window.partitionBy(*place).orderBy("ord", "node_id"))).where("_i <= 2")
+        at = lambda i: F.min(F.when(F.col("_i") == i, F.struct("ord", "node_id")))
+        places = ids.groupBy(*place).agg(at(1).alias("_first"), at(2).alias("_second"))
+        node = F.when(F.col("_first.node_id") == F.col(point), F.col("_second")).otherwise(F.col("_first"))
+    else:
+        places = ids.groupBy(*place).agg(F.min(F.struct("ord", "node_id")).alias("_first"))
+        node = F.col("_first")
+    places = stored(places, "places")
+    rest = points.where(finite("x", "y") & F.col(point).isNotNull()).select(*keys, point, "x", "y")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    p = points.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-    p = p.withColumns({"_gx": cell("x") + F.col("_dx"), "_gy": cell("y") + F.col("_dy")}).drop("_dx", "_dy")
-    n = nodes.withColumns({"_gx": cell("cx"), "_gy": cell("cy")})
-    met = p.join(n, [*keys, "_gx", "_gy"]).withColumn("distance", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
-    met = met.where(F.col(point) != F.col("node_id")) if others else met
-    best = F.min(F.struct("distance", "ord", "node_id")).alias("_b")
-    return met.where(F.col("distance") <= radius).groupBy(*keys, point).agg(best).select(*keys, point, "_b.node_id", "_b.distance")
+    out = None
+    for level in range(_halvings(places, keys, float(radius)), -1, -1):
+        reach = float(radius) / 2**level
+        side = F.lit(reach * (1 + 1e-9))  # so that rounding puts no node within reach beyond the next cell
+        p = rest.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
+        p = p.withColumns({"_gx": _cell("x", side) + F.col("_dx"), "_gy": _cell("y", side) + F.col("_dy")}).drop("_dx", "_dy")
+        met = p.join(places.withColumns({"_gx": _cell("cx", side), "_gy": _cell("cy", side)}), [*keys, "_gx", "_gy"])
+        met = met.withColumns({"distance": F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), "_node": node}).where((F.col("distance") <= reach) & F.col("_node").isNotNull())
+        best = F.min(F.struct("distance", "_node.ord", "_node.node_id")).alias("_b")
+        found = met.groupBy(*keys, point).agg(best).select(*keys, point, "_b.node_id", "_b.distance")
+        if level:
+            found = stored(found, "snapped")
+            rest = stored(rest.join(found.select(*keys, point), [*keys, point], "left_anti"), "unsnapped")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def join_ends(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import duckdb
 import pytest
 
+from inkspan.operators import graph
 from inkspan.plans import catalog
 
 
@@ -111,3 +112,22 @@ def same_as_sql(spark, folder, name, suppliers):
 @pytest.mark.parametrize("name", ["read_csv", "read_diagrams", "read_odp", "read_ods", "read_xlsx", "stream_blocks", "read_charts"])
 def test_a_long_file_is_read_as_its_sql_says(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, name, 21_000 if name == "read_csv" else 1200)
+
+
+def test_crowded_nodes_have_small_cells(spark):
+    """Clusters of unlike density, copies at one place and points on their own; each finds what a search of all pairs finds."""
+    spots = [(i % 30 * 0.4, i // 30 * 0.4) for i in range(600)] + [(50.0, 50.0)] * 40 + [(130.0 + 110 * i, 300.0) for i in range(5)] + [(5000.0, 5000.0)]
+    rows = [(1, i, i, x, y) for i, (x, y) in enumerate(spots)]
+    nodes = spark.createDataFrame(rows, "k int, ord int, node_id long, cx double, cy double")
+    points = nodes.selectExpr("k", "node_id as id", "cx as x", "cy as y")
+    assert graph._halvings(nodes.select("k", "cx", "cy").distinct(), ["k"], 120.0) > 4
+    for others in (False, True):
+        want = {}
+        for i, (x, y) in enumerate(spots):
+            best = min((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, (u, v) in enumerate(spots) if not (others and i == j))
+            if best[0] <= 120:
+                want[i] = round(best[0], 6)
+        got = {r["id"]: (r["node_id"], r["distance"]) for r in graph.snap(points, nodes, ["k"], "id", others=others).collect()}
+        assert {i: round(d, 6) for i, (_, d) in got.items()} == want
+        first = lambda i: next(j for j in range(600, 640) if not (others and i == j))
+        assert all(got[i][0] == first(i) for i in range(600, 640))

@@ -6,7 +6,8 @@ chosen so that the document is hit about k ln k + 2k times, however long it is.
 of k coordinates; the earliest on each is the document's signature, and two documents agree on a
 coordinate with the probability of their (weighted) Jaccard similarity.
 
-Classes are found in rounds, each of links that are checked exactly on the whole shingle sets:
+Classes are found in rounds, each of links that are checked exactly on the whole shingle sets, and each joins
+classes of the round before, so that later rounds handle few rows:
 1. Equal texts are one text, by digest; signatures, sets and links are those of texts, and doc_ids come in
    at the end.
 2. Signatures are banded. Texts that share a band are linked to the least of it - first to the least
@@ -36,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, shared_table, small_batches
-from inkspan.llm.components import components
+from inkspan.llm.common import shared_table, small_batches
+from inkspan.llm.components import components, jump
 from inkspan.llm.rolling import BASES, mix, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -151,22 +152,26 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold."""
+    """The pairs (a, b) whose shingle sets reach the threshold, with their other columns (longs)."""
+    names = pairs.columns
     of_a, of_b = (sets.select(F.col("_k").alias(c), F.col("_set").alias("_" + c)) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            a, b = batch.column("_a").to_pylist(), batch.column("_b").to_pylist()
             on = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in zip(a, b)]
-            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+            yield batch.select(names).filter(pa.array(on, pa.bool_()))
 
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    return pairs.join(of_a, "a").join(of_b, "b").select(*names, "_a", "_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(_k) and links -> _k, _class."""
-    roots = components(links)
-    return nodes.join(roots.withColumnRenamed("id", "_k"), "_k", "left").select("_k", F.coalesce("root", "_k").alias("_class"))
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """_k, _class after the classes that links (a, b) name have become one; the links are few, as classes meet, not texts."""
+    links = shared_table(links, "class_links")
+    if links.isEmpty():
+        return classes
+    joined = classes.join(components(links).withColumnRenamed("id", "_class"), "_class", "left")
+    return shared_table(joined.select("_k", F.coalesce("root", "_class").alias("_class")), "classes")
 
 
 class Block:
@@ -187,7 +192,7 @@ class Block:
 
 
 def stragglers(bands: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links that join different classes in one band.
+    """Links between classes that texts in one band make.
 
     Bands of one class drop out by an aggregate. In the others, members outside the largest class meet
     all members, BLOCK against BLOCK, by their shingle sets.
@@ -198,18 +203,19 @@ def stragglers(bands: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
         F.max(F.struct("_n", "_class"))["_class"].alias("_major"), F.sum("_n").alias("_all"),
         (F.sum("_n") - F.max("_n")).alias("_others"), F.count(F.lit(1)).alias("_kinds"),
     ).where("_kinds > 1")
+    mixed = shared_table(mixed, "mixed")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     members = placed.join(mixed, "_band").withColumns({"_left": blocks("_others"), "_right": blocks("_all"), "_outside": F.col("_class") != F.col("_major")})
     members = members.join(sets, "_k")
     spot = lambda n: F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
-    side = lambda df, out, i, j: df.select("_band", i.alias("_i"), j.alias("_j"), "_k", "_class", "_set", F.lit(out).alias("_out"))
+    side = lambda df, out, i, j: df.select("_band", i.alias("_i"), j.alias("_j"), "_class", "_set", F.lit(out).alias("_out"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = side(members.where("_outside"), True, spot("_left"), every("_right"))
     right = side(members, False, every("_left"), spot("_right"))
 
     def compare(block: pa.Table) -> pa.Table:
         """Links between classes, as a forest: classes that one link has joined are not compared again."""
-        keys, classes = block.column("_k").to_numpy(), block.column("_class").to_numpy()
+        classes = block.column("_class").to_numpy()
         out = block.column("_out").to_numpy()
         mine, theirs = np.flatnonzero(out), np.flatnonzero(~out)
         found: list[tuple[int, int]] = []
@@ -222,7 +228,7 @@ def stragglers(bands: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
                     continue
                 for y in theirs[posted.similarities(sets[x]) >= threshold]:
                     if root[x] != root[y]:
-                        found.append((max(keys[x], keys[y]), min(keys[x], keys[y])))
+                        found.append((max(classes[x], classes[y]), min(classes[x], classes[y])))
                         root[root == root[y]] = root[x]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -248,22 +254,24 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     banded = signatures.select("_k", F.explode("_bands").alias("_band"))
     shared = banded.groupBy("_band").agg(F.min("_k").alias("_hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     banded = shared_table(banded.join(shared.select("_band", "_hub"), "_band"), "bands")
-    nodes = cut(banded.select("_k").distinct())
+    # Each text that shares a band, with the least texts of its bands, itself left out: at most one a band.
+    hubs = banded.groupBy("_k").agg(F.collect_set("_hub").alias("_h"))
+    hubs = shared_table(hubs.select("_k", F.array_sort(F.array_remove("_h", F.col("_k"))).alias("_hubs")), "hubs")
     # One row a text, whatever ids hold it; copies are folded before they move.
-    once = known.groupBy("_d").agg(F.first("text").alias("text")).join(texts.select("_d", "_k").join(nodes, "_k", "left_semi"), "_d")
+    once = known.groupBy("_d").agg(F.first("text").alias("text")).join(texts.select("_d", "_k").join(hubs, "_k", "left_semi"), "_d")
     sets = shared_table(shingle_sets(once), "sets")
 
-    first = banded.where("_hub <> _k").groupBy(F.col("_k").alias("a")).agg(F.min("_hub").alias("b"))
-    links = cut(verify(first, sets, threshold))
-    classes = cut(_classes(nodes, links))
-    hubs = banded.where("_hub <> _k").select(F.col("_k").alias("a"), F.col("_hub").alias("b")).distinct()
+    # Each text has one link to a smaller one, so the links are a forest already.
+    first = hubs.where(F.size("_hubs") > 0).select(F.col("_k").alias("a"), F.element_at("_hubs", 1).alias("b"))
+    parents = shared_table(verify(first, sets, threshold).select(F.col("a").alias("id"), F.col("b").alias("root")), "first_links")
+    roots = jump(parents).withColumnRenamed("id", "_k")
+    classes = shared_table(hubs.select("_k").join(roots, "_k", "left").select("_k", F.coalesce("root", "_k").alias("_class")), "classes")
+    others = hubs.where(F.size("_hubs") > 1).select(F.col("_k").alias("a"), F.explode(F.slice("_hubs", F.lit(2), F.size("_hubs") - 1)).alias("b"))
     ca, cb = (classes.select(F.col("_k").alias(c), F.col("_class").alias("_c" + c)) for c in "ab")
-    apart = hubs.join(first, ["a", "b"], "left_anti").join(ca, "a").join(cb, "b").where("_ca <> _cb").select("a", "b")
-    links = cut(links.unionByName(verify(cut(apart), sets, threshold)))
-    classes = cut(_classes(nodes, links))
-    links = links.unionByName(cut(stragglers(banded.select("_k", "_band"), classes, sets, threshold)))
-    roots = components(links.select("a", "b")).withColumnRenamed("id", "_k")
-    return texts.join(roots, "_k", "left").select("_d", "_id", F.coalesce("root", "_k").alias("_root"))
+    apart = shared_table(others.join(ca, "a").join(cb, "b").where("_ca <> _cb"), "apart")
+    classes = _merged(classes, verify(apart, sets, threshold).select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).distinct())
+    classes = _merged(classes, stragglers(banded.select("_k", "_band"), classes, sets, threshold))
+    return texts.join(classes, "_k", "left").select("_d", "_id", F.coalesce("_class", "_k").alias("_root"))
 
 
 def least_texts(classes: DataFrame) -> DataFrame:
@@ -275,15 +283,15 @@ def least_texts(classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """(doc_id, text) -> doc_id, class_id: the least doc_id of each document's class."""
     known = docs.where("doc_id is not null")
-    classes = cut(text_classes(known, threshold, bands, rows, weighted))
+    classes = shared_table(text_classes(known, threshold, bands, rows, weighted), "text_classes")
     # By another key than the aggregate's, so that Spark deals both sides out anew and can split a hot class.
     hubs = least_texts(classes).select((-F.col("_root")).alias("_key"), F.col("_id").alias("_hub"))
-    hubs = cut(classes.withColumn("_key", -F.col("_root")).join(hubs, "_key").where("_hub <> _id").select("_d", "_hub"))
+    hubs = shared_table(classes.withColumn("_key", -F.col("_root")).join(hubs, "_key").where("_hub <> _id").select("_d", "_hub"), "text_hubs")
     # Copies share a digest: by another key than the joins before, both sides are dealt out anew for this one.
     texts = classes.select("_d", "_id").join(hubs, "_d", "left").select(F.reverse("_d").alias("_turned"), F.coalesce("_hub", "_id").alias("_hub"))
     held = known.where("text is not null").select(F.col("doc_id").cast("long").alias("a"), F.reverse(digest()).alias("_turned"))
     pairs = held.join(texts, "_turned").select("a", F.col("_hub").alias("b"))
-    spans = cut(pairs.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("_last")))
+    spans = shared_table(pairs.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("_last")), "spans")
     # A document with several texts joins the classes of all of them; where no id is in two, nothing is left to join.
     final = spans.select(F.col("a").alias("id"), F.col("b").alias("root")) if spans.where("b <> _last").isEmpty() else components(pairs)
     ids = docs.select("doc_id").distinct()

@@ -179,3 +179,18 @@ def test_a_very_long_text_and_an_empty_table(spark):
     rows = [(4, " ".join(long)), (9, " ".join(other)), (5, " ".join(long[:20_000]))]
     assert run(spark, rows) == {4: 4, 9: 4, 5: 5}
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string, _k long, _d string, class_id long")).collect() == []
+
+
+def test_few_links_run_few_stages(spark):
+    """Small tables of links meet in no shuffles of their own; the driver keeps account of every stage."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(prose(rng, 60))) for i in range(20)]
+    rows += [(20 + i, t + " more") for i, t in rows[:10]]
+    sc, group = spark.sparkContext, "few-stages"
+    sc.setJobGroup(group, "near duplicates")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    assert 0 < sum(len(j.stageIds) for j in jobs) < 100

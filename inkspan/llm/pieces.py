@@ -31,7 +31,7 @@ from inkspan.llm.common import small_batches
 
 SPACE = "▁"
 #: Segments kept by a worker, and characters up to which segments share a score matrix.
-CACHE = 200_000
+CACHE = 400_000
 WIDE = 24
 #: Characters cut into segments at a time, and new segments encoded at a time.
 SLICE, NEW = 500_000, 8192
@@ -90,6 +90,7 @@ class Agenda:
             if len(s) == 1:
                 self.chars[ord(s)] = i
         self.spelled_bytes = [s.encode("utf-8") for s in self.spelled]
+        self.after_newline = len(sp.encode("\n"))
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -233,16 +234,14 @@ class Agenda:
         if starts:
             for k, x in zip(starts, self.library.encode([segments[k][1:] for k in starts], num_threads=1)):
                 out[k] = x
-        for k, s in enumerate(segments):
-            if out[k] is None:
-                out[k] = self._after_newline(s)
+        others = [k for k, x in enumerate(out) if x is None]
+        if others:
+            # No merge passes a newline, so the ids after one are those of the rest alone.
+            told = self.library.encode(["\n" + segments[k].replace(SPACE, " ") for k in others], num_threads=1)
+            for k, x in zip(others, told):
+                out[k] = x[self.after_newline :]
         return out
 
-    def _after_newline(self, s: str) -> list[int]:
-        """No merge passes a newline, so the ids after one are those of the rest alone."""
-        head = self.library.encode("\n")
-        return self.library.encode("\n" + s.replace(SPACE, " "))[len(head) :]
-
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, byte runs as UTF-8 (a bad byte is U+FFFD), spaces restored, the first one dropped."""
         if self.special.isdisjoint(ids):

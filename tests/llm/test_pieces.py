@@ -90,3 +90,22 @@ def test_query(spark, small, library):
     out = QUERIES["op10_sentencepiece"](spark, small).collect()
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out} == {i: expected(library, t) for i, t in texts.items()}
     assert all(r.library_agrees for r in out)
+
+
+def test_segments_are_compared_in_few_calls():
+    """The library takes segments behind a space together, and all others together."""
+    agenda = codec(MODEL).agenda
+    segments = [f"▁word{i}" for i in range(50)] + [f"line{i}é" for i in range(50)] + ["▁", "\n", "▁▁two"]
+    library, calls = agenda.library, []
+
+    class Counted:
+        def encode(self, texts, **options):
+            calls.append(texts)
+            return library.encode(texts, **options)
+
+    agenda.library = Counted()
+    try:
+        told = agenda.library_segments(segments)
+    finally:
+        agenda.library = library
+    assert told == agenda.encode_segments(segments) and len(calls) <= 2

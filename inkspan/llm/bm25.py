@@ -3,26 +3,30 @@
 Index. A shard is a run of SHARD documents of one input partition (what is left of it, up to half as many
 more, joins the last one), in one row: term -> (document,
 term frequency). Documents are numbered by rising length, so the BLOCK documents of a block are about
-equally long, and next to each list of at least LISTED postings stand its blocks and the greatest frequency
-in each: with the least length of the block these bound the impact of every posting in it, whatever the
-global statistics are. Document frequencies, the number of documents and their mean length are summed over
-all shards, so a shard scores with global statistics and its top k merge exactly.
-
-Search. In a shard, the postings of a query's light terms are added up first. For its heavy terms (those
-in more than HEAVY of all documents) only the block maxima are read: a document's bound is what it has so
-far plus what its block may add. The SEEDS best bounds are scored to the end and give the first threshold,
-the k-th best score. Then the shard is passed in document order: the next pivots are the first RUN
-documents whose bounds reach the threshold; they are scored to the end, the threshold rises, and all that
-lies between pivots is skipped, postings of heavy terms unread. Bounds that tie with the threshold are
-pivots. A document's score is added up in the same order of terms in every shard, so equal texts have
-bit-equal scores.
+equally long: the greatest frequency of a term in a block and the least length of the block bound the impact of
+every posting in it, whatever the global statistics are. Document frequencies, the number of documents and their
+mean length are summed over all shards, so a shard scores with global statistics and its top k merge exactly.
+
+Search. A shard that is opened spreads the terms that are heavy (in more than HEAVY of all documents, and the
+DENSE most frequent of a block of queries at most) by document and takes the maxima of their blocks. The
+bounds of BATCH queries are one product of their weights with these maxima, in single precision and rounded up. A
+query's light terms are added up from their lists, and a document's bound is that sum plus what its block may
+add. The SEEDS best bounds are scored to the end and give the first threshold, the k-th best score, unless a
+shard before in the same task has left a higher one. Then the shard is passed in document order: the next pivots
+are the first RUN documents whose bounds reach the threshold; they are scored to the end, the threshold rises,
+and all that lies between pivots is skipped: its heavy terms are not scored. Bounds that tie with the threshold
+are pivots. Scores rank by DIGITS decimals, so that equal sums added in another order are ties.
+
+Work. Lists of light terms grow with the documents and queries do too, so the exact search takes the square of
+the input; what is saved is a factor, and no bound of a list lets long queries skip light terms (the tenth best
+score of a long text is mostly under a fifth of its own).
 
 BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)),
 each distinct term of a query counted once. Terms are lower-cased runs of letters and digits (beyond ASCII,
 any character but white space).
 
-Queries are packed into blocks of at most ASKED terms (or one longer query) and searched block by block: a
-block is broadcast, every shard is read where it lies, and nothing but hits moves. So the index is never
+Queries are packed into blocks of some ASKED terms, 2 * ASKED at most (or one longer query), and searched block
+by block: a block is broadcast, every shard is read where it lies, and nothing but hits moves. So the index is never
 shuffled, and what is broadcast is bounded whatever the input. Terms that only the query itself holds are
 left out. Hits are lists of k a (query, shard), merged in two levels.
 
@@ -48,11 +52,14 @@ from inkspan.llm.common import shared_dir, shared_table, small_batches
 from inkspan.llm.rolling import word_hashes
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK, LISTED = 6144, 8, 64
-#: Share of all documents from which a term is heavy, bounds that seed the threshold, pivots scored together.
-HEAVY, SEEDS, RUN = 0.15, 64, 512
-#: Terms of a block of queries: 16 bytes each are broadcast.
-ASKED = 300_000
+SHARD, BLOCK = 6144, 2
+#: Share of all documents from which a term is heavy, the most heavy terms of a block of queries, bounds that seed
+#: the threshold, pivots scored together, queries whose bounds are multiplied together.
+HEAVY, DENSE, SEEDS, RUN, BATCH = 0.08, 1024, 32, 512, 128
+#: Scores rank by so many digits; what two orders of adding may differ by; what bounds in single precision may lack.
+DIGITS, SLACK, ROUNDED = 9, 2e-9, 1 + 1e-4
+#: Terms of a block of queries, at most 20 bytes each are broadcast; shards that a task passes one after another.
+ASKED, TOGETHER = 1_000_000, 8
 
 _ASCII = np.arange(256, dtype=np.uint8)
 _ASCII[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -70,7 +77,6 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 #: Arrays of a shard and their types; frequencies take as many bytes (``width``) as the greatest needs.
 ARRAYS = {
     "ids": np.int64, "lengths": np.int64, "terms": np.int64, "bounds": np.int64, "posted": np.uint16, "freqs": None,
-    "listed": np.int32, "block_bounds": np.int64, "block_ids": np.uint16, "block_freqs": None,
 }
 INDEX = "shard long, docs int, length long, width int, " + ", ".join(f"{a} binary" for a in ARRAYS)
 
@@ -88,18 +94,8 @@ def pack_shard(number: int, ids: list[int], lists: list[tuple[np.ndarray, np.nda
     posted = np.repeat(np.arange(len(order), dtype=np.uint16), sizes)[by]
     distinct, start = np.unique(term, return_index=True)
     bounds = np.append(start, len(term)).astype(np.int64)
-    # The blocks of the longer lists, and the greatest frequency in each.
-    listed = np.flatnonzero(np.diff(bounds) >= LISTED).astype(np.int32)
-    n = np.diff(bounds)[listed]
-    span = np.repeat(bounds[listed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    block = posted[span] // BLOCK
-    new = np.ones(len(span), bool)
-    new[1:] = (block[1:] != block[:-1]) | (np.repeat(np.arange(len(n)), n)[1:] != np.repeat(np.arange(len(n)), n)[:-1])
-    first = np.flatnonzero(new)
-    most = np.maximum.reduceat(freq[span], first) if len(first) else freq[:0]
-    block_bounds = np.append(np.searchsorted(first, np.cumsum(n) - n), len(first)).astype(np.int64)
     width = np.min_scalar_type(int(freq.max()))
-    arrays = [np.array(ids, np.int64)[order], lengths[order], distinct, bounds, posted, freq.astype(width), listed, block_bounds, block[first], most.astype(width)]
+    arrays = [np.array(ids, np.int64)[order], lengths[order], distinct, bounds, posted, freq.astype(width)]
     return [number, len(ids), int(lengths.sum()), width.itemsize, *(a.tobytes() for a in arrays)]
 
 
@@ -138,6 +134,35 @@ def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 SCHEMA = pa.schema([("shard", pa.int64()), ("docs", pa.int32()), ("length", pa.int64()), ("width", pa.int32()), *((a, pa.binary()) for a in ARRAYS)])
 
 
+class Asked:
+    """A block of queries: their distinct terms once, and for each query the places of its own among them, by rising df.
+
+    The DENSE most frequent of the terms in more than ``heavy`` documents are heavy. What is heavy is the same in
+    every shard.
+    """
+
+    def __init__(self, ids: list[int], terms: list[np.ndarray], df: list[np.ndarray], n: int, heavy: float):
+        # Queries alike in their most frequent terms and in length are neighbours, so that a batch has few heavy terms.
+        order = sorted(range(len(ids)), key=lambda i: (int(terms[i][-1]), len(terms[i])))
+        ids, terms, df = ([x[i] for i in order] for x in (ids, terms, df))
+        self.ids = np.array(ids, np.int64)
+        self.starts = np.append(0, np.cumsum([len(t) for t in terms])).astype(np.int64)
+        self.terms, first, places = np.unique(np.concatenate(terms), return_index=True, return_inverse=True)
+        self.places = places.astype(np.int32)
+        df = np.concatenate(df).astype(np.float64)
+        self.idf = np.log(1 + (n - df[first] + 0.5) / (df[first] + 0.5))
+        top = -np.sort(-df[first])[DENSE : DENSE + 1]
+        light = df <= max([heavy, *top])
+        self.light = self.starts[:-1] + np.add.reduceat(np.append(light, 0), self.starts[:-1])  # where a query's heavy terms begin
+        self.heavy = np.flatnonzero(~light[first])
+
+
+def _runs(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``lo`` on, ``n`` of each."""
+    end = np.cumsum(n)
+    return np.repeat(lo - (end - n), n) + np.arange(end[-1] if len(end) else 0)
+
+
 class Shard:
     """One row of the index, with impacts by global statistics (but for the idf factor)."""
 
@@ -149,79 +174,98 @@ class Shard:
         self.norm = K1 * (1 - B + B * self.lengths / mean)
         self.floor = self.norm[::BLOCK]  # documents are numbered by length
         self.impact = self.freqs * (K1 + 1) / (self.freqs + self.norm[self.posted])
-        self.heavy: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bounds_of_all(self, ts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row a document of heavy terms' frequencies, and a row a block of the most that its documents take from each."""
+        lo, n = self.bounds[ts], np.diff(self.bounds)[ts]
+        at = _runs(lo, n)
+        freq = np.zeros((self.blocks * BLOCK, len(ts)), self.freqs.dtype)
+        freq[self.posted[at], np.repeat(np.arange(len(ts)), n)] = self.freqs[at]
+        most = freq.reshape(self.blocks, BLOCK, len(ts)).max(1).astype(np.float32)
+        most *= np.float32(K1 + 1) / (most + self.floor.astype(np.float32)[:, None])
+        most *= np.float32(ROUNDED)
+        return freq[: self.n], most
 
     def bounds_of(self, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """A heavy term's frequency in each document, and the most that a block's documents take from it."""
-        have = self.heavy.get(t)
-        if have is None:
-            lo, hi = self.bounds[t], self.bounds[t + 1]
-            freq = np.zeros(self.n, self.freqs.dtype)
-            freq[self.posted[lo:hi]] = self.freqs[lo:hi]
-            at = np.searchsorted(self.listed, t)
-            most = np.zeros(self.blocks)
-            if at < len(self.listed) and self.listed[at] == t:
-                a, b = self.block_bounds[at], self.block_bounds[at + 1]
-                most[self.block_ids[a:b]] = self.block_freqs[a:b]
-            else:
-                np.maximum.at(most, self.posted[lo:hi] // BLOCK, self.freqs[lo:hi])
-            have = self.heavy[t] = freq, most * (K1 + 1) / (most + self.floor)
-        return have
+        freq, most = self.bounds_of_all(np.array([t]))
+        return freq[:, 0], most[:, 0]
 
     def search(self, query: np.ndarray, idf: np.ndarray, light: int, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best; query: terms by rising document frequency, the first ``light`` of them light."""
-        at = np.searchsorted(self.terms, query)
-        at[at == len(self.terms)] = 0
-        here = self.terms[at] == query
-        light = int(here[:light].sum())
-        at, idf = at[here], idf[here]
-        if not len(at):
+        if not len(query):
             return np.empty(0, np.int64), np.empty(0)
-        if light:
-            lo, hi = self.bounds[at[:light]], self.bounds[at[:light] + 1]
-            lists = list(zip(lo.tolist(), hi.tolist()))
-            impact = np.concatenate([self.impact[a:b] for a, b in lists]) * np.repeat(idf[:light], hi - lo)
-            # bincount adds in order of the postings, so term by term.
-            score = np.bincount(np.concatenate([self.posted[a:b] for a, b in lists]), impact, self.n)
-        else:
-            score = np.zeros(self.n)
-        heavy, weight = at[light:], idf[light:, None]
-        if len(heavy):
-            kept = [self.bounds_of(int(t)) for t in heavy]
-            bound = score + np.repeat(idf[light:] @ np.array([row for _, row in kept]), BLOCK)[: self.n]
-        else:
-            bound = score.copy()
-        bound[self.ids == own] = -1.0
+        asks = Asked([own], [query], [np.arange(len(query))], 1, light - 1)
+        asks.idf = idf[np.argsort(query, kind="stable")]
+        return next(self.search_block(asks, k, np.zeros(1)))
+
+    def search_block(self, asks: Asked, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of its k best, those below ``least`` left out; ``least`` rises to the k-th."""
+        place = np.searchsorted(self.terms, asks.terms)
+        place[place == len(self.terms)] = 0
+        here = self.terms[place] == asks.terms
+        lo, hi = (np.where(here, self.bounds[place + i], 0) for i in (0, 1))
+        weight = np.zeros(len(self.terms))
+        weight[place[here]] = asks.idf[here]
+        weighted = self.impact * np.repeat(weight, np.diff(self.bounds))
+        dense = asks.heavy[here[asks.heavy]]
+        row = np.full(len(asks.terms), -1, np.int32)
+        row[dense] = np.arange(len(dense))
+        freq, most = self.bounds_of_all(place[dense])
+        size = hi - lo
+        for first in range(0, len(asks.ids), BATCH):
+            batch = range(first, min(first + BATCH, len(asks.ids)))
+            rows = [row[asks.places[asks.light[q] : asks.starts[q + 1]]] for q in batch]
+            weights = np.zeros((len(batch), len(dense)), np.float32)
+            for i, r in enumerate(rows):
+                rows[i] = r = r[r >= 0]
+                weights[i, r] = asks.idf[dense[r]]
+            held = np.flatnonzero(weights.any(0))
+            added = (weights[:, held] @ most[:, held].T) * np.float32(ROUNDED)
+            for q, r, more in zip(batch, rows, added):
+                places = asks.places[asks.starts[q] : asks.light[q]]
+                at = _runs(lo[places], size[places])
+                # bincount adds in order of the postings, so term by term.
+                score = np.bincount(self.posted.take(at), weighted.take(at), self.n)
+                bound = score + np.repeat(more, BLOCK)[: self.n]
+                bound[self.ids == asks.ids[q]] = -1.0
+                found, sums = self.best(score, bound, freq, r, asks.idf[dense[r]], k, least[q])
+                if len(sums) == k:
+                    least[q] = max(least[q], sums[-1])
+                yield self.ids[found], sums
+
+    def best(self, score: np.ndarray, bound: np.ndarray, freq: np.ndarray, heavy: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents of at least ``least`` and their scores; scores of light terms, bounds of all."""
 
         def full(docs: np.ndarray) -> np.ndarray:
-            if not len(heavy):
-                return score[docs]
-            freq = np.array([row[docs] for row, _ in kept], np.float64)
-            return score[docs] + (weight * (freq * (K1 + 1) / (freq + self.norm[docs]))).sum(0)
+            f = freq[docs].take(heavy, 1).astype(np.float64)
+            return score[docs] + (f * (K1 + 1) / (f + self.norm[docs][:, None])) @ weight
 
         def keep(found: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            best = np.lexsort((self.ids[found], -sums))[:k]
-            return found[best], sums[best]
-
-        seeds = np.argpartition(bound, self.n - SEEDS)[self.n - SEEDS :] if self.n > SEEDS else np.arange(self.n)
-        seeds = seeds[bound[seeds] > 0]
-        found, sums = keep(seeds, full(seeds))
-        bound[seeds] = -1.0
-        at = 0
-        while at < self.n:
+            order = np.lexsort((self.ids[found], -np.round(sums, DIGITS)))[:k]
+            return found[order], sums[order]
+
+        def threshold() -> float:
             # What is rounded differently must not be lost.
-            threshold = max(sums[-1] * (1 - 1e-12), 1e-300) if len(sums) == k else 1e-300
-            pivots = at + np.flatnonzero(bound[at:] >= threshold)[:RUN]
-            if not len(pivots):
-                break
-            found, sums = keep(np.append(found, pivots), np.append(sums, full(pivots)))
-            at = int(pivots[-1]) + 1
-        hit = sums > 0
-        return self.ids[found[hit]], sums[hit]
+            return max(least - SLACK, sums[-1] - SLACK if len(sums) == k else 0, 1e-300)
+
+        found, sums = np.empty(0, np.intp), np.empty(0)
+        pivots = np.flatnonzero(bound >= threshold())
+        if len(pivots) > SEEDS:
+            seeds = pivots[np.argpartition(bound[pivots], len(pivots) - SEEDS)[len(pivots) - SEEDS :]]
+            found, sums = keep(seeds, full(seeds))
+            bound[seeds] = -1.0
+            pivots = pivots[bound[pivots] >= threshold()]
+        while len(pivots):
+            run = pivots[:RUN]
+            found, sums = keep(np.append(found, run), np.append(sums, full(run)))
+            pivots = pivots[RUN:]
+            pivots = pivots[bound[pivots] >= threshold()]
+        hit = sums >= max(least - SLACK, 1e-300)
+        return found[hit], sums[hit]
 
 
 def _top(k: int):
-    """SQL that keeps the k best of a list of (negative score, doc_id)."""
+    """SQL that keeps the k best of a list of (negative rounded score, doc_id, score)."""
     return lambda hits: F.slice(F.array_sort(F.flatten(F.collect_list(hits))), 1, k)
 
 
@@ -258,7 +302,7 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, a
     if not 0 < shard <= 32768:
         raise ValueError(f"a shard may be of 1 to 32768 documents: {shard}")
     index = shared_table(build_index(docs, shard), "index")
-    stats = index.agg(F.sum("docs").alias("n"), F.sum("length").alias("words")).first()
+    stats = index.agg(F.sum("docs").alias("n"), F.sum("length").alias("words"), F.count(F.lit(1)).alias("shards")).first()
     n, mean = int(stats["n"] or 0), float(stats["words"] or 0) / max(1, int(stats["n"] or 0))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,32 +316,37 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, a
     path = f"{shared_dir(spark).rstrip('/')}/inkspan/hits-{uuid.uuid4().hex}"
     HITS = "query_id long, part long, ids array<long>, scores array<double>"
     spark.createDataFrame([], HITS).write.parquet(path)
+    # A few shards a task, so that the first ones' hits spare work in the others; all cores stay busy.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-int(stats["shards"]) // TOGETHER))
+    passed = index.drop("docs", "length").coalesce(tasks)
     for b in range(blocks):
         rows = queries.where(F.col("_b") == b).select("query_id", "asked.term", "asked.df").toPandas()  # bounded: see query_blocks
         if not len(rows):
             continue
-        block = spark.sparkContext.broadcast([(int(q), np.array(t, np.int64), np.array(d, np.int64)) for q, t, d in rows.itertuples(index=False)])
+        packed = [list(x) for x in zip(*((int(q), np.array(t, np.int64), np.array(d, np.int64)) for q, t, d in rows.itertuples(index=False)))]
+        block = spark.sparkContext.broadcast(Asked(*packed, n, HEAVY * n))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            asks = [(q, t, np.log(1 + (n - d + 0.5) / (d + 0.5)), int(np.searchsorted(d, HEAVY * n, "right"))) for q, t, d in block.value]
+            asks = block.value
+            least = np.zeros(len(asks.ids))  # what one shard found is asked of the next
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {c: batch.column(c)[i] for c in batch.schema.names}
                     held = Shard({a: row[a].as_buffer() for a in ARRAYS}, row["width"].as_py(), mean)
-                    out = [held.search(t, idf, light, q, k) for q, t, idf, light in asks]
-                    columns = [[a[0] for a in asks], [row["shard"].as_py()] * len(asks), [o[0] for o in out], [o[1] for o in out]]
+                    found = [(q, *hits) for q, hits in zip(asks.ids.tolist(), held.search_block(asks, k, least)) if len(hits[0])]
+                    columns = [[f[0] for f in found], [row["shard"].as_py()] * len(found), [f[1] for f in found], [f[2] for f in found]]
                     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "part", "ids", "scores"])
 
-        index.drop("docs", "length").mapInArrow(run, HITS).where("size(ids) > 0").write.mode("append").parquet(path)
+        passed.mapInArrow(run, HITS).write.mode("append").parquet(path)
         block.destroy()
     hits = spark.read.schema(HITS).parquet(path)
     listed = hits.select(
         "query_id", F.pmod(F.xxhash64("part"), F.lit(256)).alias("part"),
-        F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("hits"),
+        F.zip_with("scores", "ids", lambda s, i: F.struct((-F.round(s, DIGITS)).alias("r"), i.alias("i"), s.alias("s"))).alias("hits"),
     )
     top = _top(k)
     merged = listed.groupBy("query_id", "part").agg(top("hits").alias("hits")).groupBy("query_id").agg(top("hits").alias("hits"))
     return merged.select("query_id", F.posexplode("hits").alias("_p", "_h")).select(
-        "query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_h.i").alias("doc_id"), (-F.col("_h.s")).alias("score")
+        "query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_h.i").alias("doc_id"), F.col("_h.s").alias("score")
     )

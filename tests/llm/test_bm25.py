@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.llm.bm25 import BLOCK, INDEX, K1, B, Shard, pack_shard, search
+from inkspan.llm import bm25
+from inkspan.llm.bm25 import BLOCK, INDEX, K1, Asked, B, Shard, pack_shard, search
 
 
 def split(text):
@@ -151,3 +152,70 @@ def test_empty_table_and_extra_columns(spark):
     assert run(spark, [], schema=schema) == {}
     assert run(spark, [(1, "a", "x", 1)], schema=schema) == {}
     assert [i for _, i in run(spark, [(0, "a", "x", 1), (1, "a", "x", 1)], schema=schema)[0]] == [1]
+
+
+def packed(lists, ids, mean):
+    """A shard of (term, frequency) pairs."""
+    lists = [(np.array(sorted(d), np.int64), np.array([d[t] for t in sorted(d)], np.uint32)) for d in lists]
+    row = dict(zip([c.split()[0] for c in INDEX.split(", ")], pack_shard(0, list(ids), lists)))
+    return Shard(row, row["width"], mean)
+
+
+def random_lists(n, seed):
+    rng = np.random.default_rng(seed)
+    return [dict(Counter((rng.zipf(1.3, rng.integers(5, 80)) % 900).tolist())) for _ in range(n)]
+
+
+def asked_of(lists, every, heavy):
+    df = Counter(t for d in lists for t in d)
+    terms = [np.array(sorted(lists[q], key=lambda t: (df[t], t)), np.int64) for q in range(0, len(lists), every)]
+    return Asked(list(range(0, len(lists), every)), terms, [np.array([df[t] for t in x.tolist()]) for x in terms], len(lists), heavy)
+
+
+@pytest.mark.parametrize(("dense", "batch", "block", "heavy"), [(1024, 128, 2, 40), (3, 7, 2, 40), (1024, 1, 1, 5), (50, 128, 8, 900), (1024, 128, 2, 5000)])
+def test_a_block_of_queries_is_searched_as_each_alone(monkeypatch, dense, batch, block, heavy):
+    lists = random_lists(1500, 6)
+    for name, value in (("DENSE", dense), ("BATCH", batch), ("BLOCK", block)):
+        monkeypatch.setattr(bm25, name, value)
+    mean = sum(sum(d.values()) for d in lists) / len(lists)
+    held, asks = packed(lists, range(len(lists)), mean), asked_of(lists, 30, heavy)
+    found = dict(zip(asks.ids.tolist(), held.search_block(asks, 10, np.zeros(len(asks.ids)))))
+    df = Counter(t for d in lists for t in d)
+    idf = {t: math.log(1 + (len(lists) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    for q, (ids, sums) in found.items():
+        scores = []
+        for i, d in enumerate(lists):
+            norm = K1 * (1 - B + B * sum(d.values()) / mean)
+            scores.append((-round(sum(idf[t] * d[t] * (K1 + 1) / (d[t] + norm) for t in lists[q] if t in d), 9), i))
+        best = sorted(x for x in scores if x[1] != q and x[0] < 0)[:10]
+        assert [i for _, i in best] == ids.tolist()
+        assert [-s for s, _ in best] == pytest.approx(sums.tolist(), abs=1e-8)
+    assert len(found) == 50
+
+
+def test_what_a_shard_found_spares_work_in_the_next():
+    lists = random_lists(1500, 7)
+    asks = asked_of(lists, 30, 40)
+    first, again = packed(lists, range(1500), 40.0), packed(lists, range(3000, 4500), 40.0)
+    least = np.zeros(len(asks.ids))
+    before = [(q, ids.tolist(), sums) for q, (ids, sums) in zip(asks.ids, first.search_block(asks, 10, least))]
+    alone, carried = (Counted(again.norm) for _ in range(2))
+    again.norm = alone
+    fresh = list(again.search_block(asks, 10, np.zeros(len(asks.ids))))
+    again.norm = carried
+    after = list(again.search_block(asks, 10, least))
+    assert carried.seen < 0.8 * alone.seen
+    # Scores as good as the k-th are still hits: the merge has the last word on ties.
+    for (q, ids, sums), (new, good), (all_, _) in zip(before, after, fresh):
+        assert (good >= sums[-1] - 1e-8).all() and new.tolist() == all_[: len(new)].tolist()
+        assert q + 3000 in new and len(new) >= len(ids)
+
+
+@pytest.mark.parametrize("others", [0, 1500])
+def test_sums_added_in_another_order_tie_by_id(spark, others):
+    """Eight terms of one document frequency, their frequencies dealt in any order: all scores are equal."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(w for w, n in zip("abcdefgh", rng.sample(range(1, 9), 8)) for _ in range(n))) for i in range(60)]
+    rows += [(1000 + i, "other") for i in range(others)]
+    got = run(spark, rows, every=5000, shard=25 if not others else 400)
+    assert [i for _, i in got[0]] == list(range(1, 11))

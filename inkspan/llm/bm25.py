@@ -59,7 +59,7 @@ HEAVY, DENSE, SEEDS, RUN, BATCH = 0.08, 1024, 32, 512, 128
 #: Scores rank by so many digits; what two orders of adding may differ by; what bounds in single precision may lack.
 DIGITS, SLACK, ROUNDED = 9, 2e-9, 1 + 1e-4
 #: Terms of a block of queries, at most 20 bytes each are broadcast; shards that a task passes one after another.
-ASKED, TOGETHER = 1_000_000, 8
+ASKED, TOGETHER = 500_000, 8
 
 _ASCII = np.arange(256, dtype=np.uint8)
 _ASCII[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -173,7 +173,9 @@ class Shard:
         self.blocks = -(-self.n // BLOCK)
         self.norm = K1 * (1 - B + B * self.lengths / mean)
         self.floor = self.norm[::BLOCK]  # documents are numbered by length
-        self.impact = self.freqs * (K1 + 1) / (self.freqs + self.norm[self.posted])
+        self.impact = self.norm[self.posted]
+        self.impact += self.freqs
+        np.divide(self.freqs * (K1 + 1), self.impact, out=self.impact)
 
     def bounds_of_all(self, ts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A row a document of heavy terms' frequencies, and a row a block of the most that its documents take from each."""
@@ -206,7 +208,8 @@ class Shard:
         lo, hi = (np.where(here, self.bounds[place + i], 0) for i in (0, 1))
         weight = np.zeros(len(self.terms))
         weight[place[here]] = asks.idf[here]
-        weighted = self.impact * np.repeat(weight, np.diff(self.bounds))
+        weighted = np.repeat(weight, np.diff(self.bounds))
+        weighted *= self.impact
         dense = asks.heavy[here[asks.heavy]]
         row = np.full(len(asks.terms), -1, np.int32)
         row[dense] = np.arange(len(dense))
@@ -324,7 +327,10 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, a
         if not len(rows):
             continue
         packed = [list(x) for x in zip(*((int(q), np.array(t, np.int64), np.array(d, np.int64)) for q, t, d in rows.itertuples(index=False)))]
-        block = spark.sparkContext.broadcast(Asked(*packed, n, HEAVY * n))
+        asked_block = Asked(*packed, n, HEAVY * n)
+        del rows, packed
+        block = spark.sparkContext.broadcast(asked_block)
+        del asked_block
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             asks = block.value

@@ -87,12 +87,14 @@ def pack_shard(number: int, ids: list[int], lists: list[tuple[np.ndarray, np.nda
     order = np.lexsort((np.array(ids, np.int64), lengths))
     sizes = np.array([len(lists[i][0]) for i in order])
     term = np.concatenate([lists[i][0] for i in order])
-    freq = np.concatenate([lists[i][1] for i in order]).astype(np.uint32)
+    freq = np.concatenate([lists[i][1] for i in order]).astype(np.uint32, copy=False)
     lists.clear()
     by = np.argsort(term, kind="stable")
     term, freq = term[by], freq[by]
     posted = np.repeat(np.arange(len(order), dtype=np.uint16), sizes)[by]
-    distinct, start = np.unique(term, return_index=True)
+    del by
+    start = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    distinct = term[start]
     bounds = np.append(start, len(term)).astype(np.int64)
     width = np.min_scalar_type(int(freq.max()))
     arrays = [np.array(ids, np.int64)[order], lengths[order], distinct, bounds, posted, freq.astype(width)]

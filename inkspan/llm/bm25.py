@@ -1,21 +1,19 @@
-"""Exact top-k search by BM25: an inverted index in shards, block-max WAND, an exact merge.
+"""Exact top-k search by BM25: an inverted index in shards, blocks of queries turned into indexes, an exact merge.
 
 Index. A shard is a run of SHARD documents of one input partition (what is left of it, up to half as many
 more, joins the last one), in one row: term -> (document,
-term frequency). Documents are numbered by rising length, so the BLOCK documents of a block are about
-equally long: the greatest frequency of a term in a block and the least length of the block bound the impact of
-every posting in it, whatever the global statistics are. Document frequencies, the number of documents and their
+term frequency). Documents are numbered by rising length. Document frequencies, the number of documents and their
 mean length are summed over all shards, so a shard scores with global statistics and its top k merge exactly.
 
-Search. A shard that is opened spreads the terms that are heavy (in more than HEAVY of all documents, and the
-DENSE most frequent of a block of queries at most) by document and takes the maxima of their blocks. The
-bounds of BATCH queries are one product of their weights with these maxima, in single precision and rounded up. A
-query's light terms are added up from their lists, and a document's bound is that sum plus what its block may
-add. The SEEDS best bounds are scored to the end and give the first threshold, the k-th best score, unless a
-shard before in the same task has left a higher one. Then the shard is passed in document order: the next pivots
-are the first RUN documents whose bounds reach the threshold; they are scored to the end, the threshold rises,
-and all that lies between pivots is skipped: its heavy terms are not scored. Bounds that tie with the threshold
-are pivots. Scores rank by DIGITS decimals, so that equal sums added in another order are ties.
+Search. A block of thousands of queries is an inverted index too: term -> queries. A shard is passed document by
+document, longest first: the lists of a document's light terms are gathered and added up, which gives its scores for all
+queries of the block at once. The terms that are heavy (in more than HEAVY of all documents, and the DENSE most
+frequent of a block at most) are spread by document, with the maxima of their frequencies in BLOCK documents (of one,
+these are the scores themselves); bounds of what they add are one product of matrices for BATCH blocks and GROUP
+queries, in single precision and rounded up. Only pairs whose bounds reach the query's threshold, the k-th best score
+that the task has found so far, are scored to the end; thresholds rise after each RUN documents and are handed on
+from shard to shard. Bounds that tie with the threshold are scored. Scores rank by DIGITS decimals, so that equal sums added in
+another order are ties.
 
 Work. Lists of light terms grow with the documents and queries do too, so the exact search takes the square of
 the input; what is saved is a factor, and no bound of a list lets long queries skip light terms (the tenth best
@@ -25,10 +23,10 @@ BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf * (K1 + 1) / (tf + K1 * (1 -
 each distinct term of a query counted once. Terms are lower-cased runs of letters and digits (beyond ASCII,
 any character but white space).
 
-Queries are packed into blocks of some ASKED terms, 2 * ASKED at most (or one longer query), and searched block
-by block: a block is broadcast, every shard is read where it lies, and nothing but hits moves. So the index is never
+Queries are packed into blocks of some ASKED terms, 2 * ASKED at most (or one longer query), and at most 2 * QUERIES
+queries, and searched block by block: a block is broadcast, every shard is read where it lies, and nothing but hits moves. So the index is never
 shuffled, and what is broadcast is bounded whatever the input. Terms that only the query itself holds are
-left out. Hits are lists of k a (query, shard), merged in two levels.
+left out. Hits are lists of k a (query, task), merged in two levels.
 
 Ranks: best score first, ties to the smaller doc_id; a query's own row is no hit; only documents that share
 a term are hits. Null and wordless texts are never found and find nothing. Rows without doc_id are left out;
@@ -39,6 +37,7 @@ empty table, or one without a query, gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -52,14 +51,14 @@ from inkspan.llm.common import shared_dir, shared_table, small_batches
 from inkspan.llm.rolling import word_hashes
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK = 6144, 2
-#: Share of all documents from which a term is heavy, the most heavy terms of a block of queries, bounds that seed
-#: the threshold, pivots scored together, queries whose bounds are multiplied together.
-HEAVY, DENSE, SEEDS, RUN, BATCH = 0.08, 1024, 32, 512, 128
+SHARD, BLOCK, LINE = 6144, 1, 8
+#: Share of all documents from which a term is heavy, the most heavy terms of a block of queries, documents between two
+#: rises of the thresholds, blocks of documents and queries whose bounds are one product, pairs scored together.
+HEAVY, DENSE, WORTH, RUN, BATCH, GROUP, SCORED = 0.02, 1024, 0.02, 32, 256, 512, 8192
 #: Scores rank by so many digits; what two orders of adding may differ by; what bounds in single precision may lack.
 DIGITS, SLACK, ROUNDED = 9, 2e-9, 1 + 1e-4
-#: Terms of a block of queries, at most 20 bytes each are broadcast; shards that a task passes one after another.
-ASKED, TOGETHER = 500_000, 8
+#: Terms and queries of a block of queries, some 15 bytes a term are broadcast; shards that a task passes one after another.
+ASKED, QUERIES, TOGETHER = 2_500_000, 16384, 16
 
 _ASCII = np.arange(256, dtype=np.uint8)
 _ASCII[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -137,26 +136,48 @@ SCHEMA = pa.schema([("shard", pa.int64()), ("docs", pa.int32()), ("length", pa.i
 
 
 class Asked:
-    """A block of queries: their distinct terms once, and for each query the places of its own among them, by rising df.
+    """A block of at most 65535 queries: their distinct terms by falling df, and an inverted index of the queries.
 
-    The DENSE most frequent of the terms in more than ``heavy`` documents are heavy. What is heavy is the same in
-    every shard.
+    The DENSE most frequent of the terms in more than ``heavy`` documents are heavy, the same ones in every shard;
+    they come first. A light term has its queries in lines of LINE, which are copied at once; lines are filled up
+    with a query beyond the last.
     """
 
     def __init__(self, ids: list[int], terms: list[np.ndarray], df: list[np.ndarray], n: int, heavy: float):
-        # Queries alike in their most frequent terms and in length are neighbours, so that a batch has few heavy terms.
+        # Queries alike in their most frequent terms and in length are neighbours, so that a group has few heavy terms.
         order = sorted(range(len(ids)), key=lambda i: (int(terms[i][-1]), len(terms[i])))
-        ids, terms, df = ([x[i] for i in order] for x in (ids, terms, df))
-        self.ids = np.array(ids, np.int64)
-        self.starts = np.append(0, np.cumsum([len(t) for t in terms])).astype(np.int64)
-        self.terms, first, places = np.unique(np.concatenate(terms), return_index=True, return_inverse=True)
-        self.places = places.astype(np.int32)
-        df = np.concatenate(df).astype(np.float64)
-        self.idf = np.log(1 + (n - df[first] + 0.5) / (df[first] + 0.5))
-        top = -np.sort(-df[first])[DENSE : DENSE + 1]
-        light = df <= max([heavy, *top])
-        self.light = self.starts[:-1] + np.add.reduceat(np.append(light, 0), self.starts[:-1])  # where a query's heavy terms begin
-        self.heavy = np.flatnonzero(~light[first])
+        sizes = np.array([len(terms[i]) for i in order])
+        self.ids = np.array([ids[i] for i in order], np.int64)
+        distinct, first, places = np.unique(np.concatenate([terms[i] for i in order]), return_index=True, return_inverse=True)
+        df = np.concatenate([df[i] for i in order])[first].astype(np.float64)
+        order = np.argsort(-df, kind="stable")
+        self.terms, df = distinct[order], df[order]
+        self.sorted = np.argsort(order).astype(np.int32)  # the numbers of the terms by rising hash
+        places = self.sorted[places]
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        asking = np.repeat(np.arange(len(sizes)), sizes)
+        group, frequent = asking // GROUP, min(DENSE, int((df > heavy).sum()))
+        held = places < frequent
+        shares = np.bincount(group[held] * frequent + places[held], minlength=(group[-1] + 1) * frequent).reshape(group[-1] + 1, frequent)
+        dense = shares * (df[:frequent] / n) > WORTH * np.bincount(np.arange(len(sizes)) // GROUP)[:, None]
+        held[held] = dense[group[held], places[held]]
+        self.heavy = np.flatnonzero(dense.any(0))
+        # The heavy terms of each query, by their places among the heavy ones.
+        self.held = np.searchsorted(self.heavy, places[held]).astype(np.int16)
+        self.starts = np.append(0, np.cumsum(np.bincount(asking[held], minlength=len(sizes))))
+        places, asking = places[~held], asking[~held]
+        n = np.bincount(places, minlength=len(self.terms))
+        self.lines = (-(-n // LINE)).astype(np.int32)
+        self.first = np.cumsum(self.lines) - self.lines
+        self.asking = np.full(int(self.lines.sum()) * LINE, len(sizes), np.uint16)
+        self.asking[_runs(self.first * LINE, n)] = asking[np.argsort(places, kind="stable")]
+        self.asking = self.asking.reshape(-1, LINE)
+
+    def weights(self) -> np.ndarray:
+        """A row a heavy term: its idf at each query that asks for it, in single precision."""
+        out = np.zeros((len(self.heavy), len(self.ids)), np.float32)
+        out[self.held, np.repeat(np.arange(len(self.ids)), np.diff(self.starts))] = self.idf[self.heavy[self.held]]
+        return out
 
 
 def _runs(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -165,6 +186,45 @@ def _runs(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (end - n), n) + np.arange(end[-1] if len(end) else 0)
 
 
+class Best:
+    """The k best hits of each query of a block, and the ``floor`` of scores that are worth a look."""
+
+    def __init__(self, asks: Asked, k: int, least: np.ndarray):
+        self.k, self.least = k, least
+        self.ids, self.scores = np.zeros((len(asks.ids), k), np.int64), np.zeros((len(asks.ids), k))
+        self.known = self.scores.copy()  # the k best scores, or what they are at least, of hits that are not yet added also
+        # What is rounded differently must not be lost.
+        self.floor = np.maximum(least - SLACK, 1e-300)
+
+    def _first(self, asked: np.ndarray, queries: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+        """The k first rows of each query by ``keys``; each has k at least, as empty places score 0."""
+        order = np.lexsort((*keys, queries))
+        return order[np.searchsorted(queries, asked, sorter=order)[:, None] + np.arange(self.k)]
+
+    def rise(self, queries: np.ndarray, scores: np.ndarray) -> None:
+        """Raise the thresholds by hits that score so much at least, and are added later."""
+        asked = np.unique(queries)
+        queries = np.concatenate([np.repeat(asked, self.k), queries])
+        scores = np.concatenate([self.known[asked].ravel(), scores])
+        self.known[asked] = scores[self._first(asked, queries, -scores)]
+        self.least[asked] = np.maximum(self.least[asked], self.known[asked, -1])
+        self.floor[asked] = np.maximum(self.least[asked] - SLACK, 1e-300)
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        asked = np.unique(queries)
+        queries = np.concatenate([np.repeat(asked, self.k), queries])
+        ids, scores = np.concatenate([self.ids[asked].ravel(), ids]), np.concatenate([self.scores[asked].ravel(), scores])
+        kept = self._first(asked, queries, ids, -np.round(scores, DIGITS))
+        self.ids[asked], self.scores[asked] = ids[kept], scores[kept]
+        self.known[asked] = np.maximum(self.scores[asked], self.known[asked])
+        self.least[asked] = np.maximum(self.least[asked], self.scores[asked, -1])
+        self.floor[asked] = np.maximum(self.least[asked] - SLACK, 1e-300)
+
+    def hits(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for n, ids, scores in zip((self.scores >= self.floor[:, None]).sum(1).tolist(), self.ids, self.scores):
+            yield ids[:n], scores[:n]
+
+
 class Shard:
     """One row of the index, with impacts by global statistics (but for the idf factor)."""
 
@@ -199,74 +259,85 @@ class Shard:
         if not len(query):
             return np.empty(0, np.int64), np.empty(0)
         asks = Asked([own], [query], [np.arange(len(query))], 1, light - 1)
-        asks.idf = idf[np.argsort(query, kind="stable")]
+        asks.idf = idf[::-1]
         return next(self.search_block(asks, k, np.zeros(1)))
 
+    def by_document(self, asks: Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Light terms document by document: where each document's begin, their numbers and scores."""
+        place = np.searchsorted(asks.terms[asks.sorted], self.terms)
+        place[place == len(asks.terms)] = 0
+        number = asks.sorted[place]
+        known = np.flatnonzero((asks.terms[number] == self.terms) & (asks.lines[number] > 0))
+        lo, n = self.bounds[known], np.diff(self.bounds)[known]
+        at, number = _runs(lo, n), np.repeat(number[known], n)
+        posted = self.posted[at]
+        by = np.argsort(posted, kind="stable")
+        number, at = number[by], at[by]
+        return np.append(0, np.cumsum(np.bincount(posted, minlength=self.n))), number, self.impact[at] * asks.idf[number]
+
     def search_block(self, asks: Asked, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and scores of its k best, those below ``least`` left out; ``least`` rises to the k-th."""
-        place = np.searchsorted(self.terms, asks.terms)
+        best = Best(asks, k, least)
+        self.find(asks, asks.weights(), best)
+        return best.hits()
+
+    def find(self, asks: Asked, weights: np.ndarray, best: Best) -> None:
+        """Put all documents that may be among the best of a query into ``best``."""
+        place = np.searchsorted(self.terms, asks.terms[asks.heavy])
         place[place == len(self.terms)] = 0
-        here = self.terms[place] == asks.terms
-        lo, hi = (np.where(here, self.bounds[place + i], 0) for i in (0, 1))
-        weight = np.zeros(len(self.terms))
-        weight[place[here]] = asks.idf[here]
-        weighted = np.repeat(weight, np.diff(self.bounds))
-        weighted *= self.impact
-        dense = asks.heavy[here[asks.heavy]]
-        row = np.full(len(asks.terms), -1, np.int32)
-        row[dense] = np.arange(len(dense))
+        dense = np.flatnonzero(self.terms[place] == asks.terms[asks.heavy])
         freq, most = self.bounds_of_all(place[dense])
-        size = hi - lo
-        for first in range(0, len(asks.ids), BATCH):
-            batch = range(first, min(first + BATCH, len(asks.ids)))
-            rows = [row[asks.places[asks.light[q] : asks.starts[q + 1]]] for q in batch]
-            weights = np.zeros((len(batch), len(dense)), np.float32)
-            for i, r in enumerate(rows):
-                rows[i] = r = r[r >= 0]
-                weights[i, r] = asks.idf[dense[r]]
-            held = np.flatnonzero(weights.any(0))
-            added = (weights[:, held] @ most[:, held].T) * np.float32(ROUNDED)
-            for q, r, more in zip(batch, rows, added):
-                places = asks.places[asks.starts[q] : asks.light[q]]
-                at = _runs(lo[places], size[places])
-                # bincount adds in order of the postings, so term by term.
-                score = np.bincount(self.posted.take(at), weighted.take(at), self.n)
-                bound = score + np.repeat(more, BLOCK)[: self.n]
-                bound[self.ids == asks.ids[q]] = -1.0
-                found, sums = self.best(score, bound, freq, r, asks.idf[dense[r]], k, least[q])
-                if len(sums) == k:
-                    least[q] = max(least[q], sums[-1])
-                yield self.ids[found], sums
-
-    def best(self, score: np.ndarray, bound: np.ndarray, freq: np.ndarray, heavy: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents of at least ``least`` and their scores; scores of light terms, bounds of all."""
-
-        def full(docs: np.ndarray) -> np.ndarray:
-            f = freq[docs].take(heavy, 1).astype(np.float64)
-            return score[docs] + (f * (K1 + 1) / (f + self.norm[docs][:, None])) @ weight
-
-        def keep(found: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.lexsort((self.ids[found], -np.round(sums, DIGITS)))[:k]
-            return found[order], sums[order]
-
-        def threshold() -> float:
-            # What is rounded differently must not be lost.
-            return max(least - SLACK, sums[-1] - SLACK if len(sums) == k else 0, 1e-300)
-
-        found, sums = np.empty(0, np.intp), np.empty(0)
-        pivots = np.flatnonzero(bound >= threshold())
-        if len(pivots) > SEEDS:
-            seeds = pivots[np.argpartition(bound[pivots], len(pivots) - SEEDS)[len(pivots) - SEEDS :]]
-            found, sums = keep(seeds, full(seeds))
-            bound[seeds] = -1.0
-            pivots = pivots[bound[pivots] >= threshold()]
-        while len(pivots):
-            run = pivots[:RUN]
-            found, sums = keep(np.append(found, run), np.append(sums, full(run)))
-            pivots = pivots[RUN:]
-            pivots = pivots[bound[pivots] >= threshold()]
-        hit = sums >= max(least - SLACK, 1e-300)
-        return found[hit], sums[hit]
+        most = np.ascontiguousarray(most.T)
+        column = np.full(len(asks.heavy), -1, np.int32)
+        column[dense] = np.arange(len(dense))
+        groups = [(slice(q, q + GROUP), dense[weights[dense, q : q + GROUP].any(1)]) for q in range(0, len(asks.ids), GROUP)]
+        groups = [(group, column[held], weights[held, group]) for group, held in groups]
+        starts, numbers, scores = self.by_document(asks)
+        lines, first = asks.lines[numbers], asks.first[numbers]
+        ends = np.append(0, np.cumsum(lines))[starts]
+        begin, added = self.blocks, None
+        # Long documents have the best scores, mostly: they come first.
+        for end in range(self.n, 0, -RUN):
+            found, low = [], max(end - RUN, 0)
+            at = _runs(first[starts[low] : starts[end]], lines[starts[low] : starts[end]])
+            for d in range(end - 1, low - 1, -1):
+                if d // BLOCK < begin:
+                    rows = slice(max(begin - BATCH, 0), begin)
+                    begin = rows.start
+                    added = np.empty((rows.stop - begin, len(asks.ids)), np.float32)
+                    for group, held, weight in groups:
+                        np.matmul(most[:, rows].take(held, 0).T, weight, out=added[:, group])
+                    added *= np.float32(ROUNDED)
+                i, j = starts[d], starts[d + 1]
+                asking = asks.asking.take(at[ends[d] - ends[low] : ends[d + 1] - ends[low]], 0)
+                # bincount adds in order of the lines, so term by term.
+                score = np.bincount(asking.ravel(), scores[i:j].repeat(lines[i:j] * LINE), len(asks.ids) + 1)[:-1]
+                bound = score + added[d // BLOCK - begin]
+                hits = (bound >= best.floor).nonzero()[0]
+                if len(hits):
+                    hits = hits[asks.ids[hits] != self.ids[d]]
+                    found.append((np.full(len(hits), d), hits, score[hits], bound[hits]))
+            if not found:
+                continue
+            docs, hits, score, bound = (np.concatenate(x) for x in zip(*found))
+            # What a bound of one document lacks is known, that of several may be of another one.
+            best.rise(hits, bound * (2 - ROUNDED**3) if BLOCK == 1 else score)
+            good = bound >= best.floor[hits]
+            docs, hits, score = docs[good], hits[good], score[good]
+            for i in range(0, len(docs), SCORED):
+                part = slice(i, i + SCORED)
+                best.add(hits[part], self.ids[docs[part]], score[part] + self.heavy_scores(asks, docs[part], hits[part], freq, column))
+
+    def heavy_scores(self, asks: Asked, docs: np.ndarray, queries: np.ndarray, freq: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """What heavy terms add to the scores of pairs."""
+        n = np.diff(asks.starts)[queries]
+        term = asks.held[_runs(asks.starts[queries], n)]
+        pair = np.repeat(np.arange(len(docs)), n)
+        here = column[term] >= 0
+        term, pair = term[here], pair[here]
+        f = freq[docs[pair], column[term]].astype(np.float64)
+        norm = self.norm[docs]
+        return np.bincount(pair, f * (K1 + 1) / (f + norm[pair]) * asks.idf[asks.heavy[term]], len(docs))
 
 
 def _top(k: int):
@@ -274,10 +345,11 @@ def _top(k: int):
     return lambda hits: F.slice(F.array_sort(F.flatten(F.collect_list(hits))), 1, k)
 
 
-def query_blocks(docs: DataFrame, is_query: Column, df: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """A row a query: _b, query_id, terms and df (packed, by rising df), and the number of blocks _b.
+def query_blocks(docs: DataFrame, is_query: Column, df: DataFrame, n: int, most: int) -> tuple[DataFrame, int]:
+    """A row a block of queries: _b and the pickled block; and the number of blocks _b, some of which may be missing.
 
-    Blocks are dealt by hash; while one of several queries is over ``most`` terms, twice as many are made.
+    Blocks are dealt by hash; while one of several queries is over ``most`` terms, or one over so many queries as
+    are meant to be in a block, twice as many are made. A block is packed by an executor.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,18 +358,24 @@ def query_blocks(docs: DataFrame, is_query: Column, df: DataFrame, most: int) ->
                 found = terms(text)[0]
                 yield pd.DataFrame({"query_id": np.full(len(found), int(i)), "term": found})
 
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, lists = rows["query_id"].to_pylist(), []
+        for name in ("term", "df"):
+            lists.append([x.values.to_numpy() for chunk in rows[name].chunks for x in chunk])
+        return pa.table({"_b": pa.array([key[0].as_py()]), "asks": pa.array([pickle.dumps(Asked(ids, *lists, n, HEAVY * n))], pa.binary())})
+
     asked = docs.where(F.col("doc_id").isNotNull() & is_query).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"))
     # A term of one document is in the query alone.
     known = asked.mapInPandas(ask, "query_id long, term long").join(df.where("df > 1"), "term")
     listed = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("asked"))
-    held = shared_table(listed, "queries")
-    total = held.agg(F.sum(F.size("asked")).alias("x")).first()["x"] or 0
-    blocks = max(1, -(-total // most))
+    held = shared_table(listed.select("query_id", "asked.term", "asked.df"), "queries")
+    total, rows = held.agg(F.sum(F.size("term")).alias("x"), F.count(F.lit(1))).first()
+    blocks = max(1, -(-(total or 0) // most), -(-rows // QUERIES))
     while True:
         out = held.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        over = out.groupBy("_b").agg(F.sum(F.size("asked")).alias("_n"), F.count(F.lit(1)).alias("_q")).where((F.col("_n") > 2 * most) & (F.col("_q") > 1))
-        if over.isEmpty():
-            return out, blocks
+        over = out.groupBy("_b").agg(F.sum(F.size("term")).alias("_n"), F.count(F.lit(1)).alias("_q"))
+        if over.where((F.col("_q") > 1) & (F.col("_n") > 2 * most) | (F.col("_q") > 2 * QUERIES)).isEmpty():
+            return shared_table(out.groupBy("_b").applyInArrow(pack, "_b long, asks binary"), "asked"), blocks
         blocks *= 2
 
 
@@ -317,7 +395,7 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, a
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(df)], ["term", "df"])
 
     df = index.select("terms", "bounds").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    queries, blocks = query_blocks(docs, is_query, df, asked)
+    queries, blocks = query_blocks(docs, is_query, df, n, asked)
     path = f"{shared_dir(spark).rstrip('/')}/inkspan/hits-{uuid.uuid4().hex}"
     HITS = "query_id long, part long, ids array<long>, scores array<double>"
     spark.createDataFrame([], HITS).write.parquet(path)
@@ -325,26 +403,26 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, a
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-int(stats["shards"]) // TOGETHER))
     passed = index.drop("docs", "length").coalesce(tasks)
     for b in range(blocks):
-        rows = queries.where(F.col("_b") == b).select("query_id", "asked.term", "asked.df").toPandas()  # bounded: see query_blocks
-        if not len(rows):
+        rows = queries.where(F.col("_b") == b).select("asks").collect()  # bounded: see query_blocks
+        if not rows:
             continue
-        packed = [list(x) for x in zip(*((int(q), np.array(t, np.int64), np.array(d, np.int64)) for q, t, d in rows.itertuples(index=False)))]
-        asked_block = Asked(*packed, n, HEAVY * n)
-        del rows, packed
-        block = spark.sparkContext.broadcast(asked_block)
-        del asked_block
+        block = spark.sparkContext.broadcast(bytes(rows[0]["asks"]))
+        del rows
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            asks = block.value
-            least = np.zeros(len(asks.ids))  # what one shard found is asked of the next
+            asks, best, part = pickle.loads(block.value), None, 0
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {c: batch.column(c)[i] for c in batch.schema.names}
                     held = Shard({a: row[a].as_buffer() for a in ARRAYS}, row["width"].as_py(), mean)
-                    found = [(q, *hits) for q, hits in zip(asks.ids.tolist(), held.search_block(asks, k, least)) if len(hits[0])]
-                    columns = [[f[0] for f in found], [row["shard"].as_py()] * len(found), [f[1] for f in found], [f[2] for f in found]]
-                    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "part", "ids", "scores"])
+                    if best is None:
+                        weights, best, part = asks.weights(), Best(asks, k, np.zeros(len(asks.ids))), row["shard"].as_py()
+                    held.find(asks, weights, best)  # what one shard found spares work in the next
+            if best is not None:
+                found = [(q, *hits) for q, hits in zip(asks.ids.tolist(), best.hits()) if len(hits[0])]
+                columns = [[f[0] for f in found], [part] * len(found), [f[1] for f in found], [f[2] for f in found]]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "part", "ids", "scores"])
 
         passed.mapInArrow(run, HITS).write.mode("append").parquet(path)
         block.destroy()

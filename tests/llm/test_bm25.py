@@ -219,3 +219,48 @@ def test_sums_added_in_another_order_tie_by_id(spark, others):
     rows += [(1000 + i, "other") for i in range(others)]
     got = run(spark, rows, every=5000, shard=25 if not others else 400)
     assert [i for _, i in got[0]] == list(range(1, 11))
+
+
+def best_of(lists, asks, k=10):
+    """The best of every query by scoring every document."""
+    df = Counter(t for d in lists for t in d)
+    idf = {t: math.log(1 + (len(lists) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    mean, out = sum(sum(d.values()) for d in lists) / len(lists), {}
+    for q in asks.ids.tolist():
+        scores = []
+        for i, d in enumerate(lists):
+            norm = K1 * (1 - B + B * sum(d.values()) / mean)
+            scores.append((-round(sum(idf[t] * d[t] * (K1 + 1) / (d[t] + norm) for t in lists[q] if t in d), 9), i))
+        out[q] = sorted(x for x in scores if x[1] != q and x[0] < 0)[:k]
+    return mean, out
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [{}, {"GROUP": 7, "WORTH": 0.0}, {"GROUP": 16, "WORTH": 0.2, "RUN": 5}, {"LINE": 1, "SCORED": 3, "RUN": 1500}, {"LINE": 64, "BATCH": 3}, {"WORTH": 2.0}, {"DENSE": 2, "GROUP": 1}],
+)
+def test_hits_do_not_depend_on_sizes(monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(bm25, name, value)
+    lists = random_lists(1500, 8)
+    asks = asked_of(lists, 30, 40)
+    mean, best = best_of(lists, asks)
+    held = packed(lists, range(len(lists)), mean)
+    for q, (ids, sums) in zip(asks.ids.tolist(), held.search_block(asks, 10, np.zeros(len(asks.ids)))):
+        assert [i for _, i in best[q]] == ids.tolist()
+        assert [-s for s, _ in best[q]] == pytest.approx(sums.tolist(), abs=1e-8)
+
+
+def test_lists_are_added_up_once_a_document(monkeypatch):
+    """A shard of 100 documents is passed once for all 300 queries of a block, not once a query."""
+    lists, calls, plain = random_lists(300, 9), [], np.bincount
+    asks, held = asked_of(lists, 1, 40), packed(lists[:100], range(100), 40.0)
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    assert len(list(held.search_block(asks, 10, np.zeros(300)))) == 300
+    assert 100 <= len(calls) < 150
+
+
+def test_queries_of_any_number_are_packed_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "QUERIES", 20)
+    rows = corpus(400, 11)
+    same(run(spark, rows, every=2, k=3, shard=100), brute(rows, 2, 3))
